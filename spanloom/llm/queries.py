@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from spanloom.llm import chat_format
+from spanloom.llm import chat_format, simhash_dedup
 
 QUERIES = {
     "op1_chat_format": chat_format.op1_chat_format,
+    "op2_simhash_dedup": simhash_dedup.op2_simhash_dedup,
 }
 ORACLES = {
     "op1_chat_format": chat_format.OP1_SQL,

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from spanloom.llm import chat_format, simhash_dedup
+from spanloom.llm import chat_format, quality_rules, sharding, simhash_dedup
 
 QUERIES = {
     "op1_chat_format": chat_format.op1_chat_format,
     "op2_simhash_dedup": simhash_dedup.op2_simhash_dedup,
+    "op6_quality_rules": quality_rules.op6_quality_rules,
+    "op7_sharding": sharding.op7_sharding,
 }
 ORACLES = {
+    "op6_quality_rules": quality_rules.OP6_SQL,
     "op1_chat_format": chat_format.OP1_SQL,
 }

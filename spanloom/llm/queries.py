@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from spanloom.llm import chat_format, quality_rules, sharding, simhash_dedup
+from spanloom.llm import chat_format, packing, quality_rules, sharding, simhash_dedup
 
 QUERIES = {
     "op1_chat_format": chat_format.op1_chat_format,
     "op2_simhash_dedup": simhash_dedup.op2_simhash_dedup,
+    "op4_packing": packing.op4_packing,
     "op6_quality_rules": quality_rules.op6_quality_rules,
     "op7_sharding": sharding.op7_sharding,
 }

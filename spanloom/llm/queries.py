@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from spanloom.llm import chat_format, packing, quality_rules, sharding, simhash_dedup
+from spanloom.llm import chat_format, packing, quality_rules, sharding, simhash_dedup, toxicity
 
 QUERIES = {
     "op1_chat_format": chat_format.op1_chat_format,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_packing": packing.op4_packing,
     "op6_quality_rules": quality_rules.op6_quality_rules,
     "op7_sharding": sharding.op7_sharding,
+    "op9_toxicity": toxicity.op9_toxicity,
 }
 ORACLES = {
     "op6_quality_rules": quality_rules.OP6_SQL,

@@ -10,8 +10,8 @@ differently under negation, in reported speech, or aimed at somebody. Slots sum
 the lexicon's weights, and a logistic layer turns slots into a score.
 
 The insult lexicon is learned from labelled rows: words and word beginnings whose
-occurrences are nearly all in toxic texts. Occurrences are counted by distinct
-neighbours, so copies of a text count once. At most ``SAMPLE`` labelled rows a class
+occurrences are nearly all in toxic texts; a beginning needs several such words.
+Occurrences are counted by distinct neighbours, so copies of a text count once. At most ``SAMPLE`` labelled rows a class
 (smallest hash of the id first) are used to fit, and the lexicon has at most
 ``LEXICON`` entries; scoring covers every whole text.
 
@@ -38,7 +38,7 @@ from spanloom.llm.common import fold_of, read, small_batches
 from spanloom.session import shared_dir
 
 SAMPLE, LEXICON, THRESHOLD, HELD_OUT = 6000, 20_000, 0.3, 2
-MIN_EVIDENCE, MIN_PURITY, SCOPE = 13.0, 0.9, 3
+MIN_EVIDENCE, MIN_PURITY, MIN_WORDS, SCOPE = 13.0, 0.95, 4, 3
 PREFIXES = range(3, 8)
 
 #: Words of the closed classes, in English, German, French and Spanish.
@@ -177,10 +177,12 @@ def learned_lexicon(sample: DataFrame) -> dict[str, float]:
         lambda n: F.concat(F.col("word").substr(F.lit(1), n), F.lit("*")),
     )
     entries = by_word.select(F.explode(F.concat(F.array("word"), starts)).alias("entry"), "pos", "neg")
-    entries = entries.groupBy("entry").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    entries = entries.groupBy("entry").agg(
+        F.sum("pos").alias("pos"), F.sum("neg").alias("neg"), F.count_if(F.col("pos") > 0).alias("words")
+    )
     p, n = F.col("pos"), F.col("neg")
     evidence = p * F.log(p / ((p + n) * base)) + F.when(n > 0, n * F.log(n / ((p + n) * (1 - base)))).otherwise(0.0)
-    kept = entries.where((p > 0) & (p >= MIN_PURITY * (p + n))).withColumn("evidence", evidence).where(F.col("evidence") >= MIN_EVIDENCE)
+    kept = entries.where((p > 0) & (p >= MIN_PURITY * (p + n)) & (~F.endswith("entry", F.lit("*")) | (F.col("words") >= MIN_WORDS))).withColumn("evidence", evidence).where(F.col("evidence") >= MIN_EVIDENCE)
     rows = kept.orderBy(F.desc("evidence"), "entry").limit(LEXICON).collect()
     found = {r.entry: math.log((r.pos + 0.5) / (r.neg + 0.5) * (1 - base) / base) for r in rows}
     return found or {w: 4.0 for w in SEED_INSULTS}

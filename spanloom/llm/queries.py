@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from spanloom.llm import chat_format, language_id, packing, quality_rules, sharding, simhash_dedup, toxicity
+from spanloom.llm import chat_format, language_id, packing, permutation_index, quality_rules, sharding, simhash_dedup, toxicity
 
 QUERIES = {
     "op1_chat_format": chat_format.op1_chat_format,
     "op2_simhash_dedup": simhash_dedup.op2_simhash_dedup,
+    "op3_permutation_index": permutation_index.op3_permutation_index,
     "op4_packing": packing.op4_packing,
     "op6_quality_rules": quality_rules.op6_quality_rules,
     "op7_sharding": sharding.op7_sharding,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from spanloom.llm import chat_format, language_id, packing, permutation_index, quality_rules, sharding, simhash_dedup, toxicity
+from spanloom.llm import chat_format, language_id, packing, permutation_index, quality_rules, secret_forest, sharding, simhash_dedup, toxicity
 
 QUERIES = {
     "op1_chat_format": chat_format.op1_chat_format,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_packing": packing.op4_packing,
     "op6_quality_rules": quality_rules.op6_quality_rules,
     "op7_sharding": sharding.op7_sharding,
+    "op8_secret_forest": secret_forest.op8_secret_forest,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_language_id": language_id.op10_language_id,
 }

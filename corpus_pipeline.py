@@ -1,12 +1,67 @@
-"""The corpus pipeline over ``documents``: its stages join as their operators come."""
+"""The corpus pipeline: from ``documents`` to packed training sequences.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes it as
+Parquet to the shared folder and hands what it reads back to the next stage. All
+but the last return the columns of ``documents``.
+
+Defined results: nulls, empty and very long texts, ties, repeated rows, empty tables
+and further columns are treated as each stage's operator states; rows with the same
+id that survive to near-dedup stay once.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from spanloom.llm import packing, quality_rules, secret_forest, simhash_dedup, toxicity
+from spanloom.session import written
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose toxicity score reaches the threshold go."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = toxicity.fit(docs.select("doc_id", "text"), labels.select("doc_id", "toxic"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text")
+    return toxicity.scored(rows, model).where(F.col("score") < toxicity.THRESHOLD).select("row.*")
+
+
+def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that a quality rule rejects go."""
+    return quality_rules.filtered(docs)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates the document of the smallest id stays."""
+    return simhash_dedup.deduplicated(docs)
+
+
+def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are masked in the text; n_chars follows."""
+    masked = secret_forest.redacted(docs, secret_forest.fit(spark))
+    return masked.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns) if "n_chars" in docs.columns else masked
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token sequences, one row a piece."""
+    return packing.packed(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("quality rules", drop_low_quality),
+    ("simhash near-dedup", drop_near_duplicates),
+    ("secret scans", mask_secrets),
+    ("packing", pack),
+]
 
-STAGES: list = []
+#: SQL cannot express the toxicity model, the fingerprints, the forest or the tokenizer.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from spanloom.llm import chat_format, language_id, packing, permutation_index, quality_rules, secret_forest, sharding, simhash_dedup, toxicity
+from spanloom.llm import byte_bpe, chat_format, language_id, packing, permutation_index, quality_rules, secret_forest, sharding, simhash_dedup, toxicity
 
 QUERIES = {
     "op1_chat_format": chat_format.op1_chat_format,
     "op2_simhash_dedup": simhash_dedup.op2_simhash_dedup,
     "op3_permutation_index": permutation_index.op3_permutation_index,
     "op4_packing": packing.op4_packing,
+    "op5_byte_bpe": byte_bpe.op5_byte_bpe,
     "op6_quality_rules": quality_rules.op6_quality_rules,
     "op7_sharding": sharding.op7_sharding,
     "op8_secret_forest": secret_forest.op8_secret_forest,

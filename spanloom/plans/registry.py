@@ -1,6 +1,588 @@
-"""Named queries over the test tables, with their DuckDB twins."""
+"""Named queries over the test tables, with their DuckDB twins.
+
+Where the tables lack a column that an operator needs (severity levels, predictions,
+scores), it is derived from ids by arithmetic or md5, the same in both engines.
+"""
 
 from __future__ import annotations
 
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from spanloom.functions import metrics
+from spanloom.operators import corpus, encoder, explain, ingest, merge, permute, samples, scoring, split, tokens
+from spanloom.schema import label_defs, label_groups, label_space
+from spanloom.sources import catalog, corpus_json, render
+
+HEADS = ["mood", "topic"]
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def draw(*keys: Column) -> Column:
+    return F.conv(F.substring(F.md5(F.concat_ws("|", *[k.cast("string") for k in keys])), 1, 8), 16, 10).cast("long")
+
+
+def levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with two severity heads; topic has levels 0 and 3 only."""
+    return table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("row_idx"), "text", (F.col("doc_id") * 7 % 5).cast("int").alias("mood"), F.when(F.col("doc_id") % 3 == 0, 0).otherwise(3).alias("topic")
+    )
+
+
+LEVELS = """levels AS (SELECT doc_id AS row_idx, text, (doc_id * 7 % 5)::INTEGER AS mood,
+  (CASE WHEN doc_id % 3 = 0 THEN 0 ELSE 3 END)::INTEGER AS topic FROM documents)"""
+
+
+def chunked(spark: SparkSession, sf_dir: str) -> tuple:
+    rows = levels(spark, sf_dir)
+    space = label_space(rows, HEADS)
+    return corpus.whole_text_chunks(rows, space, "row_idx"), space
+
+
+def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as parts of one text, a chunk a turn, labelled by role."""
+    role = F.array_position(F.array(*map(F.lit, ["system", "user", "assistant"])), F.col("role")).cast("int") - 1
+    chunk = F.struct(F.lit(0).alias("start"), F.length("text").alias("len"), role.alias("label"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", "text", F.array(chunk).alias("chunks"))
+
+
+def talks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.concatenated(turns(spark, sf_dir), "conv_id", "turn").withColumnRenamed("conv_id", "id")
+
+
+TALKS = """turns AS (
+  SELECT conv_id, turn, text, list_position(['system', 'user', 'assistant'], role) - 1 AS label,
+    coalesce(sum(length(text) + 1) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
+  FROM conversations),
+talks AS (SELECT conv_id AS id, string_agg(text, ' ' ORDER BY turn) AS text FROM turns GROUP BY conv_id),
+pieces AS (SELECT id, unnest(string_split(text, ' ')) AS w, generate_subscripts(string_split(text, ' '), 1) - 1 AS word FROM talks),
+words AS (SELECT id, word, w, coalesce(sum(length(w) + 1) OVER (PARTITION BY id ORDER BY word
+  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM pieces)"""
+
+
+def talk_words(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    texts = talks(spark, sf_dir)
+    spans = tokens.word_spans(tokens.with_words(tokens.space_tokens(texts.select(F.col("id").alias("text_id"), "text"))))
+    return spans, samples.spans_of(texts)
+
+
+# --- ingest ---------------------------------------------------------------------------------------
+
+
+@query("""SELECT doc_id, doc_id % 4 + 1 AS level FROM documents""")
+def level_map(spark, sf_dir):
+    name = F.concat(F.lit(" LeVel "), (F.col("doc_id") % 4 + 1).cast("string"), F.lit("\t"))
+    return table(spark, sf_dir, "documents").select("doc_id", ingest.level_of(name).cast("long").alias("level"))
+
+
+@query("""WITH t AS (SELECT doc_id, ['ethnicity', 'gender', 'countries', 'political', 'religion'][doc_id % 5 + 1] AS type,
+    doc_id % 4 + 1 AS level FROM documents)
+SELECT doc_id, CASE WHEN type = 'ethnicity' THEN level ELSE 0 END AS lvl_ethnicity_hate,
+  CASE WHEN type = 'gender' THEN level ELSE 0 END AS lvl_gender_hate, CASE WHEN type = 'countries' THEN level ELSE 0 END AS lvl_countries_hate,
+  CASE WHEN type = 'political' THEN level ELSE 0 END AS lvl_political_hate, CASE WHEN type = 'religion' THEN level ELSE 0 END AS lvl_religion_hate
+FROM t""")
+def type_dispatch(spark, sf_dir):
+    kind = F.element_at(F.array(*map(F.lit, ingest.TYPES)), (F.col("doc_id") % 5 + 1).cast("int"))
+    found = ingest.typed_levels(kind, (F.col("doc_id") % 4 + 1).cast("int"))
+    return table(spark, sf_dir, "documents").select("doc_id", *[c.cast("long").alias(n) for n, c in found.items()])
+
+
+def hate(spark, sf_dir):
+    d = F.col("doc_id")
+    return table(spark, sf_dir, "documents").select("doc_id", *[(d * k % m).cast("int").alias(f"lvl_{t}_hate") for t, k, m in zip(ingest.TYPES, (7, 3, 11, 5, 2), (5, 4, 3, 2, 5))])
+
+
+HATE = "greatest(doc_id * 7 % 5, doc_id * 3 % 4, doc_id * 11 % 3, doc_id * 5 % 2, doc_id * 2 % 5)"
+
+
+@query(f"SELECT doc_id, (CASE WHEN {HATE} > 0 THEN 1 ELSE 0 END)::INTEGER AS lvl_general_hate FROM documents")
+def binarise_max(spark, sf_dir):
+    return ingest.binary_hate(hate(spark, sf_dir)).select("doc_id", "lvl_general_hate")
+
+
+@query(f"SELECT doc_id, (CASE WHEN {HATE} IN (3, 4) THEN 1 ELSE 0 END)::INTEGER AS lvl_illegality FROM documents WHERE {HATE} NOT IN (1, 2)")
+def binarise_filter(spark, sf_dir):
+    return ingest.binary_illegality(hate(spark, sf_dir)).select("doc_id", "lvl_illegality")
+
+
+@query("""SELECT doc_id, k AS file_ord, row_number() OVER (ORDER BY k, doc_id) - 1 AS row_idx FROM (
+  SELECT doc_id, 0 AS k FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id, 1 FROM documents WHERE doc_id % 2 = 1)""")
+def row_index(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id")
+    parts = [ingest.tagged(docs.where(F.col("doc_id") % 2 == k), "loaded", k) for k in (0, 1)]
+    return ingest.with_row_index(ingest.united(parts), ["file_ord", "doc_id"]).select("doc_id", "file_ord", "row_idx")
+
+
+@query(r"""SELECT doc_id, md5(regexp_replace(chr(9) || ' ' || text || chr(10), '^\s+|\s+$', '', 'g')) AS text_md5 FROM documents""")
+def trimmed_text(spark, sf_dir):
+    text = F.concat(F.lit("\t "), "text", F.lit("\n"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(ingest.trimmed(text)).alias("text_md5"))
+
+
+# --- merge, labels, corpus ------------------------------------------------------------------------
+
+
+@query(f"""WITH {LEVELS}, g AS (SELECT *, row_number() OVER w AS rn, max(mood) OVER k AS m, max(topic) OVER k AS t FROM levels
+  WINDOW w AS (PARTITION BY lower(text) ORDER BY row_idx), k AS (PARTITION BY lower(text)))
+SELECT row_idx, md5(text) AS text_md5, m AS mood, t AS topic FROM g WHERE rn = 1""")
+def dedup_merge(spark, sf_dir):
+    return merge.dedup_merged(levels(spark, sf_dir), HEADS).select("row_idx", F.md5("text").alias("text_md5"), *HEADS)
+
+
+@query(f"""WITH {LEVELS}, g AS (SELECT *, row_number() OVER w AS rn, first(row_idx) OVER w AS s, first(text) OVER w AS st,
+    max(mood) OVER p AS pm, max(topic) OVER p AS pt FROM levels
+  WINDOW w AS (PARTITION BY lower(text) ORDER BY row_idx),
+    p AS (PARTITION BY lower(text) ORDER BY row_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT s AS survivor_idx, row_idx AS dupe_idx, pm AS primary_mood, pt AS primary_topic, mood AS dupe_mood, topic AS dupe_topic,
+  md5(st) AS text_md5 FROM g WHERE rn > 1 AND ((pm <> 0 AND mood <> 0) OR (pt <> 0 AND topic <> 0))""")
+def dedup_conflicts(spark, sf_dir):
+    return merge.conflicts(levels(spark, sf_dir), HEADS).withColumn("text_md5", F.md5("text")).drop("text")
+
+
+@query(f"""WITH {LEVELS}, u AS (SELECT DISTINCT 0 AS h, 'mood' AS head, mood AS level FROM levels
+  UNION ALL SELECT DISTINCT 1, 'topic', topic FROM levels)
+SELECT head, level, (row_number() OVER (PARTITION BY h ORDER BY level) - 1)::INTEGER AS dense_index,
+  (row_number() OVER (ORDER BY h, level) - 1)::INTEGER AS label, head || '_' || level AS name FROM u""")
+def label_space_table(spark, sf_dir):
+    return label_defs(levels(spark, sf_dir), HEADS)
+
+
+@query(f"""WITH {LEVELS}, c AS (SELECT count(DISTINCT mood) AS m, count(DISTINCT topic) AS t FROM levels)
+SELECT 'mood' AS head, 0 AS head_no, 0 AS first_label, m::INTEGER AS n_labels FROM c
+UNION ALL SELECT 'topic', 1, m::INTEGER, t::INTEGER FROM c""")
+def head_offsets(spark, sf_dir):
+    return label_groups(levels(spark, sf_dir), HEADS)
+
+
+CHUNKS = f"""{LEVELS}, spans AS (
+  SELECT row_idx AS id, 0 AS start, length(text) AS len, (dense_rank() OVER (ORDER BY mood) - 1)::INTEGER AS label FROM levels
+  UNION ALL SELECT row_idx, 0, length(text), ((SELECT count(DISTINCT mood) FROM levels) + dense_rank() OVER (ORDER BY topic) - 1)::INTEGER FROM levels)"""
+
+
+@query(f"WITH {CHUNKS} SELECT id, start::INTEGER AS start, len::INTEGER AS len, label FROM spans")
+def whole_text_chunks(spark, sf_dir):
+    return chunked(spark, sf_dir)[0].select("id", F.inline("chunks"))
+
+
+@query(f"WITH {LEVELS} SELECT row_idx AS id, mood = 0 AND topic = 0 AS is_neutral FROM levels")
+def neutral_loaded(spark, sf_dir):
+    texts, space = chunked(spark, sf_dir)
+    return texts.select("id", corpus.is_neutral(F.col("chunks"), space).alias("is_neutral"))
+
+
+@query("SELECT coalesce(max(doc_id) + 1, 0) AS next_id FROM documents")
+def next_id(spark, sf_dir):
+    return corpus.next_id(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id")))
+
+
+@query(f"WITH {TALKS} SELECT conv_id AS id, md5(k.text) AS text_md5, start::BIGINT AS start, length(t.text) AS len, label::BIGINT AS label FROM turns t JOIN talks k ON k.id = t.conv_id")
+def concat_offsets(spark, sf_dir):
+    rows = talks(spark, sf_dir).select("id", F.md5("text").alias("text_md5"), F.inline("chunks"))
+    return rows.select("id", "text_md5", *[F.col(c).cast("long").alias(c) for c in ("start", "len", "label")])
+
+
+DRAW = "('0x' || substr(md5({}), 1, 8))::BIGINT"
+
+
+@query(f"""WITH {LEVELS}, pools AS (SELECT row_idx, CASE WHEN mood = 0 AND topic = 0 THEN 0 ELSE 1 END AS loaded FROM levels),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY loaded ORDER BY row_idx) - 1 AS pool_row, count(*) OVER (PARTITION BY loaded) AS n FROM pools),
+m AS (SELECT row_idx AS mix_id, {DRAW.format("'0|size|' || row_idx")} % 2 + 3 AS size FROM levels),
+p AS (SELECT mix_id, size, unnest(range(0, size)) AS part FROM m),
+c AS (SELECT *, {DRAW.format("'0|pool|' || mix_id || '|' || part")} % 2 AS coin FROM p),
+w AS (SELECT *, sum(coin) OVER (PARTITION BY mix_id) AS whole FROM c),
+l AS (SELECT mix_id, part, CASE WHEN part = size - 1 AND whole IN (0, size) THEN 1 - coin ELSE coin END AS loaded FROM w),
+k AS (SELECT *, row_number() OVER (PARTITION BY loaded ORDER BY mix_id, part) - 1 AS k FROM l),
+s AS (SELECT k.mix_id, k.part, k.loaded, (k.k + {DRAW.format("'0|round|' || k.loaded || '|' || (k.k // z.n)")}) % z.n AS pool_row
+  FROM k JOIN (SELECT DISTINCT loaded, n FROM numbered) z USING (loaded))
+SELECT mix_id, sum(length(d.text))::BIGINT + count(*) - 1 AS chars, count(*) AS parts, sum(s.loaded)::BIGINT AS loaded, min(n.row_idx) AS least_doc
+FROM s JOIN numbered n USING (loaded, pool_row) JOIN levels d USING (row_idx) GROUP BY mix_id""")
+def mixed_corpus(spark, sf_dir):
+    texts, space = chunked(spark, sf_dir)
+    rows = texts.select("id", (~corpus.is_neutral(F.col("chunks"), space)).cast("int").alias("loaded"))
+    sizes = dict(rows.groupBy("loaded").count().collect())
+    pools = [ingest.with_row_index(rows.where(F.col("loaded") == k), ["id"], "pool_row") for k in (0, 1)]
+    plan = corpus.mix_plan(spark, sizes.get(1, 0), sizes.get(0, 0), sum(sizes.values()))
+    parts = plan.join(pools[0].unionByName(pools[1]), ["loaded", "pool_row"]).join(texts, "id")
+    mixed = corpus.concatenated(parts, "mix_id", "part")
+    facts = parts.groupBy("mix_id").agg(F.count(F.lit(1)).alias("parts"), F.sum("loaded").alias("loaded"), F.min("id").alias("least_doc"))
+    return mixed.select("mix_id", F.length("text").cast("long").alias("chars")).join(facts, "mix_id")
+
+
+@query(f"""WITH {TALKS}, taken AS (SELECT conv_id AS id, start AS s, start + length(text) AS e FROM turns WHERE label = 1),
+n AS (SELECT id, length(text) AS n FROM talks), u AS (SELECT * FROM taken UNION ALL SELECT id, n, n FROM n),
+g AS (SELECT *, coalesce(max(e) OVER (PARTITION BY id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS f FROM u)
+SELECT id, f::BIGINT AS start, (s - f)::BIGINT AS len FROM g WHERE s > f""")
+def interval_complement(spark, sf_dir):
+    texts = talks(spark, sf_dir)
+    taken = texts.select("id", F.inline("chunks")).where("label = 1")
+    found = corpus.complement(taken, texts.select("id", F.length("text").alias("n")))
+    return found.select("id", F.col("start").cast("long").alias("start"), F.col("len").cast("long").alias("len"))
+
+
+@query(f"""WITH {TALKS}, p AS (SELECT conv_id, turn, start AS a, length(text) % 3 AS al, start + turn AS b, turn % 2 AS bl FROM turns)
+SELECT conv_id, turn, a <= b + greatest(0, bl - 1) AND b <= a + greatest(0, al - 1) AS clamped,
+  (a BETWEEN b AND b + bl - 1) OR (a + al - 1 BETWEEN b AND b + bl - 1) OR (b BETWEEN a AND a + al - 1) OR (b + bl - 1 BETWEEN a AND a + al - 1) AS inclusive
+FROM p""")
+def range_intersections(spark, sf_dir):
+    rows = talks(spark, sf_dir).select(F.col("id").alias("conv_id"), F.posexplode("chunks").alias("turn", "c"))
+    a, al, b, bl = F.col("c.start"), F.col("c.len") % 3, F.col("c.start") + F.col("turn"), F.col("turn") % 2
+    return rows.select(
+        "conv_id", F.col("turn").cast("long").alias("turn"), corpus.intersects(a, al, b, bl).alias("clamped"), corpus.ranges_meet(a, a + al - 1, b, b + bl - 1).alias("inclusive")
+    )
+
+
+# --- tokens, windows, samples ---------------------------------------------------------------------
+
+DOC_WORDS = """pieces AS (SELECT doc_id, unnest(string_split(text, ' ')) AS w, generate_subscripts(string_split(text, ' '), 1) - 1 AS word FROM documents),
+words AS (SELECT doc_id, word, w, coalesce(sum(length(w) + 1) OVER (PARTITION BY doc_id ORDER BY word
+  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM pieces)"""
+
+
+@query(f"""WITH {DOC_WORDS} SELECT doc_id AS text_id, word::INTEGER AS word, s::INTEGER AS start, (s + length(w))::INTEGER AS "end",
+  greatest(1, ceil(length(w) / 4.0))::BIGINT AS n_tokens FROM words""")
+def word_offsets(spark, sf_dir):
+    texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("text_id"), "text")
+    return tokens.word_spans(tokens.with_words(tokens.space_tokens(texts, width=4)))
+
+
+@query("""WITH n AS (SELECT doc_id, len(string_split(text, ' ')) AS n FROM documents)
+SELECT doc_id AS text_id, unnest(CASE WHEN n <= 1024 THEN [0] ELSE range(0, n, 683) END)::INTEGER AS start_word FROM n""")
+def window_starts(spark, sf_dir):
+    n = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("text_id"), F.size(F.split("text", " ")).alias("n_words"))
+    return tokens.windows(n, 1024).select("text_id", "start_word")
+
+
+@query("""WITH n AS (SELECT doc_id, len(string_split(text, ' ')) AS n FROM documents), s AS (
+  SELECT doc_id, n, unnest(CASE WHEN n <= 256 THEN [0] ELSE range(0, n, 171) END) AS s FROM n)
+SELECT doc_id AS text_id, s::INTEGER AS start_token FROM s WHERE s = 0 OR s + 85 < n""")
+def covering_windows(spark, sf_dir):
+    n = F.size(F.split("text", " "))
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("text_id"), n.alias("n"))
+    return docs.select("text_id", F.explode(tokens.covering_starts(F.col("n"), 256)).alias("start_token"))
+
+
+@query(f"""WITH {TALKS} SELECT w.id AS text_id, w.word::INTEGER AS word, t.label::INTEGER AS label FROM words w LEFT JOIN turns t ON t.conv_id = w.id
+  AND ((w.s BETWEEN t.start AND t.start + length(t.text) - 1) OR (w.s + length(w.w) - 1 BETWEEN t.start AND t.start + length(t.text) - 1)
+    OR (t.start BETWEEN w.s AND w.s + length(w.w) - 1) OR (t.start + length(t.text) - 1 BETWEEN w.s AND w.s + length(w.w) - 1))
+GROUP BY ALL""")
+def word_labels(spark, sf_dir):
+    words, spans = talk_words(spark, sf_dir)
+    return samples.unit_labels(words, spans, ["text_id", "word"]).select("text_id", "word", "label")
+
+
+@query(f"""WITH {DOC_WORDS}, l AS (SELECT doc_id, dense_rank() OVER (ORDER BY doc_id * 7 % 5) - 1 AS a,
+    (SELECT count(DISTINCT doc_id * 7 % 5) FROM documents) + dense_rank() OVER (ORDER BY CASE WHEN doc_id % 3 = 0 THEN 0 ELSE 3 END) - 1 AS b FROM documents),
+n AS (SELECT doc_id, max(word) + 1 AS n FROM words GROUP BY doc_id),
+x AS (SELECT doc_id, w, CASE WHEN n <= 256 THEN 1 ELSE word // 171 - greatest(ceil((word - 255) / 171.0), 0) + 1 END AS k FROM words JOIN n USING (doc_id)),
+h AS (SELECT CASE WHEN w = '' THEN 0 ELSE a END AS label, k FROM x JOIN l USING (doc_id)
+  UNION ALL SELECT CASE WHEN w = '' THEN (SELECT count(DISTINCT doc_id * 7 % 5) FROM documents) ELSE b END, k FROM x JOIN l USING (doc_id))
+SELECT label::INTEGER AS label, sum(k)::BIGINT AS n FROM h GROUP BY label""")
+def label_counts(spark, sf_dir):
+    texts, space = chunked(spark, sf_dir)
+    words = tokens.word_spans(tokens.with_words(tokens.space_tokens(texts.select(F.col("id").alias("text_id"), "text"))))
+    found = samples.word_samples(words, samples.spans_of(texts), space, 256)
+    return samples.label_counts(found)
+
+
+@query(f"""WITH {TALKS}, x AS (SELECT id, word, unnest(CASE WHEN w = '' THEN [0] ELSE range(0, length(w), 4) END) AS k, w FROM words),
+t AS (SELECT id, word, {DRAW.format("(CASE WHEN k = 0 THEN '▁' ELSE '' END) || substr(w, (k + 1)::BIGINT, 4)")} % 500 AS token_id FROM x),
+v AS (SELECT id, word, unnest(e.embedding) AS x, generate_subscripts(e.embedding, 1) AS d FROM t JOIN embeddings e ON e.vec_id = t.token_id),
+m AS (SELECT id, word, d, avg(x::DOUBLE) AS value FROM v GROUP BY ALL)
+SELECT id AS text_id, word::INTEGER AS word, round(sum(value), 5) AS total, round(max(value), 6) AS most FROM m GROUP BY ALL""")
+def word_embeddings(spark, sf_dir):
+    texts = talks(spark, sf_dir).select(F.col("id").alias("text_id"), "text")
+    found = tokens.with_words(tokens.space_tokens(texts, width=4)).withColumn("token_id", draw(F.col("piece")) % 500)
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("token_id"), "embedding")
+    means = tokens.word_vectors(tokens.embedded(found, vectors))
+    return means.groupBy("text_id", "word").agg(F.round(F.sum("value"), 5).alias("total"), F.round(F.max("value"), 6).alias("most"))
+
+
+# --- scores ---------------------------------------------------------------------------------------
+
+
+def hashed_scores(spark, sf_dir) -> DataFrame:
+    """Windows of 32 words, each word with five confidences out of md5."""
+    words, _ = talk_words(spark, sf_dir)
+    placed = tokens.window_words(words, 32)
+    conf = lambda i: (draw(F.col("text_id"), F.col("start_word"), F.col("place"), i) % 1000) / 1000.0
+    return placed.select("text_id", "start_word", "place", "word", F.transform(F.sequence(F.lit(0), F.lit(4)), conf).alias("confs"))
+
+
+SCORES = f"""{TALKS}, n AS (SELECT id, max(word) + 1 AS n FROM words GROUP BY id),
+w AS (SELECT id, word, unnest(CASE WHEN n <= 32 THEN [0::BIGINT] ELSE range((greatest(ceil((word - 31) / 22.0), 0) * 22)::BIGINT, word::BIGINT + 1, 22) END) AS s
+  FROM words JOIN n USING (id)),
+c AS (SELECT id, word, s, unnest(range(0, 5)) AS label FROM w),
+conf AS (SELECT id, word, label, {DRAW.format("id || '|' || s || '|' || (word - s) || '|' || label")} % 1000 / 1000.0 AS c FROM c),
+merged AS (SELECT id, word, label, avg(c::DOUBLE) AS conf FROM conf GROUP BY ALL)"""
+
+
+@query(f"WITH {SCORES} SELECT id AS text_id, word::INTEGER AS word, label::INTEGER AS label, round(conf, 6) AS conf FROM merged")
+def overlap_merge(spark, sf_dir):
+    return scoring.merged_over_windows(hashed_scores(spark, sf_dir)).select("text_id", F.col("word").cast("int").alias("word"), "label", F.round("conf", 6).alias("conf"))
+
+
+@query(f"""WITH {SCORES}, r AS (SELECT *, row_number() OVER (PARTITION BY id, word, label >= 2 ORDER BY round(conf, 9) DESC, label) AS rn FROM merged)
+SELECT id AS text_id, word::INTEGER AS word, min(label)::INTEGER AS first_head, max(label)::INTEGER AS second_head FROM r WHERE rn = 1 GROUP BY ALL""")
+def winning_labels(spark, sf_dir):
+    merged = scoring.merged_over_windows(hashed_scores(spark, sf_dir)).withColumn("conf", F.round("conf", 9))
+    vectors = scoring.as_vectors(merged, ["text_id", "word"])
+    won = scoring.winning_labels(F.col("confs"), [2, 3])
+    return vectors.select("text_id", F.col("word").cast("int").alias("word"), won[0].alias("first_head"), won[1].alias("second_head"))
+
+
+@query(f"""WITH {TALKS}, x AS (SELECT id, word, s, w, unnest(CASE WHEN w = '' THEN [0] ELSE range(0, length(w), 4) END) AS k FROM words),
+c AS (SELECT *, unnest(range(0, 2)) AS label FROM x),
+m AS (SELECT id, word, label, any_value(s) AS s, any_value(w) AS w, avg(({DRAW.format("id || '|' || (s + k) || '|' || label")} % 1000)::DOUBLE) AS c FROM c GROUP BY id, word, label)
+SELECT id AS text_id, word::INTEGER AS word, any_value(s)::INTEGER AS start, any_value(length(w))::INTEGER AS len,
+  (CASE WHEN max(c) FILTER (label = 1) > max(c) FILTER (label = 0) THEN 1 ELSE 0 END)::INTEGER AS label FROM m GROUP BY id, word""")
+def token_to_word_labels(spark, sf_dir):
+    texts = talks(spark, sf_dir).select(F.col("id").alias("text_id"), "text")
+    found = tokens.with_words(tokens.space_tokens(texts, width=4))
+    conf = F.transform(F.array(F.lit(0), F.lit(1)), lambda i: (draw(F.col("text_id"), F.col("start"), i) % 1000).cast("double"))
+    return scoring.words_from_tokens(found.withColumn("confs", conf), [2]).select("text_id", "word", "start", "len", F.col("labels")[0].alias("label"))
+
+
+def embedding_windows(spark, sf_dir) -> DataFrame:
+    """Embeddings as texts of ten words, one window each."""
+    rows = table(spark, sf_dir, "embeddings").select(F.floor(F.col("vec_id") / 10).alias("text_id"), "vec_id", "embedding", "label")
+    grouped = rows.groupBy("text_id").agg(F.array_sort(F.collect_list(F.struct("vec_id", "embedding", "label"))).alias("r"))
+    return grouped.select("text_id", F.lit(0).alias("start_word"), F.transform("r", lambda x: x.embedding).alias("embeds"), "r")
+
+
+@query()
+def model_evaluation(spark, sf_dir):
+    """Every model over every window: two encoders of one and two layers."""
+    windows = embedding_windows(spark, sf_dir)
+    hot = lambda x: F.transform(F.sequence(F.lit(0), F.lit(4)), lambda i: ((x.label % 2 == i) | (x.label % 3 + 2 == i)).cast("int"))
+    found = windows.select("text_id", "start_word", F.posexplode("r").alias("target", "x"))
+    found = found.select("text_id", "start_word", "target", F.col("x.vec_id").alias("sample_idx"), hot(F.col("x")).alias("labels"))
+    models = {v: scoring.ArrowScorer(encoder.Encoder(64, [2, 3], layers=v), [2, 3]) for v in (1, 2)}
+    return scoring.evaluated(models, windows, found).select("model_version", "sample_idx", F.to_json("found_labels").alias("found_labels"))
+
+
+def influences(spark, sf_dir, steps: int) -> DataFrame:
+    weights = np.sin(np.arange(64 * 5)).reshape(64, 5)
+    return explain.explained(embedding_windows(spark, sf_dir), weights, [2, 3], steps)
+
+
+@query()
+def integrated_gradients(spark, sf_dir):
+    return explain.merged_influence(influences(spark, sf_dir, 50), normalise=True)
+
+
+@query()
+def gradient_convergence(spark, sf_dir):
+    parts = [influences(spark, sf_dir, s).withColumn("steps", F.lit(s)) for s in (10, 20, 40)]
+    return explain.convergence(ingest.united(parts))
+
+
+@query(f"""WITH {TALKS}, n AS (SELECT id, max(word) + 1 AS n FROM words GROUP BY id),
+w AS (SELECT id, word, unnest(CASE WHEN n <= 8 THEN [0::BIGINT] ELSE range((greatest(ceil((word - 7) / 6.0), 0) * 6)::BIGINT, word::BIGINT + 1, 6) END) AS s
+  FROM words JOIN n USING (id)),
+p AS (SELECT a.id, a.word AS o, b.word AS i, {DRAW.format("a.id || '|' || a.s || '|' || a.word || '|' || b.word")} % 1000 / 1000.0 - 0.5 AS f
+  FROM w a JOIN w b ON a.id = b.id AND a.s = b.s),
+m AS (SELECT id, o, i, avg(f::DOUBLE) AS f FROM p GROUP BY ALL), t AS (SELECT *, max(abs(f)) OVER (PARTITION BY id, o) AS most FROM m)
+SELECT id AS text_id, o::INTEGER AS out_pos, i::INTEGER AS in_pos, round(f / CASE WHEN most < 1e-12 THEN 1 ELSE most END, 6) + 0.0 AS influence FROM t""")
+def influence_merge(spark, sf_dir):
+    words, _ = talk_words(spark, sf_dir)
+    placed = tokens.window_words(words, 8).select("text_id", "start_word", "word")
+    pairs = placed.withColumnRenamed("word", "out_pos").join(placed.withColumnRenamed("word", "in_pos"), ["text_id", "start_word"])
+    value = (draw(F.col("text_id"), F.col("start_word"), F.col("out_pos"), F.col("in_pos")) % 1000) / 1000.0 - 0.5
+    merged = explain.merged_influence(pairs.withColumns({"head": F.lit(0), "influence": value}), normalise=True)
+    return merged.select("text_id", "out_pos", "in_pos", (F.round("influence", 6) + 0.0).alias("influence"))
+
+
+# --- metrics --------------------------------------------------------------------------------------
+
+
+def evaluation(spark, sf_dir) -> DataFrame:
+    """Labels as two heads of two, and three models that are right more and more often."""
+    rows = table(spark, sf_dir, "labels").join(F.broadcast(spark.createDataFrame([(1,), (2,), (3,)], "model_version int")), F.lit(True))
+    right = lambda name: draw(F.col("model_version"), F.col("doc_id"), F.lit(name)) % 10 < F.col("model_version") * 2 + 3
+    found = {n: F.when(right(n), F.col(n)).otherwise(1 - F.col(n)) for n in ("quality", "toxic")}
+    vector = lambda q, t: F.array(1 - q, q, 1 - t, t).cast("array<float>")
+    return rows.select(
+        "model_version", F.col("doc_id").alias("sample_idx"), vector(F.col("quality"), F.col("toxic")).alias("expected_labels"), vector(found["quality"], found["toxic"]).alias("found_labels")
+    )
+
+
+def right_sql(name: str) -> str:
+    key = f"v || '|' || doc_id || '|{name}'"
+    return f"CASE WHEN {DRAW.format(key)} % 10 < v * 2 + 3 THEN {name} ELSE 1 - {name} END"
+
+
+EVAL = f"""e AS (SELECT v AS model_version, doc_id, quality AS q, toxic AS t, {right_sql("quality")} AS fq, {right_sql("toxic")} AS ft
+  FROM labels, (SELECT unnest([1, 2, 3])::INTEGER AS v)),
+r AS (SELECT model_version, 0 AS label, 1 - q AS x, 1 - fq AS f FROM e UNION ALL SELECT model_version, 1, q, fq FROM e
+  UNION ALL SELECT model_version, 2, 1 - t, 1 - ft FROM e UNION ALL SELECT model_version, 3, t, ft FROM e),
+k AS (SELECT model_version, label, count(*) FILTER (x = 1 AND f = 1) AS tp, count(*) FILTER (x = 0 AND f = 1) AS fp,
+  count(*) FILTER (x = 1 AND f = 0) AS fn, count(*) FILTER (x = 0 AND f = 0) AS tn FROM r GROUP BY ALL),
+s AS (SELECT *, list_avg(list_filter([CASE WHEN 2*tp+fp+fn > 0 THEN 2.0*tp/(2*tp+fp+fn) END, CASE WHEN 2*tn+fp+fn > 0 THEN 2.0*tn/(2*tn+fp+fn) END],
+  lambda y: y IS NOT NULL)) AS f1 FROM k)"""
+
+
+@query(f"WITH {EVAL} SELECT model_version, round(sum(f1 * (tp + fn)) / nullif(sum(tp + fn), 0), 6) AS weighted_f1, round(min(f1), 6) AS min_f1, round(max(f1), 6) AS max_f1 FROM s GROUP BY ALL")
+def f1_by_version(spark, sf_dir):
+    return rounded(metrics.f1_by_version(metrics.label_rows(evaluation(spark, sf_dir))))
+
+
+@query(f"WITH {EVAL} SELECT model_version, round(avg(f1), 6) AS weighted_f1, round(min(f1), 6) AS min_f1, round(max(f1), 6) AS max_f1 FROM s GROUP BY ALL")
+def f1_uniform(spark, sf_dir):
+    return rounded(metrics.f1_by_version(metrics.label_rows(evaluation(spark, sf_dir)), weight="uniform"))
+
+
+@query(f"WITH {EVAL} SELECT model_version, round(sum(f1 * (tp + fn)) / nullif(sum(tp + fn), 0), 6) AS weighted_f1, round(min(f1), 6) AS min_f1, round(max(f1), 6) AS max_f1 FROM s WHERE label IN (1, 3) GROUP BY ALL")
+def f1_no_neutral(spark, sf_dir):
+    return rounded(metrics.f1_by_version(metrics.label_rows(evaluation(spark, sf_dir)), leave_out=[0, 2]))
+
+
+@query(f"WITH {EVAL} SELECT label::INTEGER AS label, round(f1, 6) AS f1, (tp + fn)::BIGINT AS support FROM s WHERE model_version = 3")
+def f1_per_label(spark, sf_dir):
+    rows = metrics.label_rows(evaluation(spark, sf_dir).where("model_version = 3"))
+    return metrics.f1_by_label(rows).select("label", F.round("f1", 6).alias("f1"), "support")
+
+
+@query(f"WITH {EVAL} SELECT model_version, label::INTEGER AS label, tp, fp, fn, tn FROM k")
+def confusion_matrix(spark, sf_dir):
+    rows = metrics.label_rows(evaluation(spark, sf_dir))
+    return rows.groupBy("model_version", "label").agg(*metrics.confusion(F.col("expected"), F.col("found")))
+
+
+@query(f"""WITH {EVAL}, b AS (SELECT label, tp + fn AS ones, fp + tn AS zeros FROM k WHERE model_version = 1)
+SELECT label::INTEGER AS label, (ones > zeros)::INTEGER AS majority, round(greatest(ones, zeros) * 2.0 / (2 * greatest(ones, zeros) + least(ones, zeros))
+  / (CASE WHEN least(ones, zeros) > 0 THEN 2 ELSE 1 END), 6) AS f1, ones AS support FROM b""")
+def f1_baseline(spark, sf_dir):
+    return metrics.f1_baseline(metrics.label_rows(evaluation(spark, sf_dir))).withColumn("f1", F.round("f1", 6))
+
+
+@query(f"WITH {EVAL} SELECT label::INTEGER AS label, round(avg(1 - x), 6) AS share_0, round(avg(x), 6) AS share_1 FROM r WHERE model_version = 1 GROUP BY label")
+def class_balance(spark, sf_dir):
+    rows = metrics.label_rows(evaluation(spark, sf_dir)).where("model_version = 1")
+    return metrics.class_balance(rows).select("label", F.round("share_0", 6).alias("share_0"), F.round("share_1", 6).alias("share_1"))
+
+
+@query(f"""WITH {EVAL}, c AS (SELECT label, tp + fn AS n, f1 FROM s WHERE model_version = 2),
+i AS (SELECT *, 1 / least(1.0, greatest(0.1, n / (SELECT max(n) FROM c))) AS inv FROM c)
+SELECT label::INTEGER AS label, round(coalesce((inv - (SELECT min(inv) FROM i)) / nullif((SELECT max(inv) - min(inv) FROM i), 0), 0) * 4 * (1 - f1) + 1, 6) AS scale FROM i""")
+def loss_scaling(spark, sf_dir):
+    rows = metrics.f1_by_label(metrics.label_rows(evaluation(spark, sf_dir)).where("model_version = 2"))
+    return metrics.loss_scaling(rows.select("label", F.col("support").alias("n"), "f1"), 4.0).select("label", F.round("scale", 6).alias("scale"))
+
+
+def rounded(df: DataFrame) -> DataFrame:
+    return df.select("model_version", *[F.round(c, 6).alias(c) for c in ("weighted_f1", "min_f1", "max_f1")])
+
+
+# --- folds, orders --------------------------------------------------------------------------------
+
+
+def labelled_samples(spark, sf_dir) -> DataFrame:
+    q, t = F.col("quality"), F.col("toxic")
+    return table(spark, sf_dir, "labels").select(
+        F.col("doc_id").alias("sample_idx"), F.array(1 - q, q, 1 - t, t).alias("labels"), F.floor(F.col("doc_id") / 7).alias("enc_id")
+    )
+
+
+COUNTS = """CASE WHEN a + b > n THEN (CASE WHEN a >= b THEN a - 1 ELSE a END) ELSE a END"""
+
+
+@query(f"""WITH n AS (SELECT unnest(range(0, 200)) AS n), c AS (SELECT n, ceil(0.9::FLOAT * n::FLOAT)::BIGINT AS a, ceil(0.1::FLOAT * n::FLOAT)::BIGINT AS b FROM n)
+SELECT n, {COUNTS} AS train, n - {COUNTS} AS test FROM c""")
+def fold_counts(spark, sf_dir):
+    rows = [(n, *split.fold_counts(n, [0.9, 0.1])) for n in range(200)]
+    return spark.createDataFrame(rows, "n long, train long, test long")
+
+
+QUOTA = f"""c AS (SELECT quality, toxic, count(*) AS n, ceil(0.9::FLOAT * count(*)::FLOAT)::BIGINT AS a, ceil(0.1::FLOAT * count(*)::FLOAT)::BIGINT AS b FROM labels GROUP BY ALL),
+f AS (SELECT doc_id, (row_number() OVER (PARTITION BY quality, toxic ORDER BY md5(doc_id::VARCHAR), doc_id) > {COUNTS})::INTEGER AS fold FROM labels JOIN c USING (quality, toxic))"""
+
+
+@query(f"WITH {QUOTA} SELECT doc_id AS sample_idx, fold FROM f")
+def stratified_split(spark, sf_dir):
+    return split.quota_folds(labelled_samples(spark, sf_dir), [0.9, 0.1])
+
+
+@query()
+def stratified_split_exact(spark, sf_dir):
+    return split.exact_folds(labelled_samples(spark, sf_dir), [0.9, 0.1])
+
+
+@query()
+def two_level_split(spark, sf_dir):
+    return split.two_level(labelled_samples(spark, sf_dir))
+
+
+@query(f"""WITH {QUOTA}, e AS (SELECT fold, doc_id // 7 AS enc_id, min(doc_id) AS first FROM f GROUP BY ALL)
+SELECT fold, enc_id, row_number() OVER (PARTITION BY fold ORDER BY first) - 1 AS new_enc_id FROM e""")
+def fold_materialise(spark, sf_dir):
+    rows = labelled_samples(spark, sf_dir)
+    found = split.materialised(rows, split.quota_folds(rows, [0.9, 0.1]))
+    return found.select("fold", "enc_id", F.col("new_enc_id").cast("long").alias("new_enc_id")).distinct()
+
+
+@query("""SELECT doc_id AS sample_idx, row_number() OVER (ORDER BY md5('0|3|' || doc_id), doc_id) - 1 AS perm_pos,
+  (row_number() OVER (ORDER BY md5('0|3|' || doc_id), doc_id) - 1) // 4 AS batch_id FROM labels""")
+def epoch_permutation(spark, sf_dir):
+    return permute.batched(permute.permuted(labelled_samples(spark, sf_dir), 0, 3)).select("sample_idx", "perm_pos", "batch_id")
+
+
+# --- catalogue, rendering, JSON -------------------------------------------------------------------
+
+
+def checkpoint_paths(spark) -> DataFrame:
+    names = [(v, e, s) for v, e, s in ((0, 9, 100), (1, 4, 50), (1, 9, 110), (2, 0, 7), (10, 3, 20))]
+    return spark.createDataFrame([(f"logs/lightning_logs/version_{v}/checkpoints/epoch={e}-step={s}.ckpt",) for v, e, s in names], "path string")
+
+
+@query("SELECT * FROM (VALUES (0, 9::BIGINT), (1, 19::BIGINT), (2, 20::BIGINT), (10, 24::BIGINT)) t(version, last_epoch)")
+def checkpoint_epochs(spark, sf_dir):
+    return catalog.cumulative_epochs(catalog.parsed(checkpoint_paths(spark)))
+
+
+@query("SELECT * FROM (VALUES (0, 9), (1, 4), (1, 9)) t(version, epoch)")
+def checkpoint_retention(spark, sf_dir):
+    return catalog.expired(catalog.parsed(checkpoint_paths(spark)), 2).select("version", "epoch")
+
+
+SPAN = """'<span title="st=0,len=' || len || ',lblId=' || label || ',lbl=' || {} || '" style="border:solid 1px;color:' || ['crimson', 'royalblue', 'seagreen',
+  'darkorange', 'purple', 'teal', 'sienna', 'deeppink', 'olive', 'slateblue'][label % 10 + 1] || '">' || text || '</span>'"""
+LINES = f"""{CHUNKS}, named AS (SELECT s.*, l.text, CASE WHEN label < (SELECT count(DISTINCT mood) FROM levels) THEN 'mood_' || mood ELSE 'topic_' || topic END AS name
+  FROM spans s JOIN levels l ON l.row_idx = s.id),
+html AS (SELECT id, string_agg({SPAN.format("name")}, '' ORDER BY label) AS html FROM named GROUP BY id)"""
+
+
+@query(f"WITH {LINES} SELECT a.id, md5(a.html) AS ref_md5, md5(coalesce(b.html, '')) AS res_md5 FROM html a LEFT JOIN (SELECT * FROM html WHERE id % 2 = 0) b USING (id)")
+def side_by_side(spark, sf_dir):
+    texts, space = chunked(spark, sf_dir)
+    found = render.side_by_side(texts, texts.where("id % 2 = 0"), space.names)
+    return found.select("id", F.md5("ref_html").alias("ref_md5"), F.md5("res_html").alias("res_md5"))
+
+
+@query()
+def script_side_by_side(spark, sf_dir):
+    texts, space = chunked(spark, sf_dir)
+    return render.script_rows(texts, texts.where("id % 2 = 0"), space).select("id", F.md5("js").alias("js_md5"))
+
+
+@query(f"WITH {CHUNKS} SELECT row_idx AS id, md5(text) AS text_md5, 2 AS n_chunks, (SELECT sum(label)::BIGINT FROM spans s WHERE s.id = row_idx) AS labels FROM levels")
+def json_round_trip(spark, sf_dir):
+    texts, _ = chunked(spark, sf_dir)
+    parsed = texts.select(F.from_json(corpus_json.text_json(), "id bigint, text string, chunks array<struct<start:int,len:int,label:int>>").alias("t")).select("t.*")
+    labels = F.aggregate("chunks", F.lit(0).cast("long"), lambda a, c: a + c.label)
+    return parsed.select("id", F.md5("text").alias("text_md5"), F.size("chunks").alias("n_chunks"), labels.alias("labels"))

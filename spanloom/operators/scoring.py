@@ -48,14 +48,14 @@ class ArrowScorer:
 
 def head_softmax(logits: Column, heads: list[int]) -> Column:
     """Softmax within each head, concatenated."""
-    parts, at = [], 0
-    for n in heads:
-        cut = F.slice(logits, at + 1, n)
+
+    def one(cut: Column) -> Column:
         top = F.array_max(cut)
-        total = F.aggregate(cut, F.lit(0.0), lambda a, x, top=top: a + F.exp(x - top))
-        parts.append(F.transform(cut, lambda x, top=top, total=total: F.exp(x - top) / total))
-        at += n
-    return F.concat(*parts)
+        total = F.aggregate(cut, F.lit(0.0), lambda a, x: a + F.exp(x - top))
+        return F.transform(cut, lambda x: F.exp(x - top) / total)
+
+    starts = [sum(heads[:i]) for i in range(len(heads))]
+    return F.concat(*[one(F.slice(logits, at + 1, n)) for at, n in zip(starts, heads)])
 
 
 def winning_labels(confs: Column, heads: list[int]) -> Column:

@@ -34,3 +34,9 @@ def small_batches(spark: SparkSession, rows: int = 512) -> None:
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def without(df: DataFrame, *names: str) -> DataFrame:
+    """The rows without columns of these names, in any case: an operator's own columns take their place."""
+    taken = {n.lower() for n in names}
+    return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in taken])

@@ -11,7 +11,7 @@ windows never leave it, so no key is shuffled.
 
 Defined results: a null text has no words and fails the base rule, as an empty
 one does; repeated rows get the same verdict; an empty table gives no rows and
-the declared order; other columns pass through.
+the declared order; other columns pass through, but for those of the results' names.
 """
 
 from __future__ import annotations
@@ -22,10 +22,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import let, read, words
+from spanloom.llm.common import let, read, without, words
 
 #: Symbols the contract counts.
 SYMBOLS = r"[#*$%&|<>]"
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 SAMPLE_ROWS, MIN_WORDS, MAX_REPEAT_PERCENT = 2048, 50, 50
 
 
@@ -79,7 +80,7 @@ def measured(docs: DataFrame) -> DataFrame:
             repeat_words(w).alias("n_repeat_words"),
         ),
     )
-    return docs.select("*", F.inline(F.array(measures)))
+    return without(docs, *MEASURES).select("*", F.inline(F.array(measures)))
 
 
 def base_failed() -> Column:

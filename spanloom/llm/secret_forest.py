@@ -10,7 +10,8 @@ generated by rule from a seed (``LABELLED`` rows at most are used).
 
 Defined results: null and empty texts have no findings; offsets count code points
 from 0; a candidate that occurs twice is two findings; repeated rows are scanned
-alike; an empty table gives no rows; other columns pass through.
+alike; an empty table gives no rows; other columns pass through, but for
+those of the results' names.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import let, read
+from spanloom.llm.common import let, read, without
 
 LABELLED, TREES, DEPTH, LEAF, SEED, THRESHOLD, AROUND = 3000, 15, 6, 4, 7, 0.5, 48
 CANDIDATE = r"[A-Za-z0-9+/_\-]{12,}"
@@ -198,7 +199,7 @@ def findings(text: Column, forest: list) -> Column:
 
 def scanned(docs: DataFrame, forest: list, text_col: str = "text") -> DataFrame:
     """One row a candidate: the row's columns, start, length, score and is_secret."""
-    found = docs.select("*", F.inline(findings(F.col(text_col), forest)))
+    found = without(docs, "start", "length", "score", "is_secret").select("*", F.inline(findings(F.col(text_col), forest)))
     return found.withColumn("is_secret", F.col("score") >= THRESHOLD)
 
 

@@ -15,28 +15,29 @@ spans; a word in a script no language was learned with supports none of them, an
 a text of only such words gets the first language, in alphabetical order, with
 score 0; rows without lang teach nothing; ties go to the first language in
 alphabetical order; repeated rows are labelled alike; an empty table gives no
-rows. Without any labelled row every text is ``und``.
+rows. Without any labelled row every text is ``und``. Other columns pass through, but
+for those of the results' names.
 """
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spanloom.llm.common import fold_of, read, small_batches
+from spanloom.llm.common import fold_of, read, small_batches, without
 from spanloom.session import shared_dir
 
 SAMPLE, GRAMS, HELD_OUT = 2000, 20_000, 2
-SWITCH, FLOOR, BATCH_CHARS, KNOWN_WORDS = 9.0, -8.0, 8_000_000, 300_000
-WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
+SWITCH, FLOOR, BATCH_CHARS, KNOWN_WORDS = 9.0, -8.0, 20_000_000, 300_000
+WORD = re.compile(r"[^\W\d_]+")
 #: First and last code points of scripts; letters elsewhere count as Latin.
 SCRIPTS = {
     "Greek": [(0x370, 0x3FF), (0x1F00, 0x1FFF)],
@@ -120,39 +121,56 @@ def fit(docs: DataFrame, sample: int = SAMPLE, kept_grams: int = GRAMS) -> Model
     )
 
 
+class _Index(dict):
+    """Numbers words as they come."""
+
+    def __init__(self):
+        self.words: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        at = self[word] = len(self.words)
+        self.words.append(word)
+        return at
+
+
 class Labeller:
     def __init__(self, model: Model):
         self.model, self.n = model, len(model.languages)
-        self.unseen = np.array(model.unseen)
+        self.rows = {g: i for i, g in enumerate(model.table)}
+        self.table = np.array([*model.table.values(), model.unseen]).reshape(len(self.rows) + 1, self.n)
         self.forget()
 
     def forget(self) -> None:
-        self.index: dict[str, int] = {}
-        self.scores: list[np.ndarray] = []
-
-    def _score(self, word: str) -> np.ndarray:
-        """Log odds against the best candidate, 0 or below; other languages stay at the floor."""
-        allowed = np.array(self.model.scripts.get(script(word), [False] * self.n))
-        if not allowed.any():
-            return np.zeros(self.n)
-        total = np.zeros(self.n)
-        for g in grams(word):
-            total += self.model.table.get(g, self.unseen)
-        total -= total[allowed].max()
-        return np.where(allowed, np.maximum(total, FLOOR), 2 * FLOOR)
-
-    def ids(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        """Each word's row among the scores, and its letters."""
+        self.index = _Index()
+        self.scores, self.letters = np.zeros((0, self.n)), np.zeros(0, dtype=np.int64)
+
+    def settle(self) -> None:
+        """Scores the words that have come since: log odds against the best candidate, 0 or below.
+
+        Languages without the word's script stay below the floor; a script of no language says nothing.
+        """
+        words = self.index.words[len(self.letters) :]
+        if not words:
+            return
+        unseen, row = len(self.table) - 1, self.rows.get
+        flat = [row(g, unseen) for w in words for g in grams(w)]
+        sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+        total = np.add.reduceat(self.table[flat], np.concatenate([[0], np.cumsum(sizes)[:-1]]), axis=0)
+        scripts: dict[str, int] = {}
+        home = np.fromiter((scripts.setdefault(script(w), len(scripts)) for w in words), dtype=np.int64, count=len(words))
+        allowed = np.array([self.model.scripts.get(s, [False] * self.n) for s in scripts], dtype=bool)[home]
+        best = np.where(allowed, total, -np.inf).max(axis=1)
+        best[~np.isfinite(best)] = 0.0
+        score = np.where(allowed, np.maximum(total - best[:, None], FLOOR), 2 * FLOOR)
+        letters = np.fromiter((len(w) if w.isalpha() else sum(map(str.isalpha, w)) for w in words), dtype=np.int64, count=len(words))
+        score[~allowed.any(axis=1) | (letters == 0)] = 0.0
+        self.scores = np.concatenate([self.scores, score])
+        self.letters = np.concatenate([self.letters, letters])
+
+    def ids(self, text: str | None) -> np.ndarray:
+        """Each word's row among the scores."""
         found = WORD.findall((text or "").lower())
-        index = self.index
-        out = np.empty(len(found), dtype=np.int32)
-        for i, word in enumerate(found):
-            at = index.get(word)
-            if at is None:
-                at = index[word] = len(self.scores)
-                self.scores.append(self._score(word))
-            out[i] = at
-        return out, np.fromiter(map(len, found), dtype=np.int64, count=len(found))
+        return np.fromiter(map(self.index.__getitem__, found), dtype=np.int32, count=len(found))
 
     def paths(self, texts: list[np.ndarray]) -> list[np.ndarray]:
         """The best language at each word of each text; texts step side by side, longest first."""
@@ -161,7 +179,7 @@ class Labeller:
         sizes = sizes[order]
         flat = np.concatenate([texts[i] for i in order]) if len(texts) else np.zeros(0, dtype=np.int32)
         starts = np.concatenate([[0], np.cumsum(sizes)])[: len(sizes)]
-        scores = np.array(self.scores).reshape(-1, self.n)
+        scores = self.scores
         longest = int(sizes[0]) if len(sizes) else 0
         active = np.searchsorted(-sizes, -np.arange(longest), side="left")
         value = np.zeros((len(sizes), self.n))
@@ -197,14 +215,15 @@ class Labeller:
             yield from (("und", 0.0, []) for _ in texts)
             return
         parts = [self.ids(t) for t in texts]
-        paths = self.paths([ids for ids, _ in parts])
-        self.spoken = np.array(self.scores).reshape(-1, self.n).any(axis=1) if self.n else None
-        for (ids, letters), path in zip(parts, paths):
-            if not len(ids):
+        self.settle()
+        paths = self.paths(parts)
+        spoken = self.scores.any(axis=1) | (self.n == 1)
+        for ids, path in zip(parts, paths):
+            letters = self.letters[ids]
+            if not letters.sum():
                 yield "und", 0.0, []
                 continue
-            speaks = self.spoken[ids] if self.n > 1 else np.ones(len(ids), dtype=bool)
-            evidence = np.bincount(path, weights=letters * speaks, minlength=self.n)
+            evidence = np.bincount(path, weights=letters * spoken[ids], minlength=self.n)
             edges = np.flatnonzero(np.diff(path)) + 1
             firsts = np.concatenate([[0], edges])
             ends = np.concatenate([edges, [len(path)]])
@@ -260,7 +279,7 @@ def labelled(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
         if texts:
             yield done(texts)
 
-    return docs.withColumn("_label", label(F.col(text_col))).select(*docs.columns, "_label.*")
+    return without(docs, *RESULT.names).select("*", label(F.col(text_col)).alias("_label")).select("*", "_label.*").drop("_label")
 
 
 def op10_language_id(spark, sf_dir: str) -> DataFrame:

@@ -16,6 +16,7 @@ reaches the driver.
 from __future__ import annotations
 
 import heapq
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -102,7 +103,7 @@ def sharded(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS, folder: s
         virtual_slot(F.col("doc_id"), text, slots).alias("vslot"),
     )
     sizes = slot_sizes(rows)
-    folder = folder or f"{shared_dir(spark)}/slot-map-{spark.sparkContext.applicationId}-{id(rows)}"
+    folder = folder or f"{shared_dir(spark)}/slot-map-{uuid.uuid4().hex}"
     slot_map = stored_map(spark, initial_map(sizes, shards, slots), sizes, 1, folder)
     within = Window.partitionBy("vslot").orderBy("doc_id", "text_crc32", "size")
     numbered = rows.withColumn("place", F.row_number().over(within) - 1)

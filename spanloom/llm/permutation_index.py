@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from spanloom.llm.common import read
 from spanloom.session import shared_dir
 
-PIVOTS, PREFIX, SAMPLE, PROBES, TARGET = 256, 128, 8192, 256, 0.975
+PIVOTS, PREFIX, SAMPLE, PROBES, TARGET = 512, 64, 8192, 256, 0.975
 INDEX_BLOCK, QUERY_BLOCK, NEAREST, QUERY_STEP = 8192, 2048, 20, 20
 
 
@@ -66,8 +66,11 @@ def extended(x: np.ndarray, norm: float) -> np.ndarray:
 
 def orders(x: np.ndarray, pivots: np.ndarray, prefix: int) -> np.ndarray:
     """The ``prefix`` nearest pivots of each row, nearest first, ties to the smaller number."""
-    near = x @ pivots.T
-    return np.argsort(-near, axis=1, kind="stable")[:, :prefix].astype("<u2")
+    near = -(x @ pivots.T)
+    if prefix < near.shape[1]:
+        bound = np.partition(near, prefix - 1, axis=1)[:, prefix - 1 : prefix]
+        near[near > bound] = np.inf
+    return np.argsort(near, axis=1, kind="stable")[:, :prefix].astype("<u2")
 
 
 class Postings:
@@ -79,15 +82,16 @@ class Postings:
         by_pivot = np.argsort(flat, kind="stable")
         self.rows = (by_pivot // self.prefix).astype(np.int32)
         self.places = (by_pivot % self.prefix).astype(np.int32)
-        self.ends = np.cumsum(np.bincount(flat, minlength=pivots))
+        self.ends = np.cumsum(np.bincount(flat, minlength=pivots)).tolist()
+        at = np.arange(self.prefix)
+        self.credits = (self.prefix - np.maximum(at[:, None], at[None, :])).astype(np.float64)
 
     def taken_off(self, order: np.ndarray) -> np.ndarray:
         """Half of what shared pivots take off the largest footrule, for each row."""
-        total = np.zeros(self.n, dtype=np.int32)
-        for place, pivot in enumerate(order):
-            a, b = self.ends[pivot - 1] if pivot else 0, self.ends[pivot]
-            total[self.rows[a:b]] += self.prefix - np.maximum(self.places[a:b], place)
-        return total
+        files = [slice(self.ends[p - 1] if p else 0, self.ends[p]) for p in order]
+        rows = np.concatenate([self.rows[f] for f in files])
+        credit = np.concatenate([self.credits[place][self.places[f]] for place, f in enumerate(files)])
+        return np.bincount(rows, weights=credit, minlength=self.n).astype(np.int64)
 
 
 def fit(sample: np.ndarray, norm: float, pivots: int = PIVOTS, prefix: int = PREFIX) -> Index:

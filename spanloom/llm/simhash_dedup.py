@@ -10,6 +10,12 @@ most one bit of a half, x's home is among y's replicas, so homes meet replicas
 anchor by anchor and are compared in full there. Equal fingerprints are merged
 beforehand, so copies add no comparisons.
 
+``near_copies`` goes on from there to texts whose five-word shingles have a Jaccard
+similarity of about 0.8 or more, which differ in far more than 3 of 64 bits. It adds a
+wide fingerprint of 16 such halves over distinct two-word shingles. Texts that meet at
+an anchor of any half are compared in all 512 bits with the smallest id there, so
+the work is linear in the rows at an anchor, however many near copies a text has.
+
 Defined results: null and empty texts have no shingles and fingerprint zero,
 which links like any other; a row without doc_id gets a fingerprint and no
 component; repeated rows share one; an empty table gives no rows.
@@ -20,7 +26,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -31,23 +37,34 @@ from spanloom.session import shared_dir
 SEED, SHINGLE, THRESHOLD, CODE_BITS = 42, 3, 3, 31
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _BLOCK = 1 << 16
+#: 16 halves of 32 bits. At similarity 0.8 about a twentieth of the words differ in their pairs: near 0.095 of the bits.
+WIDE_WORDS, WIDE_SHINGLE, WIDE_THRESHOLD = 8, 2, 52
+_MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 
 
-def simhash(text: str | None) -> int:
-    """The 64-bit fingerprint of a whole text, as an unsigned integer."""
+def shingle_hashes(text: str | None, size: int) -> np.ndarray:
+    """XXH64 of each shingle of ``size`` words, in order; of all words if there are fewer; none without words."""
     found = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
     if not found:
-        return 0
-    n = max(1, len(found) - SHINGLE + 1)
+        return np.zeros(0, dtype=np.uint64)
+    n = max(1, len(found) - size + 1)
     joined, ends, at = b" ".join(found), [], 0
     for w in found:
         at += len(w)
         ends.append(at)
         at += 1
     starts = [0, *(e + 1 for e in ends[: n - 1])]
-    last = ends[min(SHINGLE, len(found)) - 1 :]
+    last = ends[min(size, len(found)) - 1 :]
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts, last)), dtype=np.uint64, count=n)
+    return np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts, last)), dtype=np.uint64, count=n)
+
+
+def simhash(text: str | None) -> int:
+    """The 64-bit fingerprint of a whole text, as an unsigned integer."""
+    hashes = shingle_hashes(text, SHINGLE)
+    n = len(hashes)
+    if not n:
+        return 0
     ones = np.zeros(64, dtype=np.int64)
     for i in range(0, n, _BLOCK):
         part = hashes[i : i + _BLOCK].astype(">u8").view(np.uint8).reshape(-1, 8)
@@ -60,6 +77,24 @@ def fingerprint(text: pd.Series) -> pd.Series:
     return pd.Series(np.array([simhash(t) for t in text], dtype=np.uint64).astype(np.int64))
 
 
+def wide_simhash(text: str | None) -> np.ndarray:
+    """512 bits over the distinct two-word shingles, as 8 numbers; zeros without words."""
+    hashes = np.unique(shingle_hashes(text, WIDE_SHINGLE))
+    ones = np.zeros(64 * WIDE_WORDS, dtype=np.int64)
+    for i in range(0, len(hashes), _BLOCK // WIDE_WORDS):
+        z = hashes[i : i + _BLOCK // WIDE_WORDS, None] + np.arange(WIDE_WORDS, dtype=np.uint64)[None, :] * _MIX[0]
+        z = (z ^ (z >> np.uint64(30))) * _MIX[1]
+        z = (z ^ (z >> np.uint64(27))) * _MIX[2]
+        z ^= z >> np.uint64(31)
+        ones += np.unpackbits(z.astype(">u8").view(np.uint8).reshape(len(z), -1), axis=1).sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * ones > len(hashes)).view(">u8").astype(np.uint64).astype(np.int64)
+
+
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def wide_fingerprint(text: pd.Series) -> pd.Series:
+    return pd.Series([wide_simhash(t) for t in text])
+
+
 def _errors() -> list[list[int]]:
     """By syndrome: the errors of weight 2 or less that lead from a half to an anchor."""
     size = CODE_BITS + 1
@@ -78,31 +113,53 @@ def _syndrome(half: Column) -> Column:
     return total
 
 
+_WORD = (1 << CODE_BITS) - 1
+
+
+def _anchors(rows: DataFrame) -> DataFrame:
+    """Adds s, the syndrome, to rows with side and half."""
+    return rows.withColumn("s", _syndrome(F.col("half")))
+
+
+def _key(half: Column) -> Column:
+    return F.shiftleft("side", 32).bitwiseOR(half).alias("anchor")
+
+
+def _replicas() -> Column:
+    """The errors that lead from a half of syndrome s to the anchors within radius plus threshold."""
+    table = F.array(*[F.array(*[F.lit(e).cast("long") for e in row]) for row in _errors()])
+    return F.element_at(table, F.col("s").cast("int") + 1)
+
+
 def links(fps: DataFrame) -> DataFrame:
     """(u, v) ids of distinct fingerprints at 3 or fewer differing bits; ``fps``: fp (unique), node."""
-    word = F.lit((1 << CODE_BITS) - 1).cast("long")
-    halves = fps.select(
-        "node",
-        "fp",
-        F.inline(
-            F.array(
-                F.struct(F.lit(0).cast("long").alias("side"), F.col("fp").bitwiseAND(word).alias("half")),
-                F.struct(F.lit(1).cast("long").alias("side"), F.shiftrightunsigned("fp", 32).bitwiseAND(word).alias("half")),
-            )
-        ),
-    ).withColumn("s", _syndrome(F.col("half")))
-    table = F.array(*[F.array(*[F.lit(e).cast("long") for e in row]) for row in _errors()])
-    key = lambda half: F.shiftleft("side", 32).bitwiseOR(half).alias("anchor")
+    word = F.lit(_WORD).cast("long")
+    side = lambda n, half: F.struct(F.lit(n).cast("long").alias("side"), half.bitwiseAND(word).alias("half"))
+    pair = F.array(side(0, F.col("fp")), side(1, F.shiftrightunsigned("fp", 32)))
+    halves = _anchors(fps.select("node", "fp", F.inline(pair)))
     home = F.when(F.col("s") == 0, F.col("half")).otherwise(
         F.col("half").bitwiseXOR(F.expr("shiftleft(1L, cast(greatest(s - 1, 0) AS INT))"))
     )
-    homes = halves.select(key(home), "node", "fp")
-    replicas = halves.select("side", "half", F.col("node").alias("node2"), F.col("fp").alias("fp2"), F.explode(F.element_at(table, F.col("s").cast("int") + 1)).alias("e"))
-    replicas = replicas.select(key(F.col("half").bitwiseXOR(F.col("e"))), "node2", "fp2")
+    homes = halves.select(_key(home), "node", "fp")
+    replicas = halves.select("side", "half", F.col("node").alias("node2"), F.col("fp").alias("fp2"), F.explode(_replicas()).alias("e"))
+    replicas = replicas.select(_key(F.col("half").bitwiseXOR(F.col("e"))), "node2", "fp2")
     near = F.bit_count(F.col("fp").bitwiseXOR(F.col("fp2"))) <= THRESHOLD
     return homes.join(replicas, "anchor").where((F.col("fp") < F.col("fp2")) & near).select(F.col("node").alias("u"), F.col("node2").alias("v"))
 
 
+def wide_links(wides: DataFrame) -> DataFrame:
+    """(u, v): distinct wide fingerprints near that of the smallest id at an anchor; ``wides``: wide (unique), node."""
+    word = F.lit(_WORD).cast("long")
+    sides = F.flatten(F.transform("wide", lambda w: F.array(w.bitwiseAND(word), F.shiftrightunsigned(w, 32).bitwiseAND(word))))
+    halves = _anchors(wides.select("node", F.posexplode(sides).alias("side", "half")).withColumn("side", F.col("side").cast("long")))
+    rows = halves.select("side", "half", "node", F.explode(_replicas()).alias("e")).select(_key(F.col("half").bitwiseXOR(F.col("e"))), "node")
+    met = rows.withColumn("first", F.min("node").over(Window.partitionBy("anchor")))
+    pairs = met.where(F.col("node") != F.col("first")).select("first", "node").distinct()
+    left, right = wides.select(F.col("node").alias("first"), F.col("wide").alias("a")), wides.select("node", F.col("wide").alias("b"))
+    apart = F.aggregate(F.zip_with("a", "b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, n: t + n)
+    return pairs.join(left, "first").join(right, "node").where(apart <= WIDE_THRESHOLD).select(F.col("first").alias("u"), F.col("node").alias("v"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fp, component_id) for every row."""
     spark = docs.sparkSession
@@ -116,9 +173,25 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return found.select(id_col, "fp", F.when(F.col(id_col).isNotNull(), F.col("component_id")).alias("component_id"))
 
 
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, component_id) over the links of both fingerprints; a row without id has no component."""
+    spark = docs.sparkSession
+    small_batches(spark)
+    shared_dir(spark)
+    marks = [fingerprint(F.col(text_col)).alias("fp"), wide_fingerprint(F.col(text_col)).alias("wide")]
+    marked = docs.select(F.col(id_col).alias("id"), *marks).checkpoint()
+    known = marked.where("id IS NOT NULL")
+    fps, wides = known.groupBy("fp").agg(F.min("id").alias("node")), known.groupBy("wide").agg(F.min("id").alias("node"))
+    same = known.join(fps, "fp").where("id != node").select(F.col("id").alias("u"), F.col("node").alias("v"))
+    alike = known.join(wides, "wide").where("id != node").select(F.col("id").alias("u"), F.col("node").alias("v"))
+    joined = connected_components(links(fps).unionByName(wide_links(wides)).unionByName(same).unionByName(alike))
+    found = marked.select("id").join(joined.withColumnRenamed("node", "id"), "id", "left")
+    return found.select(F.col("id").alias(id_col), F.coalesce("component", "id").alias("component_id"))
+
+
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Keeps each component's row of the smallest id, once; rows without an id all stay."""
-    classes = near_duplicates(docs, id_col, text_col).checkpoint()
+    """Keeps of each component of ``near_copies`` the row of the smallest id, once; rows without an id all stay."""
+    classes = near_copies(docs, id_col, text_col).checkpoint()
     gone = classes.where(F.col(id_col) != F.col("component_id")).select(id_col).distinct()
     kept = docs.join(gone, id_col, "left_anti").select(*docs.columns)
     again = classes.where(F.col(id_col) == F.col("component_id")).groupBy(id_col).count().where("count > 1").limit(1)

@@ -10,15 +10,20 @@ most one bit of a half, x's home is among y's replicas, so homes meet replicas
 anchor by anchor and are compared in full there. Equal fingerprints are merged
 beforehand, so copies add no comparisons.
 
-``near_copies`` goes on from there to texts whose five-word shingles have a Jaccard
-similarity of about 0.8 or more, which differ in far more than 3 of 64 bits. It adds a
-wide fingerprint of 16 such halves over distinct two-word shingles. Texts that meet at
-an anchor of any half are compared in all 512 bits with the smallest id there, so
-the work is linear in the rows at an anchor, however many near copies a text has.
+``near_copies`` decides by the measure itself: two texts are joined if their sets of
+five-word shingles have a Jaccard similarity of 0.8 or more. Candidates come from
+prefixes: with all shingles in one order, sets at 0.8 share one of their first
+n - ceil(0.8 n) + 1, so none is lost. The order takes shingles that a sample shows to be common
+last, which decides the cost alone: texts that share a passage do not meet in it. Every
+pair at a shingle is compared, but for pairs that verified links have joined already;
+rounds of one comparison a text join large groups before that. Lengths and a parity
+bitmap (its differing bits never outnumber the differing shingles) drop pairs
+that cannot reach 0.8; the rest are counted shingle by shingle.
 
 Defined results: null and empty texts have no shingles and fingerprint zero,
 which links like any other; a row without doc_id gets a fingerprint and no
-component; repeated rows share one; an empty table gives no rows.
+component; repeated rows share one; an empty table gives no rows. For ``near_copies``
+texts without words are copies of each other, and those of fewer than five words have one shingle.
 """
 
 from __future__ import annotations
@@ -37,9 +42,10 @@ from spanloom.session import shared_dir
 SEED, SHINGLE, THRESHOLD, CODE_BITS = 42, 3, 3, 31
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _BLOCK = 1 << 16
-#: 16 halves of 32 bits. At similarity 0.8 about a twentieth of the words differ in their pairs: near 0.095 of the bits.
-WIDE_WORDS, WIDE_SHINGLE, WIDE_THRESHOLD = 8, 2, 52
-_MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
+#: Similarity 4 / 5 of the sets of five-word shingles, in whole numbers; bits of the bitmap.
+COPY_SHINGLE, PARITY_BITS = 5, 1024
+#: For the cost alone: texts sampled for common shingles, shingles kept, pairs a posting that are compared without further rounds, rounds.
+SAMPLED, COMMON, LEAST, PAIRS, ROUNDS = 8192, 65536, 3, 4, 6
 
 
 def shingle_hashes(text: str | None, size: int) -> np.ndarray:
@@ -77,22 +83,52 @@ def fingerprint(text: pd.Series) -> pd.Series:
     return pd.Series(np.array([simhash(t) for t in text], dtype=np.uint64).astype(np.int64))
 
 
-def wide_simhash(text: str | None) -> np.ndarray:
-    """512 bits over the distinct two-word shingles, as 8 numbers; zeros without words."""
-    hashes = np.unique(shingle_hashes(text, WIDE_SHINGLE))
-    ones = np.zeros(64 * WIDE_WORDS, dtype=np.int64)
-    for i in range(0, len(hashes), _BLOCK // WIDE_WORDS):
-        z = hashes[i : i + _BLOCK // WIDE_WORDS, None] + np.arange(WIDE_WORDS, dtype=np.uint64)[None, :] * _MIX[0]
-        z = (z ^ (z >> np.uint64(30))) * _MIX[1]
-        z = (z ^ (z >> np.uint64(27))) * _MIX[2]
-        z ^= z >> np.uint64(31)
-        ones += np.unpackbits(z.astype(">u8").view(np.uint8).reshape(len(z), -1), axis=1).sum(axis=0, dtype=np.int64)
-    return np.packbits(2 * ones > len(hashes)).view(">u8").astype(np.uint64).astype(np.int64)
+def copy_shingles(text: str | None) -> np.ndarray:
+    """The distinct five-word shingles, ascending."""
+    return np.unique(shingle_hashes(text, COPY_SHINGLE))
 
 
 @F.pandas_udf(T.ArrayType(T.LongType()))
-def wide_fingerprint(text: pd.Series) -> pd.Series:
-    return pd.Series([wide_simhash(t) for t in text])
+def copy_shingle_set(text: pd.Series) -> pd.Series:
+    return pd.Series([copy_shingles(t).astype(np.int64) for t in text])
+
+
+def set_marks(common: dict[int, int]):
+    """UDF of a text's set: node (its digest), n, the prefix by (count among the common ones, hash) and the parity bitmap."""
+    known = np.array(sorted(common), dtype=np.int64)
+    counts = np.array([common[k] for k in known.tolist()], dtype=np.int64)
+
+    @F.pandas_udf("node long, n int, prefix array<long>, bits array<long>")
+    def marks(text: pd.Series) -> pd.DataFrame:
+        rows = []
+        for t in text:
+            found = copy_shingles(t)
+            n, signed = len(found), found.astype(np.int64)
+            weight = np.zeros(n, dtype=np.int64)
+            if len(known):
+                at = np.minimum(np.searchsorted(known, signed), len(known) - 1)
+                weight = np.where(known[at] == signed, counts[at], 0)
+            first = signed[np.lexsort((signed, weight))[: n - (4 * n + 4) // 5 + 1]]
+            odd = np.bincount((found % np.uint64(PARITY_BITS)).astype(np.int64), minlength=PARITY_BITS) & 1
+            bits = np.packbits(odd.astype(np.uint8)).view(np.int64)
+            node = np.uint64(xxhash.xxh64_intdigest(found.tobytes(), SEED)).astype(np.int64)
+            rows.append((node, n, first, bits))
+        return pd.DataFrame(rows, columns=["node", "n", "prefix", "bits"])
+
+    return marks
+
+
+@F.pandas_udf(T.BooleanType())
+def are_copies(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Whether the Jaccard similarity is 4 / 5 or more."""
+    last, kept, out = None, None, []
+    for s, t in zip(a, b):
+        if kept is None or t != last:
+            last, kept = t, copy_shingles(t)
+        other = copy_shingles(s)
+        shared = len(np.intersect1d(other, kept, assume_unique=True))
+        out.append(9 * shared >= 4 * (len(other) + len(kept)))
+    return pd.Series(out, dtype=bool)
 
 
 def _errors() -> list[list[int]]:
@@ -147,17 +183,63 @@ def links(fps: DataFrame) -> DataFrame:
     return homes.join(replicas, "anchor").where((F.col("fp") < F.col("fp2")) & near).select(F.col("node").alias("u"), F.col("node2").alias("v"))
 
 
-def wide_links(wides: DataFrame) -> DataFrame:
-    """(u, v): distinct wide fingerprints near that of the smallest id at an anchor; ``wides``: wide (unique), node."""
-    word = F.lit(_WORD).cast("long")
-    sides = F.flatten(F.transform("wide", lambda w: F.array(w.bitwiseAND(word), F.shiftrightunsigned(w, 32).bitwiseAND(word))))
-    halves = _anchors(wides.select("node", F.posexplode(sides).alias("side", "half")).withColumn("side", F.col("side").cast("long")))
-    rows = halves.select("side", "half", "node", F.explode(_replicas()).alias("e")).select(_key(F.col("half").bitwiseXOR(F.col("e"))), "node")
-    met = rows.withColumn("first", F.min("node").over(Window.partitionBy("anchor")))
-    pairs = met.where(F.col("node") != F.col("first")).select("first", "node").distinct()
-    left, right = wides.select(F.col("node").alias("first"), F.col("wide").alias("a")), wides.select("node", F.col("wide").alias("b"))
-    apart = F.aggregate(F.zip_with("a", "b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, n: t + n)
-    return pairs.join(left, "first").join(right, "node").where(apart <= WIDE_THRESHOLD).select(F.col("first").alias("u"), F.col("node").alias("v"))
+def common_shingles(texts: DataFrame) -> dict[int, int]:
+    """Counts of the shingles most frequent in a sample of the distinct texts, ``COMMON`` at most; ``texts``: text, h."""
+    every = max(1, texts.count() // SAMPLED)
+    sample = texts.where(F.pmod("h", F.lit(every)) == 0).dropDuplicates(["h"])
+    found = sample.select(F.explode(copy_shingle_set("text")).alias("key")).groupBy("key").count().where(F.col("count") >= LEAST)
+    return {r["key"]: r["count"] for r in found.orderBy(F.desc("count"), "key").limit(COMMON).collect()}
+
+
+def _fits(a: Column, b: Column) -> Column:
+    """Whether sets of these sizes can reach the similarity."""
+    return 5 * F.least(a, b) >= 4 * F.greatest(a, b)
+
+
+def verified(pairs: DataFrame, sets: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (u, v) of nodes whose similarity is 4 / 5 or more; ``sets``: node, n, bits, h; ``texts``: text, h."""
+    left, right = (sets.select(*[F.col(c).alias(c + side) for c in ("node", "n", "bits", "h")]) for side in "12")
+    apart = F.aggregate(F.zip_with("bits1", "bits2", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, n: t + n)
+    both = pairs.join(left, F.col("u") == F.col("node1")).join(right, F.col("v") == F.col("node2"))
+    near = both.where(_fits(F.col("n1"), F.col("n2")) & (9 * apart <= F.col("n1") + F.col("n2"))).select("u", "v", "h1", "h2").checkpoint()
+    needed = near.select(F.col("h1").alias("h")).union(near.select("h2")).distinct()
+    held = texts.groupBy("h").agg(F.first("text").alias("text")).join(needed, "h", "left_semi")
+    first, second = held.select(F.col("h").alias("h1"), F.col("text").alias("a")), held.select(F.col("h").alias("h2"), F.col("text").alias("b"))
+    found = near.join(first, "h1").join(second, "h2")
+    return found.where(are_copies("a", "b")).select("u", "v").checkpoint()
+
+
+def copy_links(postings: DataFrame, sets: DataFrame, texts: DataFrame) -> DataFrame:
+    """(node, component): components of all links at 4 / 5 or more; ``postings``: key, node, n."""
+    at = Window.partitionBy("key")
+    shared = postings.withColumn("many", F.count(F.lit(1)).over(at)).where("many > 1").drop("many").checkpoint()
+    size, edges, before = shared.count(), None, None
+    joined = shared.sparkSession.createDataFrame([], "node long, component long")
+    for turn in range(ROUNDS + 1):
+        now = shared.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node")).checkpoint()
+        per = now.groupBy("key", "component").count().groupBy("key")
+        rows, squares = F.sum("count").cast("double"), F.sum(F.col("count") * F.col("count")).cast("double")
+        left = per.agg(((rows * rows - squares) / 2).alias("p")).agg(F.sum("p")).first()[0] or 0.0
+        last = left <= PAIRS * size or turn == ROUNDS or (before is not None and left > 0.9 * before)
+        before = left
+        if last:
+            a, b = (now.select("key", *[F.col(c).alias(c + side) for c in ("node", "n", "component")]) for side in "12")
+            met = a.join(b, "key").where((F.col("node1") < F.col("node2")) & (F.col("component1") != F.col("component2")) & _fits(F.col("n1"), F.col("n2")))
+            pairs = met.select(F.col("node1").alias("u"), F.col("node2").alias("v")).distinct()
+        else:
+            # One comparison a text: with the text of another component met most often among two drawn at each shingle.
+            drawn = now.withColumn("drawn", F.struct(F.xxhash64("node", F.lit(turn)).alias("o"), "node", "n", "component"))
+            drawn = drawn.withColumn("one", F.min("drawn").over(at))
+            drawn = drawn.withColumn("two", F.min(F.when(F.col("component") != F.col("one.component"), F.col("drawn"))).over(at))
+            other = F.when(F.col("component") != F.col("one.component"), F.col("one")).otherwise(F.col("two"))
+            met = drawn.select("node", "n", other.alias("other")).where(F.col("other").isNotNull() & _fits(F.col("n"), F.col("other.n")))
+            most = met.groupBy("node", F.col("other.node").alias("v")).count().groupBy("node").agg(F.max(F.struct("count", "v")).alias("most"))
+            pairs = most.select(F.col("node").alias("u"), F.col("most.v").alias("v"))
+        found = verified(pairs, sets, texts)
+        edges = found if edges is None else edges.unionByName(found)
+        joined = connected_components(edges)
+        if last:
+            return joined
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -173,20 +255,30 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return found.select(id_col, "fp", F.when(F.col(id_col).isNotNull(), F.col("component_id")).alias("component_id"))
 
 
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, component_id) over the links of both fingerprints; a row without id has no component."""
+def _copies(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, h, component) for every row: h is the digest of the text, component a number that near copies share."""
     spark = docs.sparkSession
     small_batches(spark)
     shared_dir(spark)
-    marks = [fingerprint(F.col(text_col)).alias("fp"), wide_fingerprint(F.col(text_col)).alias("wide")]
-    marked = docs.select(F.col(id_col).alias("id"), *marks).checkpoint()
-    known = marked.where("id IS NOT NULL")
-    fps, wides = known.groupBy("fp").agg(F.min("id").alias("node")), known.groupBy("wide").agg(F.min("id").alias("node"))
-    same = known.join(fps, "fp").where("id != node").select(F.col("id").alias("u"), F.col("node").alias("v"))
-    alike = known.join(wides, "wide").where("id != node").select(F.col("id").alias("u"), F.col("node").alias("v"))
-    joined = connected_components(links(fps).unionByName(wide_links(wides)).unionByName(same).unionByName(alike))
-    found = marked.select("id").join(joined.withColumnRenamed("node", "id"), "id", "left")
-    return found.select(F.col("id").alias(id_col), F.coalesce("component", "id").alias("component_id"))
+    texts = docs.select(F.col(text_col).alias("text"), _digest(text_col).alias("h"))
+    marks = set_marks(common_shingles(texts))
+    rows = docs.select(F.col(id_col).alias("id"), _digest(text_col).alias("h"), marks(F.col(text_col)).alias("m"))
+    marked = rows.select("id", "h", "m.*").checkpoint()
+    sets = marked.groupBy("node").agg(F.first("n").alias("n"), F.first("bits").alias("bits"), F.min("h").alias("h")).checkpoint()
+    postings = marked.select("node", "n", "prefix").dropDuplicates(["node"]).select(F.explode("prefix").alias("key"), "node", "n")
+    joined = copy_links(postings, sets, texts)
+    return marked.select("id", "h", "node").join(joined, "node", "left").select("id", "h", F.coalesce("component", "node").alias("component"))
+
+
+def _digest(text_col: str) -> Column:
+    return F.xxhash64(F.col(text_col))
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, component_id), the smallest id of the texts joined at 0.8 or more; a row without id has no component."""
+    rows = _copies(docs, id_col, text_col).checkpoint()
+    least = rows.groupBy("component").agg(F.min("id").alias("component_id"))
+    return rows.join(least, "component").select(F.col("id").alias(id_col), F.when(F.col("id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -444,3 +444,49 @@ def test_near_copies(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id: r.component_id for r in simhash_dedup.near_copies(df).collect()}
     assert got == {i: 3 * g for i, g in enumerate(group)}
+
+
+def brute_copies(texts):
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in texts]
+    label = list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            b = sets[j]
+            if 5 * min(len(a), len(b)) >= 4 * max(len(a), len(b)) and 5 * len(a & b) >= 4 * len(a | b) and label[i] != label[j]:
+                low, high = sorted((label[i], label[j]))
+                label = [low if x == high else x for x in label]
+    return dict(enumerate(label))
+
+
+def test_near_copies_sharing_a_passage(spark):
+    rng = np.random.default_rng(3)
+    word = lambda n: ["w%d" % x for x in rng.integers(0, 1 << 30, n)]
+    passage, texts = word(160), []
+    for _ in range(600):
+        own = word(40)
+        texts.append(" ".join(passage + own))
+        own[10] = own[30] = "changed"
+        texts.append(" ".join(passage + own))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash_dedup.near_copies(df).collect()}
+    assert got == {i: i - i % 2 for i in range(1200)} == brute_copies(texts)
+
+
+def test_near_copies_around_the_bound(spark):
+    rng = np.random.default_rng(4)
+    texts = []
+    for g in range(150):
+        base = ["w%d" % x for x in rng.integers(0, 1 << 30, int(rng.integers(60, 300)))]
+        copy = list(base)
+        for k in rng.choice(len(base), max(1, int(len(base) * rng.uniform(0.01, 0.035))), replace=False):
+            copy[k] = "x%d" % k
+        texts += [" ".join(base), " ".join(copy)]
+    group = ["w%d" % x for x in rng.integers(0, 1 << 30, 120)]
+    for _ in range(200):
+        copy = list(group)
+        for k in rng.choice(120, int(rng.integers(1, 4)), replace=False):
+            copy[k] = "y%d" % rng.integers(0, 1 << 30)
+        texts.append(" ".join(copy))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash_dedup.near_copies(df).collect()}
+    assert got == brute_copies(texts)

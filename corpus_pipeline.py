@@ -5,8 +5,8 @@ Parquet to the shared folder and hands what it reads back to the next stage. All
 but the last return the columns of ``documents``.
 
 Defined results: nulls, empty and very long texts, ties, repeated rows, empty tables
-and further columns are treated as each stage's operator states; rows with the same
-id that survive to near-dedup stay once.
+and further columns are treated as each stage's operator states; near-dedup tells rows
+apart by id and text, so different texts under one id are judged each for itself.
 """
 
 from __future__ import annotations

@@ -282,14 +282,19 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Keeps of each component of ``near_copies`` the row of the smallest id, once; rows without an id all stay."""
-    classes = near_copies(docs, id_col, text_col).checkpoint()
-    gone = classes.where(F.col(id_col) != F.col("component_id")).select(id_col).distinct()
-    kept = docs.join(gone, id_col, "left_anti").select(*docs.columns)
-    again = classes.where(F.col(id_col) == F.col("component_id")).groupBy(id_col).count().where("count > 1").limit(1)
-    if again.isEmpty():
-        return kept
-    return kept.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(kept.where(F.col(id_col).isNull()))
+    """Keeps one row of each group of near copies: of the smallest id, then text digest; a row without id comes after all others.
+
+    Rows are told apart by id and text digest, so different texts under one id are judged each for itself.
+    """
+    rows = _copies(docs, id_col, text_col).checkpoint()
+    best = rows.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "h")).alias("best"))
+    stays = F.col("id").eqNullSafe(F.col("best.id")) & (F.col("h") == F.col("best.h"))
+    judged = rows.join(best, "component").select("component", "id", "h", stays.alias("stays"))
+    gone = judged.where(~F.col("stays")).select(F.col("id").alias("id2"), F.col("h").alias("h2")).distinct()
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("id"), _digest(text_col).alias("h"))
+    kept = keyed.join(gone, F.col("id").eqNullSafe(F.col("id2")) & (F.col("h") == F.col("h2")), "left_anti")
+    again = judged.where("stays").groupBy("component").count().where("count > 1").limit(1)
+    return (kept if again.isEmpty() else kept.dropDuplicates(["id", "h"])).select("row.*")
 
 
 def op2_simhash_dedup(spark, sf_dir: str) -> DataFrame:

@@ -490,3 +490,11 @@ def test_near_copies_around_the_bound(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id: r.component_id for r in simhash_dedup.near_copies(df).collect()}
     assert got == brute_copies(texts)
+
+
+def test_deduplicated_by_id_and_text(spark):
+    text = lambda k: " ".join(f"w{k}x{i}" for i in range(60))
+    rows = [(1, text(1)), (7, text(2)), (7, text(3)), (7, text(1)), (None, text(4)), (None, text(4)), (None, text(2)), (8, text(5)), (8, text(5))]
+    got = simhash_dedup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = [(1, text(1)), (7, text(2)), (7, text(3)), (None, text(4)), (8, text(5))]
+    assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)

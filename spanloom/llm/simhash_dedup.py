@@ -16,7 +16,7 @@ prefixes: with all shingles in one order, sets at 0.8 share one of their first
 n - ceil(0.8 n) + 1, so none is lost. The order takes shingles that a sample shows to be common
 last, which decides the cost alone: texts that share a passage do not meet in it. Every
 pair at a shingle is compared, but for pairs that verified links have joined already;
-rounds of one comparison a text join large groups before that. Lengths and a parity
+rounds of a few comparisons a text join large groups before that. Lengths and a parity
 bitmap (its differing bits never outnumber the differing shingles) drop pairs
 that cannot reach 0.8; the rest are counted shingle by shingle.
 
@@ -44,8 +44,8 @@ _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _BLOCK = 1 << 16
 #: Similarity 4 / 5 of the sets of five-word shingles, in whole numbers; bits of the bitmap.
 COPY_SHINGLE, PARITY_BITS = 5, 1024
-#: For the cost alone: texts sampled for common shingles, shingles kept, pairs a posting that are compared without further rounds, rounds.
-SAMPLED, COMMON, LEAST, PAIRS, ROUNDS = 8192, 65536, 3, 4, 6
+#: For the cost alone: texts sampled for common shingles, shingles kept, pairs a posting that are compared without further rounds, rounds, comparisons a text in a round.
+SAMPLED, COMMON, LEAST, PAIRS, ROUNDS, TRIES = 8192, 65536, 3, 0.1, 6, 8
 
 
 def shingle_hashes(text: str | None, size: int) -> np.ndarray:
@@ -227,14 +227,15 @@ def copy_links(postings: DataFrame, sets: DataFrame, texts: DataFrame) -> DataFr
             met = a.join(b, "key").where((F.col("node1") < F.col("node2")) & (F.col("component1") != F.col("component2")) & _fits(F.col("n1"), F.col("n2")))
             pairs = met.select(F.col("node1").alias("u"), F.col("node2").alias("v")).distinct()
         else:
-            # One comparison a text: with the text of another component met most often among two drawn at each shingle.
-            drawn = now.withColumn("drawn", F.struct(F.xxhash64("node", F.lit(turn)).alias("o"), "node", "n", "component"))
+            # A few comparisons a text: with the texts of other components met most often among two drawn at each shingle.
+            drawn = now.withColumn("drawn", F.struct(F.xxhash64("node", "key", F.lit(turn)).alias("o"), "node", "n", "component"))
             drawn = drawn.withColumn("one", F.min("drawn").over(at))
             drawn = drawn.withColumn("two", F.min(F.when(F.col("component") != F.col("one.component"), F.col("drawn"))).over(at))
             other = F.when(F.col("component") != F.col("one.component"), F.col("one")).otherwise(F.col("two"))
             met = drawn.select("node", "n", other.alias("other")).where(F.col("other").isNotNull() & _fits(F.col("n"), F.col("other.n")))
-            most = met.groupBy("node", F.col("other.node").alias("v")).count().groupBy("node").agg(F.max(F.struct("count", "v")).alias("most"))
-            pairs = most.select(F.col("node").alias("u"), F.col("most.v").alias("v"))
+            most = met.groupBy("node", F.col("other.node").alias("v")).count()
+            most = most.withColumn("place", F.row_number().over(Window.partitionBy("node").orderBy(F.desc("count"), "v")))
+            pairs = most.where(F.col("place") <= TRIES).select(F.least("node", "v").alias("u"), F.greatest("node", "v").alias("v")).distinct()
         found = verified(pairs, sets, texts)
         edges = found if edges is None else edges.unionByName(found)
         joined = connected_components(edges)

@@ -1,6 +1,8 @@
 """Secret scans: a random forest that removes false positives from candidates.
 
-Candidates are runs of key-like characters with a digit (or a known key prefix).
+Candidates are what the pattern ``CANDIDATE`` finds: dotted tokens, values of six characters or more
+that a word naming a secret is assigned, and runs of twelve or more key-like characters;
+of the runs, those with a digit, a known key prefix or case that changes often.
 Features of a candidate: its length, character shares and transitions between
 classes, how much of it a dictionary covers, whether it lies on a path, and the
 words next to it. The forest is grown from labelled findings, and is then an
@@ -8,8 +10,11 @@ expression of nested CASEs: scanning runs in the row on built-in functions alone
 and shuffles nothing. Labelled findings are a parameter; the default set is
 generated by rule from a seed (``LABELLED`` rows at most are used).
 
-Defined results: null and empty texts have no findings; offsets count code points
-from 0; a candidate that occurs twice is two findings; repeated rows are scanned
+Places come from the construction: the pattern splits the text into gaps and matches,
+whose lengths add up, so no value is searched for again and a long text takes one pass.
+
+Defined results: null and empty texts have no findings; very long texts are scanned whole;
+offsets count code points from 0; a candidate that occurs twice is two findings; repeated rows are scanned
 alike; an empty table gives no rows; other columns pass through, but for
 those of the results' names.
 """
@@ -26,10 +31,15 @@ from pyspark.sql import functions as F
 from spanloom.llm.common import let, read, without
 
 LABELLED, TREES, DEPTH, LEAF, SEED, THRESHOLD, AROUND = 3000, 15, 6, 4, 7, 0.5, 48
-CANDIDATE = r"[A-Za-z0-9+/_\-]{12,}"
 #: Public prefixes of issued keys, words that name a secret, words that name a harmless value, filler.
-PREFIX = r"^(AKIA|ASIA|gh[pousr]_|sk[-_]|rk_|xox[abprs]-|glpat-|npm_|eyJ|AIza|SG\.)"
-KEY_WORDS = r"(?i)(secret|passw(or)?d|passwd|pwd|token|api[_-]?key|access[_-]?key|auth|bearer|credential|private)\W{0,4}$"
+PREFIX = r"(^|[-_+/])(AKIA|ASIA|gh[pousr]_|sk[-_]|rk_|xox[abprs]-|glpat-|npm_|eyJ|AIza|SG\.)"
+_NAMES = r"secret|passw(?:or)?d|passwd|pwd|token|api[_-]?key|access[_-]?key|auth|bearer|credential|private"
+KEY_WORDS = rf"(?i)({_NAMES})\W{{0,4}}$"
+ASSIGNED = rf"(?i:{_NAMES})[\"']?\s{{0,2}}[=:]\s{{0,2}}[\"']?"
+DOTTED = r"(?:SG|eyJ[A-Za-z0-9_\-]{8,})(?:\.[A-Za-z0-9_\-]{12,}){1,2}"
+CANDIDATE = rf"{DOTTED}|(?<=[=:\"'\s])(?<={ASSIGNED})[^\s\"',;<>()]{{6,}}|[A-Za-z0-9+/_\-]{{12,}}"
+#: Fixed pattern: runs that may be keys by themselves.
+KEY_LIKE = r"[0-9]|([a-z][A-Z].*){3}"
 PLAIN_WORDS = r"(?i)(commit|sha\d*|md5|digest|checksum|uuid|guid|version|build|revision|hash|etag|isbn|card|order|phone|id|ref)\W{0,4}$"
 FILLER = r"(?i)(example|sample|placeholder|change_?me|your|dummy|test|x{4,}|1234|abcd|0{5,})"
 DICTIONARY = (
@@ -59,6 +69,8 @@ def features(cand: Column, before: Column, after: Column) -> Column:
         "slashes": F.regexp_count(cand, F.lit("/")).cast("double"),
         "dashes": F.regexp_count(cand, F.lit("[-_]")).cast("double"),
         "prefix": flag(cand.rlike(PREFIX)),
+        "others": share(r"[^A-Za-z0-9+/_\-]"),
+        "dotted": flag(cand.rlike(f"^{DOTTED}$")),
         "on_path": flag(before.rlike(r"(\w/|\\|://\S*|@)$") | after.rlike(r"^(\.\w|@|/\w)")),
         "key_word": flag(before.rlike(KEY_WORDS)),
         "plain_word": flag(before.rlike(PLAIN_WORDS)),
@@ -70,7 +82,7 @@ def features(cand: Column, before: Column, after: Column) -> Column:
 
 
 NAMES = (
-    "length digits upper lower transitions vowels dictionary distinct hex slashes dashes prefix on_path key_word plain_word "
+    "length digits upper lower transitions vowels dictionary distinct hex slashes dashes prefix others dotted on_path key_word plain_word "
     "assigned quoted filler"
 ).split()
 
@@ -88,7 +100,7 @@ def labelled_findings(spark: SparkSession, rows: int = LABELLED, seed: int = SEE
     issued = lambda: rng.choice(["AKIA" + of(upper, 16), "ghp_" + of(string.ascii_letters + string.digits, 36), "sk-" + of(base64s[:62], 32), "xoxb-" + of("0123456789", 11) + "-" + of(base64s[:62], 20), "AIza" + of(base64s[:62], 35)])
 
     def one() -> tuple:
-        kind = rng.randrange(16)
+        kind = rng.randrange(21)
         text, end = f"{word()} {word()} ", f" {word()} {word()}"
         if kind < 3:
             quote = rng.choice(['"', "'", ""])
@@ -114,6 +126,27 @@ def labelled_findings(spark: SparkSession, rows: int = LABELLED, seed: int = SEE
             return f"{text}{word()}{rng.choice(['.', '@'])}", word() + of("0123456789", 2), rng.choice(["@" + word(), ".com", end]), 0
         if kind == 14:
             return text, of(hexes, rng.choice([16, 32, 40, 64])), end, 0
+        if kind == 15:
+            strong = of(string.ascii_letters + string.digits + "!$%&#@.", rng.randint(8, 20))
+            quote = rng.choice(['"', "'", ""])
+            return f"{text}{key()}{sign()}{quote}", rng.choice([strong, of(string.ascii_letters, rng.randint(14, 32))]), quote + end, 1
+        if kind == 16:
+            phrase = "".join(of(string.ascii_lowercase, rng.randint(3, 7)) for _ in range(rng.randint(3, 5)))
+            quote = rng.choice(['"', "'"])
+            return f"{text}{key()}{rng.choice(['=', ' = '])}{quote}", phrase, quote + end, 1
+        if kind == 17:
+            piece = lambda n: of(string.ascii_letters + string.digits + "_-", n)
+            dotted = rng.choice(["SG." + piece(22) + "." + piece(43), "eyJ" + piece(17) + "." + piece(rng.randint(20, 60)) + "." + piece(43)])
+            return text + rng.choice(["", key() + sign(), '"', "Bearer "]), dotted, rng.choice([end, '"', ","]), 1
+        if kind == 18:
+            plain = rng.choice([word(), of(string.ascii_lowercase, rng.randint(6, 11)), word() + rng.choice([".", "!", "?"])])
+            return f"{text}{key()}{rng.choice([': ', ' : ', ':'])}", plain, end, 0
+        if kind == 19:
+            plain = rng.choice(["required", "string", "None,", "null", "undefined", "getenv(", "os.environ", "${" + word() + "}", "self." + word(), word() + "()"])
+            return f"{text}{key()}{sign()}", plain, rng.choice([end, "[", ")"]), 0
+        if kind == 20:
+            camel = word() + "".join(word().capitalize() for _ in range(rng.randint(2, 4)))
+            return text, rng.choice([camel, camel + str(rng.randrange(10))]), end, 0
         return text, of("0123456789", 4) + "-" + of("0123456789", 2) + "-" + of("0123456789", 2) + "-" + word(), end, 0
 
     return spark.createDataFrame([one() for _ in range(rows)], "before string, cand string, after string, label int")
@@ -167,39 +200,51 @@ def fit(spark: SparkSession, labelled: DataFrame | None = None) -> list:
     return grown(np.array([list(r.f) for r in rows]), np.array([r.label for r in rows], dtype=float))
 
 
-def findings(text: Column, forest: list) -> Column:
-    """Array of (start, length, score) of a text's candidates."""
-
-    def located(t: Column) -> Column:
-        cands = F.filter(F.regexp_extract_all(t, F.lit(CANDIDATE), F.lit(0)), lambda c: c.rlike("[0-9]") | c.rlike(PREFIX))
-        empty = F.array().cast("array<struct<at:int,cand:string>>")
-
-        def step(acc: Column, c: Column) -> Column:
-            return let(
-                F.call_function("locate", c, t, acc.next),
-                lambda at: F.struct(
-                    (at + F.length(c)).alias("next"),
-                    F.concat(acc.found, F.array(F.struct(at.alias("at"), c.alias("cand")))).alias("found"),
-                ),
+def _parts(text: Column) -> Column:
+    """gaps and cands: the text is the first gap, the first match, the second gap, and so on."""
+    return F.struct(F.split(text, CANDIDATE, -1).alias("gaps"), F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)).alias("cands"))
+
+
+def _findings(parts: Column, forest: list) -> Column:
+    """Array of (run, start, length, score) of the candidates; ``run`` is the match's number."""
+    empty = F.array().cast("array<struct<run:int,at:int,cand:string,before:string>>")
+    key_value = rf"(?:{ASSIGNED})$"
+
+    def step(acc: Column, c: Column) -> Column:
+        gap = F.get(parts.gaps, acc.run)
+
+        def placed(here: Column) -> Column:
+            found = F.array(F.struct(acc.run.alias("run"), here.at.alias("at"), c.alias("cand"), here.before.alias("before")))
+            fits = c.rlike(KEY_LIKE) | c.rlike(PREFIX) | here.before.rlike(key_value)
+            return F.struct(
+                (acc.run + 1).alias("run"),
+                (here.at + F.length(c)).alias("at"),
+                F.right(F.concat(here.before, c), F.lit(AROUND)).alias("before"),
+                F.when(fits, F.concat(acc.found, found)).otherwise(acc.found).alias("found"),
             )
 
-        start = F.struct(F.lit(1).alias("next"), empty.alias("found"))
-        placed = F.aggregate(cands, start, step, lambda acc: acc.found)
+        return let(F.struct((acc.at + F.length(gap)).alias("at"), F.right(F.concat(acc.before, gap), F.lit(AROUND)).alias("before")), placed)
+
+    start = F.struct(F.lit(0).alias("run"), F.lit(0).alias("at"), F.lit("").alias("before"), empty.alias("found"))
+
+    def judged(x: Column) -> Column:
+        after = F.left(F.concat(F.get(parts.gaps, x.run + 1), F.coalesce(F.get(parts.cands, x.run + 1), F.lit(""))), F.lit(AROUND))
+        score = let(features(x.cand, x.before, after), lambda made: forest_score(forest, made))
+        return F.struct(x.run.alias("run"), x["at"].alias("start"), F.length(x.cand).alias("length"), score.alias("score"))
 
-        def judged(x: Column) -> Column:
-            first = F.greatest(x.at - AROUND, F.lit(1))
-            before, after = F.substr(t, first, x.at - first), F.substr(t, x.at + F.length(x.cand), F.lit(AROUND))
-            score = let(features(x.cand, before, after), lambda made: forest_score(forest, made))
-            return F.struct((x.at - 1).alias("start"), F.length(x.cand).alias("length"), score.alias("score"))
+    return F.transform(F.aggregate(parts.cands, start, step, lambda acc: acc.found), judged)
 
-        return F.transform(placed, judged)
 
-    return let(F.coalesce(text, F.lit("")), located)
+def findings(text: Column, forest: list) -> Column:
+    """Array of (run, start, length, score) of a text's candidates."""
+    return let(_parts(F.coalesce(text, F.lit(""))), lambda parts: _findings(parts, forest))
 
 
 def scanned(docs: DataFrame, forest: list, text_col: str = "text") -> DataFrame:
     """One row a candidate: the row's columns, start, length, score and is_secret."""
-    found = without(docs, "start", "length", "score", "is_secret").select("*", F.inline(findings(F.col(text_col), forest)))
+    names = "start", "length", "score"
+    made = F.transform(findings(F.col(text_col), forest), lambda x: F.struct(*[x[n].alias(n) for n in names]))
+    found = without(docs, *names, "is_secret").select("*", F.inline(made))
     return found.withColumn("is_secret", F.col("score") >= THRESHOLD)
 
 
@@ -207,17 +252,16 @@ def redacted(docs: DataFrame, forest: list, mask: str = "[SECRET]", text_col: st
     """The rows with every secret in their text replaced."""
     text = F.col(text_col)
 
-    def masked(secrets: Column) -> Column:
-        step = lambda acc, s: F.struct(
-            (s.start + s.length + 1).alias("next"),
-            F.concat(acc.out, F.substr(text, acc.next, s.start + 1 - acc.next), F.lit(mask)).alias("out"),
-        )
-        start = F.struct(F.lit(1).alias("next"), F.lit("").alias("out"))
-        whole = F.aggregate(secrets, start, step, lambda acc: F.concat(acc.out, F.substr(text, acc.next)))
-        return F.when(F.size(secrets) == 0, text).otherwise(whole)
-
-    secrets = F.filter(findings(text, forest), lambda s: s.score >= THRESHOLD)
-    return docs.withColumn(text_col, let(secrets, masked))
+    def masked(parts: Column) -> Column:
+        def joined(secret: Column) -> Column:
+            runs = F.transform(parts.cands, lambda c, i: F.when(F.array_contains(secret, i), F.lit(mask)).otherwise(c))
+            whole = F.transform(parts.gaps, lambda gap, i: F.concat(gap, F.coalesce(F.get(runs, i), F.lit(""))))
+            return F.when(F.size(secret) == 0, text).otherwise(F.array_join(whole, ""))
+
+        secret = F.transform(F.filter(_findings(parts, forest), lambda s: s.score >= THRESHOLD), lambda s: s.run)
+        return let(secret, joined)
+
+    return docs.withColumn(text_col, F.when(text.isNotNull(), let(_parts(F.coalesce(text, F.lit(""))), masked)))
 
 
 def op8_secret_forest(spark, sf_dir: str) -> DataFrame:

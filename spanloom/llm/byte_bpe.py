@@ -32,6 +32,7 @@ from pyspark.sql import types as T
 from spanloom.llm.common import let, read, small_batches
 
 BUCKETS, WORD_BUCKETS, SAMPLE, KNOWN, LONG = 1 << 14, 1 << 15, 4096, 1 << 16, 512
+_libraries: dict = {}
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -39,6 +40,15 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
 
 
+def library(ranks_path: str, pattern: str):
+    """The library's own encoding, once a process."""
+    if ranks_path not in _libraries:
+        import tiktoken
+
+        _libraries[ranks_path] = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=load_ranks(ranks_path), special_tokens={})
+    return _libraries[ranks_path]
+
+
 def _bucketed(entries: dict[str, object], buckets: int, kind: str) -> Column:
     """A literal array of maps: an entry is in the map at its key's crc32 modulo ``buckets``."""
     table: list[dict] = [{} for _ in range(buckets)]
@@ -113,10 +123,8 @@ def encoded(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "tex
 
     @F.pandas_udf(T.ArrayType(T.ArrayType(T.IntegerType())))
     def by_heap(rows: pd.Series) -> pd.Series:
-        from spanloom.llm.packing import encoder
-
-        one = encoder(ranks_path)
-        return pd.Series([[one._encode_single_piece(w) for w in words] for words in rows])
+        one = library(ranks_path, pattern)
+        return pd.Series([[one.encode_ordinary(w) for w in words] for words in rows])
 
     def ids(r: Column) -> Column:
         def word(k: Column) -> Column:

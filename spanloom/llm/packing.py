@@ -13,27 +13,33 @@ chunks of a bounded number of tokens, and what a chunk can't close exactly is
 carried to the next one. Only the end of a partition leaves windows shorter than
 the shortest tier, cut at powers of two.
 
-Defined results: null and empty texts are the closing id alone; rows without id
+Ids are those of the tokenizer file as it stands, without added ones: the string of a
+special token within a text is its id.
+
+Defined results: null and empty texts are the closing id alone; very long texts are encoded whole; rows without id
 keep a null id; repeated rows are packed again; an empty table gives no rows;
 other columns are ignored.
 """
 
 from __future__ import annotations
 
-import base64
 import heapq
+import json
+import os
 import zlib
 from bisect import bisect_right, insort
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from spanloom.llm.common import read, small_batches
 
-WINDOW, TIERS, CLOSING_ID, CHUNK_TOKENS, STEP_TOKENS = 2048, (256, 512, 1024, 2048), 1, 1 << 21, 1 << 17
+TIERS, CLOSING_ID, CHUNK_TOKENS, STEP_TOKENS = (256, 512, 1024, 2048), 1, 1 << 21, 1 << 17
+WORDS, LATIN_END = 300_000, "\u0250"
 SCHEMA = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, "
     "tier int, step_group long, ids binary"
@@ -41,18 +47,54 @@ SCHEMA = (
 _encoders: dict = {}
 
 
-def encoder(ranks_path: str):
-    """The byte-level BPE of a rank file, once a process."""
-    if ranks_path not in _encoders:
-        import public_tokenizers
-        import tiktoken
+class Encoder:
+    """The ids of a tokenizer file, without added special tokens.
 
-        with open(ranks_path, "rb") as lines:
-            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-        _encoders[ranks_path] = tiktoken.Encoding(
-            "packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}
-        )
-    return _encoders[ranks_path]
+    Where the file is a plain byte-level BPE, words are split here by its pattern, and the library's
+    model is asked once for each word that the last ``WORDS`` to twice ``WORDS`` distinct ones lack. Texts that
+    hold a special token's string, or letters beyond Latin, go to the library whole.
+    """
+
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+        import public_tokenizers
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as file:
+            made = json.load(file)
+        self.special = [token["content"] for token in made["added_tokens"]]
+        split = made["pre_tokenizer"] or {}
+        self.plain = not made["normalizer"] and not made["post_processor"] and made["model"]["type"] == "BPE"
+        self.plain &= split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space", True)
+        self.find = regex.compile(public_tokenizers.PATTERN).findall
+        printed = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        self.letters = {b: chr(b) for b in printed} | {b: chr(256 + i) for i, b in enumerate(sorted({*range(256)} - {*printed}))}
+        self.words, self.older, self.model = {}, {}, self.tokenizer.model
+
+    def _ids(self, word: str) -> list[int]:
+        found = self.older.get(word)
+        if found is None:
+            found = [token.id for token in self.model.tokenize(word.encode().decode("latin-1").translate(self.letters))]
+        if len(self.words) >= WORDS:
+            self.words, self.older = {}, self.words
+        self.words[word] = found
+        return found
+
+    def __call__(self, text: str) -> list[int]:
+        if not self.plain or any(s in text for s in self.special) or not (text.isascii() or max(text) < LATIN_END):
+            return self.tokenizer.encode(text, add_special_tokens=False).ids
+        ids: list[int] = []
+        for word in self.find(text):
+            ids += self.words.get(word) or self._ids(word)
+        return ids
+
+
+def encoder(tokenizer_path: str) -> Encoder:
+    """The encoder of a tokenizer file, once a process."""
+    if tokenizer_path not in _encoders:
+        _encoders[tokenizer_path] = Encoder(tokenizer_path)
+    return _encoders[tokenizer_path]
 
 
 class Packer:
@@ -124,7 +166,7 @@ def step_groups(sizes: list[int], step_tokens: int) -> list[int]:
 
 def packed(
     docs: DataFrame,
-    ranks_path: str,
+    tokenizer_path: str,
     id_col: str = "doc_id",
     text_col: str = "text",
     tiers: tuple[int, ...] = TIERS,
@@ -139,7 +181,7 @@ def packed(
             [(c, pa.int64()) for c in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")]
             + [("tier", pa.int32()), ("step_group", pa.int64()), ("ids", pa.binary())]
         )
-        encode = encoder(ranks_path).encode_ordinary
+        encode = encoder(tokenizer_path)
         packer, held = Packer(tiers), {}
         base = TaskContext.get().partitionId() << 40
         sequences = steps = keys = tokens = 0
@@ -166,8 +208,7 @@ def packed(
         windows: list = []
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = encode(text or "")
-                ids.append(closing_id)
+                ids = [*encode(text or ""), closing_id]
                 held[keys] = (doc_id, np.array(ids, dtype="<u4"))
                 windows += packer.add(keys, len(ids))
                 keys += 1
@@ -189,5 +230,5 @@ def op4_packing(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     docs = read(spark, sf_dir, "documents")
-    found = packed(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), with_ids=False)
+    found = packed(docs, public_tokenizers.path("byte_bpe_50k.json"), with_ids=False)
     return found.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "tier", "step_group")

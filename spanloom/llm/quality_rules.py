@@ -1,22 +1,25 @@
 """Quality rules as a short-circuit cascade.
 
-On a bounded sample each rule's cost (seconds to evaluate it alone) and
-selectivity (share of rows it rejects) are estimated; rules then run in order of
-rejection per cost, and a row that one rejects is not shown to the later ones: the
-cascade is one CASE expression, whose branches Spark evaluates lazily. The order
-changes the cost, never the verdict.
+On a bounded sample each rule's cost (seconds to evaluate it alone, the least of several
+runs less that of an empty run) and selectivity (share of rows it rejects) are estimated;
+rules then run in order of rejection per cost, and a row that one rejects is not shown to the later ones: the
+cascade is one CASE expression, whose branches Spark evaluates lazily. A rule computes its own
+measures from the text, so ``filtered`` never computes a measure that only later rules need;
+``judged`` returns all measures and runs the same cascade over them. The order
+changes the cost, never the verdict. The sample is drawn from the whole table.
 
 Everything is built-in expressions inside the row: a text's words, lines and
 windows never leave it, so no key is shuffled.
 
-Defined results: a null text has no words and fails the base rule, as an empty
-one does; repeated rows get the same verdict; an empty table gives no rows and
+Defined results: a null text has no words and fails the base rules, as an empty
+one does; very long texts are measured whole; repeated rows get the same verdict; an empty table gives no rows and
 the declared order; other columns pass through, but for those of the results' names.
 """
 
 from __future__ import annotations
 
 import time
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -26,16 +29,26 @@ from spanloom.llm.common import let, read, without, words
 
 #: Symbols the contract counts.
 SYMBOLS = r"[#*$%&|<>]"
-MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-SAMPLE_ROWS, MIN_WORDS, MAX_REPEAT_PERCENT = 2048, 50, 50
+SAMPLE_ROWS, RUNS, MIN_WORDS, MAX_REPEAT_PERCENT, LEAST_COST = 2048, 3, 50, 50, 1e-3
+
+
+class Measures(dict):
+    """Measures by name: columns, made from the text and its words when they are first asked for."""
+
+    def __init__(self, text: Column, ws: Column):
+        self.text, self.ws = text, ws
+
+    def __missing__(self, name: str) -> Column:
+        self[name] = MEASURES[name](self.text, self.ws)
+        return self[name]
 
 
 @dataclass(frozen=True)
 class Rule:
-    """``rejects`` is a boolean column over the measures below."""
+    """``rejects`` makes a boolean column of the measures."""
 
     name: str
-    rejects: Column
+    rejects: Callable[[Measures], Column]
 
 
 def repeat_words(ws: Column) -> Column:
@@ -63,86 +76,130 @@ def repeat_words(ws: Column) -> Column:
     return F.when(F.size(ws) < 4, 0).otherwise(let(ws, counted)).cast("long")
 
 
+def _duplicate_lines(text: Column) -> Column:
+    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    return let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x)))
+
+
+#: Each measure by the text and its words.
+MEASURES: dict[str, Callable[[Column, Column], Column]] = {
+    "n_words": lambda text, ws: F.size(ws).cast("long"),
+    "word_chars": lambda text, ws: F.length(F.concat_ws("", ws)).cast("long"),
+    "n_symbols": lambda text, ws: F.regexp_count(text, F.lit(SYMBOLS)).cast("long"),
+    "n_dup_lines": lambda text, ws: _duplicate_lines(text).cast("long"),
+    "n_repeat_words": lambda text, ws: repeat_words(ws),
+    "n_lines": lambda text, ws: F.size(F.split(text, "\n")),
+    "n_shouts": lambda text, ws: F.regexp_count(text, F.lit("!!")),
+    "n_letters": lambda text, ws: F.regexp_count(text, F.lit(r"\p{L}")),
+}
+RETURNED = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+
+
+def whole(text: Column) -> Column:
+    return F.coalesce(text, F.lit(""))
+
+
 def measured(docs: DataFrame) -> DataFrame:
     """Adds n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words to the rows.
 
     The measures come out of a generator of one row: later filters stay above it, so none is evaluated twice.
     """
-    text = F.coalesce(F.col("text"), F.lit(""))
-    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     measures = let(
         words(F.col("text")),
-        lambda w: F.struct(
-            F.size(w).cast("long").alias("n_words"),
-            F.length(F.concat_ws("", w)).cast("long").alias("word_chars"),
-            F.regexp_count(text, F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
-            let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
-            repeat_words(w).alias("n_repeat_words"),
-        ),
+        lambda w: F.struct(*[MEASURES[name](whole(F.col("text")), w).alias(name) for name in RETURNED]),
     )
-    return without(docs, *MEASURES).select("*", F.inline(F.array(measures)))
+    return without(docs, *RETURNED).select("*", F.inline(F.array(measures)))
 
 
-def base_failed() -> Column:
-    return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
+def base_rules() -> list[Rule]:
+    return [
+        Rule("few_words", lambda m: m["n_words"] < MIN_WORDS),
+        Rule("repeats", lambda m: 100 * m["n_repeat_words"] > MAX_REPEAT_PERCENT * m["n_words"]),
+    ]
 
 
 def default_rules() -> list[Rule]:
-    n = F.col("n_words")
-    text = F.coalesce(F.col("text"), F.lit(""))
     return [
-        Rule("mean_word_length", (F.col("word_chars") < 2 * n) | (F.col("word_chars") > 14 * n)),
-        Rule("symbols", F.col("n_symbols") > 0.3 * n),
-        Rule("duplicate_lines", F.col("n_dup_lines") > 0.5 * F.size(F.split(text, "\n"))),
-        Rule("shouting", F.regexp_count(text, F.lit(r"!!")) > 0.3 * n),
-        Rule("few_letters", F.regexp_count(text, F.lit(r"\p{L}")) < 0.5 * F.col("word_chars")),
+        Rule("mean_word_length", lambda m: (m["word_chars"] < 2 * m["n_words"]) | (m["word_chars"] > 14 * m["n_words"])),
+        Rule("symbols", lambda m: m["n_symbols"] > 0.3 * m["n_words"]),
+        Rule("duplicate_lines", lambda m: m["n_dup_lines"] > 0.5 * m["n_lines"]),
+        Rule("shouting", lambda m: m["n_shouts"] > 0.3 * m["n_words"]),
+        Rule("few_letters", lambda m: m["n_letters"] < 0.5 * m["word_chars"]),
     ]
 
 
-def cascade_order(rows: DataFrame, rules: list[Rule], sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
-    """The rules by rejection per cost on ``sample_rows`` rows; ties keep the declared order."""
-    sample = rows.limit(sample_rows).cache()
+@dataclass(frozen=True)
+class Estimate:
+    rule: Rule
+    cost: float
+    rejected: float
+
+
+def estimates(docs: DataFrame, rules: list[Rule], sample_rows: int = SAMPLE_ROWS) -> list[Estimate]:
+    """Cost and selectivity of each rule on a sample of the texts, in order of rejection per cost; ties keep the declared order."""
+    total = docs.count()
+    share = min(1.0, 1.2 * sample_rows / max(total, 1))
+    sample = (docs.select("text") if share == 1.0 else docs.select("text").sample(share, seed=7)).cache()
     try:
-        total = sample.count()
-        if not total:
-            return rules
+        seen = sample.count()
+        if not seen:
+            return [Estimate(rule, LEAST_COST, 0.0) for rule in rules]
 
-        def seconds(column: Column) -> tuple[float, int]:
+        def alone(rule: Rule) -> Column:
+            return let(words(F.col("text")), lambda w: rule.rejects(Measures(whole(F.col("text")), w)))
+
+        def run(column: Column) -> tuple[float, int]:
             began = time.perf_counter()
             hit = sample.agg(F.count_if(column)).first()[0]
             return time.perf_counter() - began, hit
 
-        seconds(F.lit(False))
-        floor = seconds(F.lit(False))[0]
-        rates = []
+        empty = let(words(F.col("text")), lambda w: F.size(w) < 0)
+        floor = min(run(empty)[0] for _ in range(RUNS + 1))
+        made = []
         for rule in rules:
-            cost, hit = seconds(rule.rejects)
-            rates.append(hit / total / max(cost - floor, 1e-3))
+            tried = [run(alone(rule)) for _ in range(RUNS)]
+            made.append(Estimate(rule, max(min(t for t, _ in tried) - floor, LEAST_COST), tried[0][1] / seen))
     finally:
         sample.unpersist()
-    return [rule for _, rule in sorted(zip(rates, rules), key=lambda x: -x[0])]
+    return sorted(made, key=lambda e: -e.rejected / e.cost)
+
+
+def cascade_order(docs: DataFrame, rules: list[Rule], sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
+    return [e.rule for e in estimates(docs, rules, sample_rows)]
 
 
-def cascaded(rows: DataFrame, order: list[Rule]) -> DataFrame:
-    """Adds failed_rule: the first rule in ``order`` that rejects the row, null if none does."""
-    chain = F.when(base_failed(), "base")
+def cascade(order: list[Rule], m: Measures) -> Column:
+    """The name of the first rule in ``order`` that rejects, null if none does."""
+    chain = F.when(F.lit(False), F.lit(""))
     for rule in order:
-        chain = chain.when(rule.rejects, rule.name)
-    return rows.withColumn("failed_rule", chain)
+        chain = chain.when(rule.rejects(m), rule.name)
+    return chain
+
+
+def base_failed(m: Measures) -> Column:
+    first, *others = [rule.rejects(m) for rule in base_rules()]
+    for other in others:
+        first = first | other
+    return first
 
 
-def judged(docs: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
-    """The rows with their measures, base_failed and kept."""
-    rules = rules if rules is not None else default_rules()
-    rows = measured(docs)
-    order = cascade_order(rows, rules)
-    return cascaded(rows, order).withColumns({"base_failed": base_failed(), "kept": F.col("failed_rule").isNull()})
+def judged(docs: DataFrame, rules: list[Rule] | None = None, order: list[Rule] | None = None) -> DataFrame:
+    """The rows with their measures, failed_rule, base_failed and kept."""
+    rules = base_rules() + (rules if rules is not None else default_rules())
+    order = order or cascade_order(docs, rules)
+    m = Measures(whole(F.col("text")), words(F.col("text")))
+    m |= {name: F.col(name) for name in RETURNED}
+    rows = measured(docs).withColumn("failed_rule", cascade(order, m))
+    return rows.withColumns({"base_failed": base_failed(m), "kept": F.col("failed_rule").isNull()})
 
 
 def filtered(docs: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
-    """The rows that every rule keeps, with their own columns."""
+    """The rows that every rule keeps, with their own columns; a measure is computed only if the cascade comes to its rule."""
+    rules = base_rules() + (rules if rules is not None else default_rules())
+    order = cascade_order(docs, rules)
+    verdict = let(words(F.col("text")), lambda w: F.struct(cascade(order, Measures(whole(F.col("text")), w)).alias("failed")))
     own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text"))
-    return judged(own, rules).where("kept").select("row.*")
+    return own.select("row", F.inline(F.array(verdict))).where("failed IS NULL").select("row.*")
 
 
 def op6_quality_rules(spark, sf_dir: str) -> DataFrame:

@@ -8,8 +8,8 @@ Shard sizes are balanced by bytes. A row's place in its shard is its slot's
 offset there plus its place in the slot, so numbering needs no shard-wide sort.
 
 Defined results: a null text has size 1 and counts as empty; null ids hash as
-null; repeated rows get places of their own, in one slot; an empty table gives no
-rows and a map of empty slots. Only the map (one row a slot, a parameter) ever
+null; very long texts are hashed and measured whole; repeated rows get places of their own, in one slot; an empty table gives no
+rows and a map of empty slots; other columns are ignored. Only the map (one row a slot, a parameter) ever
 reaches the driver.
 """
 
@@ -92,8 +92,17 @@ def stored_map(spark: SparkSession, slot_map: dict[int, int], sizes: dict[int, t
     return spark.read.parquet(path).withColumn("version", F.lit(version))
 
 
-def sharded(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS, folder: str | None = None) -> DataFrame:
-    """doc_id, size, text_crc32, vslot, shard, slot (the row's place in its shard, from 0)."""
+def read_map(spark: SparkSession, folder: str, version: int) -> dict[int, int]:
+    """A stored version of the map."""
+    return {r.vslot: r.shard for r in spark.read.parquet(f"{folder}/version={version}").select("vslot", "shard").collect()}
+
+
+def sharded(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS, folder: str | None = None, version: int = 0) -> DataFrame:
+    """doc_id, size, text_crc32, vslot, shard, slot (the row's place in its shard, from 0).
+
+    Version 0 of the map is none: a first one is made. Of any later ``version`` in ``folder`` the map is read
+    and edited for the rows and the number of shards at hand. Either way the next version is written, and rows are placed by it.
+    """
     spark = docs.sparkSession
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(
@@ -104,7 +113,8 @@ def sharded(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS, folder: s
     )
     sizes = slot_sizes(rows)
     folder = folder or f"{shared_dir(spark)}/slot-map-{uuid.uuid4().hex}"
-    slot_map = stored_map(spark, initial_map(sizes, shards, slots), sizes, 1, folder)
+    placed = rebalanced(read_map(spark, folder, version), sizes, shards) if version else initial_map(sizes, shards, slots)
+    slot_map = stored_map(spark, placed, sizes, version + 1, folder)
     within = Window.partitionBy("vslot").orderBy("doc_id", "text_crc32", "size")
     numbered = rows.withColumn("place", F.row_number().over(within) - 1)
     # One row a slot: the broadcast is bounded by the number of slots.

@@ -6,9 +6,10 @@ over the words pays a penalty for each switch of language, and runs of one
 language are the spans. The language with most letters in its spans is the
 document's.
 
-Learned from at most ``SAMPLE`` documents a language outside the held-out fold
-(smallest hash of the id first), with at most ``GRAMS`` trigrams a language; labelling
-covers every whole text.
+Learned from about ``SAMPLE`` documents a language outside the held-out fold (all, if it has
+fewer): those whose hash of the id lies under the share that the language's count sets, so
+no language is sorted in one task. A language keeps at most ``GRAMS`` trigrams, the most
+frequent; scripts are counted apart from them. Labelling covers every whole text.
 
 Defined results: a null text, or one without letters, is ``und`` with score 0 and no
 spans; a word in a script no language was learned with supports none of them, and
@@ -28,7 +29,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -84,10 +85,13 @@ def fit(docs: DataFrame, sample: int = SAMPLE, kept_grams: int = GRAMS) -> Model
     shared_dir(spark)
     small_batches(spark)
     taught = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold_of(F.col("doc_id")) != HELD_OUT))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = taught.select("doc_id", "lang").withColumn("n", F.row_number().over(order)).where(F.col("n") <= sample)
-    # The ids are bounded by the sample size times the number of languages.
-    rows = taught.select("doc_id", "text").join(F.broadcast(ids.where("doc_id IS NOT NULL").select("doc_id", "lang").distinct()), "doc_id")
+    sizes = {r.lang: r["count"] for r in taught.groupBy("lang").count().collect()}
+    shares = [(lang, min(1.0, sample / n)) for lang, n in sizes.items()]
+    if not shares:
+        return Model([], {}, [], {})
+    share = F.element_at(F.map_from_arrays(F.array(*[F.lit(k) for k, _ in shares]), F.array(*[F.lit(v) for _, v in shares])), F.col("lang"))
+    drawn = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share * (1 << 30)
+    rows = taught.where(drawn).select("lang", "text")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in batches:
@@ -99,10 +103,18 @@ def fit(docs: DataFrame, sample: int = SAMPLE, kept_grams: int = GRAMS) -> Model
                         found[lang, g] += n
             yield pd.DataFrame([(a, b, n) for (a, b), n in found.items()], columns=["lang", "gram", "n"])
 
-    counts = rows.select("lang", "text").mapInPandas(count, "lang string, gram string, n long")
-    counts = counts.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    top = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
-    kept = counts.withColumn("r", F.row_number().over(top)).where(F.col("r") <= kept_grams).select("lang", "gram", "n").collect()
+    counts = rows.mapInPandas(count, "lang string, gram string, n long")
+    counts = counts.groupBy("lang", "gram").agg(F.sum("n").alias("n")).withColumn("script", F.startswith("gram", F.lit("script:"))).checkpoint()
+    least = dict.fromkeys(sizes, 0)
+    held = dict.fromkeys(sizes, 0)
+    many = counts.where("NOT script").groupBy("lang", "n").count().orderBy("lang", F.desc("n"))
+    # One row a distinct count: a language's smallest count that keeps it within its number of trigrams.
+    for r in many.toLocalIterator():
+        held[r.lang] += r["count"]
+        if held[r.lang] > kept_grams and not least[r.lang]:
+            least[r.lang] = r.n + 1
+    bound = F.element_at(F.map_from_arrays(F.array(*[F.lit(k) for k in least]), F.array(*[F.lit(v) for v in least.values()])), F.col("lang"))
+    kept = counts.where(F.col("script") | (F.col("n") >= bound)).select("lang", "gram", "n").collect()
     languages = sorted({r.lang for r in kept})
     at = {lang: i for i, lang in enumerate(languages)}
     by_gram: dict[str, np.ndarray] = {}
@@ -279,7 +291,9 @@ def labelled(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
         if texts:
             yield done(texts)
 
-    return without(docs, *RESULT.names).select("*", label(F.col(text_col)).alias("_label")).select("*", "_label.*").drop("_label")
+    kept = without(docs, *RESULT.names).columns
+    row = F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row") if kept else F.struct().alias("row")
+    return docs.select(row, label(F.col(text_col)).alias("label")).select("row.*", "label.*")
 
 
 def op10_language_id(spark, sf_dir: str) -> DataFrame:

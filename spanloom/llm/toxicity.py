@@ -18,7 +18,8 @@ Occurrences are counted by distinct neighbours, so copies of a text count once.
 Defined results: null and empty texts score as texts without any match; a null
 id counts as empty text for the fold;
 several labels of one id count as toxic if one is; without labels the seed
-lexicon and prior weights are used; repeated rows score alike.
+lexicon and prior weights are used; repeated rows score alike; very long texts are
+read whole; an empty table gives no rows; other columns pass through, but for one named score.
 """
 
 from __future__ import annotations

@@ -45,7 +45,7 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token sequences, one row a piece."""
-    return packing.packed(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return packing.packed(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
 STAGES = [

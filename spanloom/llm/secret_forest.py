@@ -244,7 +244,8 @@ def scanned(docs: DataFrame, forest: list, text_col: str = "text") -> DataFrame:
     """One row a candidate: the row's columns, start, length, score and is_secret."""
     names = "start", "length", "score"
     made = F.transform(findings(F.col(text_col), forest), lambda x: F.struct(*[x[n].alias(n) for n in names]))
-    found = without(docs, *names, "is_secret").select("*", F.inline(made))
+    # The outer form: a filter on the number of findings would make them several times over.
+    found = without(docs, *names, "is_secret").select("*", F.inline_outer(made)).where("length IS NOT NULL")
     return found.withColumn("is_secret", F.col("score") >= THRESHOLD)
 
 

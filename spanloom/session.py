@@ -24,10 +24,15 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8) -> SparkSes
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; only where it is unset (tests) one of our own."""
+    """The folder all executors share: ``spark.checkpoint.dir``.
+
+    Only a local session, as in tests, gets a folder of its own where that is unset; on a cluster it is an error.
+    """
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not folder:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = f"file:///tmp/checkpoints/{os.getpid()}"
     if not context.getCheckpointDir():
         context.setCheckpointDir(folder)

@@ -43,15 +43,45 @@ def integrated_gradients(x: np.ndarray, weights: np.ndarray, heads: list[int], h
     return (total / steps * x[None, :, :]).mean(axis=2)
 
 
-def explained(windows: DataFrame, weights: np.ndarray, heads: list[int], steps: int = 100) -> DataFrame:
-    """(text_id, start_word, head, out_pos, in_pos, influence) of windows (text_id, start_word, embeds)."""
+Forward = Callable[[np.ndarray], np.ndarray]
+
+
+def gradients_by_difference(x: np.ndarray, forward: Forward, heads: list[int], head: int, steps: int = 100, nudge: float = 1e-4) -> np.ndarray:
+    """As ``integrated_gradients``, for any scorer (n, dim) -> (n, labels).
+
+    A word's gradient times its own vector is the slope of the scores as that vector grows, and is had from two calls a
+    word and step.
+    """
+    n, dim = x.shape
+    first = sum(heads[:head])
+    cut = slice(first, first + heads[head])
+    won = forward(x)[:, cut].argmax(axis=1)
+    total = np.zeros((n, n))
+    for t in (np.arange(steps) + 0.5) / steps:
+        for i in range(n):
+            up, down = t * x, t * x
+            up[i] += nudge * x[i]
+            down[i] -= nudge * x[i]
+            slope = (forward(up)[:, cut] - forward(down)[:, cut]) / (2 * nudge)
+            total[:, i] += slope[np.arange(n), won]
+    return total / steps / dim
+
+
+def explained(windows: DataFrame, scorer: np.ndarray | Forward, heads: list[int], steps: int = 100) -> DataFrame:
+    """(text_id, start_word, head, out_pos, in_pos, influence) of windows (text_id, start_word, embeds).
+
+    ``scorer`` is any function of a window's vectors, or the weights of ``linear_softmax``, whose gradient is known.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in batches:
             for text_id, start, embeds in zip(frame["text_id"], frame["start_word"], frame["embeds"]):
-                x = np.array([list(e) for e in embeds], dtype=float)
+                if not len(embeds):
+                    continue
+                x = np.stack(list(embeds)).astype(float)
                 for head in range(len(heads)):
-                    found = integrated_gradients(x, weights, heads, head, steps)
+                    known = isinstance(scorer, np.ndarray)
+                    found = integrated_gradients(x, scorer, heads, head, steps) if known else gradients_by_difference(x, scorer, heads, head, steps)
                     out, inn = np.indices(found.shape).reshape(2, -1)
                     yield pd.DataFrame({"text_id": text_id, "start_word": start, "head": head, "out_pos": start + out, "in_pos": start + inn, "influence": found.ravel()})
 

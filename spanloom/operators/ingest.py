@@ -15,16 +15,23 @@ TYPES = ("ethnicity", "gender", "countries", "political", "religion")
 
 
 def read_sheet(spark: SparkSession, path: str, kind: str, file_ord: int = 0, sheet: str = "in") -> DataFrame:
-    """One exported sheet (csv or parquet; xlsx where pandas can read it), tagged with its type and order."""
+    """One exported sheet (a csv or Parquet file or folder; xlsx where pandas can read it), tagged with its type and order.
+
+    ``row_in_file`` numbers the rows from 0 as they stand; a folder's files follow each other by name.
+    """
     if path.endswith(".xlsx"):
         import pandas as pd
 
-        rows = spark.createDataFrame(pd.read_excel(path, sheet_name=sheet))
-    elif path.endswith(".csv"):
+        frame = pd.read_excel(path, sheet_name=sheet)
+        return tagged(spark.createDataFrame(frame.assign(row_in_file=range(len(frame)))), kind, file_ord)
+    if path.endswith(".csv"):
+        # A multi-line file is read by one task from its start, so the running id follows its rows.
         rows = spark.read.csv(path, header=True, multiLine=True, escape='"')
+        rows = rows.select("*", F.col("_metadata.file_path").alias("_file"), F.monotonically_increasing_id().alias("_row"))
     else:
         rows = spark.read.parquet(path)
-    return tagged(rows, kind, file_ord)
+        rows = rows.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    return tagged(with_row_index(rows, ["_file", "_row"], "row_in_file").drop("_file", "_row"), kind, file_ord)
 
 
 def tagged(rows: DataFrame, kind: str, file_ord: int = 0) -> DataFrame:
@@ -63,6 +70,12 @@ def neutral_rows(sheet: DataFrame) -> DataFrame:
     return sheet.select("file_ord", "row_in_file", F.col("Comment").alias("text"), *[F.lit(0).alias(f"lvl_{t}_hate") for t in TYPES])
 
 
+def annotated_corpus(loaded: list[DataFrame], neutral: list[DataFrame]) -> DataFrame:
+    """Sheets to the tidy table: levelled sheets in order, then neutral ones, with ``row_idx``."""
+    rows = united([loaded_rows(s) for s in loaded] + [neutral_rows(s) for s in neutral])
+    return with_row_index(rows, ["file_ord", "row_in_file"])
+
+
 def united(parts: list[DataFrame]) -> DataFrame:
     """All parts in order; ``file_ord`` and ``row_in_file`` keep that order."""
     return reduce(DataFrame.unionByName, parts)

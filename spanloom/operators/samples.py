@@ -1,4 +1,4 @@
-"""Labels of tokens and words by range join, and one multi-hot sample a word and window."""
+"""Labels of tokens and words, inside the row or by range join, and one multi-hot sample a word and window."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.operators.corpus import ranges_meet
-from spanloom.operators.tokens import window_words
+from spanloom.operators.tokens import SpaceTokenizer, Tokenizer, starts_of, words_of
 from spanloom.schema import LabelSpace
 
 
@@ -48,21 +48,46 @@ def multi_hot(labels: Column, size: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.array_contains(labels, i).cast("int"))
 
 
-def token_samples(tokens: DataFrame, spans: DataFrame, space: LabelSpace, size: int, overlap: float = 1 / 3) -> DataFrame:
-    """(text_id, start_word, target, labels) by token: windows over token positions."""
-    units = tokens.select("text_id", F.col("pos").alias("word"), "start", "end", "special")
-    return word_samples(units, spans, space, size, overlap)
+def labels_in_row(unit: Column, chunks: Column, space: LabelSpace) -> Column:
+    """Labels of a unit (start, end, special) by the chunks beside it: distinct, in chunk order; neutral for special or empty units."""
+    meets = lambda c: ranges_meet(unit.start, unit.end - 1, c.start, c.start + c.len - 1)
+    found = F.array_distinct(F.transform(F.filter(chunks, meets), lambda c: c.label))
+    neutral = F.array(*[F.lit(x) for x in space.neutral])
+    return F.when(unit.special | (unit.start == unit.end), neutral).otherwise(found)
 
 
-def word_samples(words: DataFrame, spans: DataFrame, space: LabelSpace, size: int, overlap: float = 1 / 3) -> DataFrame:
-    """(text_id, start_word, target, labels): a word in an overlap gives one sample a window."""
-    labels = label_lists(words, spans, ["text_id", "word"], space)
-    placed = window_words(words.select("text_id", "word", "start", "end"), size, overlap)
-    return placed.join(labels, ["text_id", "word"]).select(
-        "text_id", "start_word", F.col("place").cast("int").alias("target"), multi_hot(F.col("labels"), space.size).alias("labels")
-    )
+def _samples(units: DataFrame, space: LabelSpace, size: int, overlap: float, covering: bool) -> DataFrame:
+    """``units`` has text_id, units and chunks; a unit in an overlap gives one sample a window."""
+    rows = units.select("text_id", "chunks", "units", F.size("units").alias("n")).select("text_id", "chunks", "n", F.posexplode_outer("units").alias("place", "unit"))
+    rows = rows.where("unit IS NOT NULL")
+    hot = multi_hot(labels_in_row(F.col("unit"), F.col("chunks"), space), space.size)
+    starts = starts_of(F.col("place"), F.col("n"), size, overlap, covering)
+    found = rows.select("text_id", "place", hot.alias("labels"), starts.alias("starts")).select("text_id", "place", "labels", F.explode("starts").alias("start_word"))
+    return found.select("text_id", "start_word", (F.col("place") - F.col("start_word")).cast("int").alias("target"), "labels")
+
+
+def _tokenised(texts: DataFrame, tokenizer: Tokenizer) -> DataFrame:
+    """text_id, chunks and tokens of texts (id, text, chunks)."""
+    rows = texts.select(F.col("id").alias("text_id"), "text", "chunks")
+    if isinstance(tokenizer, SpaceTokenizer):
+        return rows.select("text_id", "chunks", tokenizer.tokens(F.col("text")).alias("tokens"))
+    return tokenizer.tokenised(rows).join(rows.select("text_id", "chunks"), "text_id")
+
+
+def token_samples(texts: DataFrame, space: LabelSpace, size: int, overlap: float = 1 / 3, tokenizer: Tokenizer | None = None) -> DataFrame:
+    """(text_id, start_word, target, labels) by token: windows over token positions, none after one that reaches the end."""
+    units = _tokenised(texts, tokenizer or SpaceTokenizer()).withColumnRenamed("tokens", "units")
+    return _samples(units, space, size, overlap, covering=True)
+
+
+def word_samples(texts: DataFrame, space: LabelSpace, size: int, overlap: float = 1 / 3, tokenizer: Tokenizer | None = None) -> DataFrame:
+    """(text_id, start_word, target, labels) of texts (id, text, chunks); an empty text gives none."""
+    tokenizer = tokenizer or SpaceTokenizer()
+    units = _tokenised(texts, tokenizer).select("text_id", "chunks", words_of(F.col("tokens"), tokenizer.mark).alias("units"))
+    return _samples(units, space, size, overlap, covering=False)
 
 
-def label_counts(labels: DataFrame) -> DataFrame:
-    """How often each label of multi-hot vectors is set."""
-    return labels.select(F.posexplode("labels").alias("label", "hit")).groupBy("label").agg(F.sum("hit").alias("n"))
+def label_counts(labels: DataFrame, size: int) -> DataFrame:
+    """How often each of ``size`` labels is set in multi-hot vectors, in one pass."""
+    sums = labels.agg(F.array(*[F.coalesce(F.sum(F.get("labels", F.lit(i)).cast("long")), F.lit(0)) for i in range(size)]).alias("sums"))
+    return sums.select(F.posexplode("sums").alias("label", "n"))

@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spanloom.operators.tokens import mean_vector
+
 
 class Scorer(Protocol):
     heads: list[int]
@@ -30,14 +32,16 @@ class ArrowScorer:
         self.forward, self.heads, self.max_len = forward, heads, max_len
 
     def score(self, windows: DataFrame) -> DataFrame:
-        forward = self.forward
+        forward, longest = self.forward, self.max_len
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for frame in batches:
                 rows = []
                 for text_id, start, embeds in zip(frame["text_id"], frame["start_word"], frame["embeds"]):
+                    if len(embeds) > longest:
+                        raise ValueError(f"a window of {len(embeds)} is longer than the model's {longest}")
                     if len(embeds):
-                        confs = forward(np.array([list(e) for e in embeds], dtype=float))
+                        confs = forward(np.stack(list(embeds)).astype(float))
                         rows += [(text_id, start, i, c.tolist()) for i, c in enumerate(confs)]
                 yield pd.DataFrame(rows, columns=["text_id", "start_word", "place", "confs"])
 
@@ -74,34 +78,40 @@ def winning_hot(confs: Column, heads: list[int]) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(sum(heads) - 1)), lambda i: F.array_contains(won, i).cast("int"))
 
 
-def merged_over_windows(scores: DataFrame) -> DataFrame:
-    """(text_id, word, label, conf): the mean over the windows that hold a word, aligned by word position."""
-    return (
-        scores.select("text_id", (F.col("start_word") + F.col("place")).alias("word"), F.posexplode("confs").alias("label", "c"))
-        .groupBy("text_id", "word", "label")
-        .agg(F.avg("c").alias("conf"))
-    )
+def merged_over_windows(scores: DataFrame, n_labels: int) -> DataFrame:
+    """(text_id, word, confs): the mean over the windows that hold a word, aligned by word position."""
+    word = (F.col("start_word") + F.col("place")).alias("word")
+    return scores.select("text_id", word, "confs").groupBy("text_id", "word").agg(mean_vector("confs", n_labels).alias("confs"))
 
 
-def as_vectors(merged: DataFrame, keys: list[str]) -> DataFrame:
-    pairs = F.array_sort(F.collect_list(F.struct("label", "conf")))
-    return merged.groupBy(*keys).agg(pairs.alias("p")).select(*keys, F.transform("p", lambda x: x.conf).alias("confs"))
+def in_long_form(vectors: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, label, conf) of vectors."""
+    return vectors.select(*keys, F.posexplode("confs").alias("label", "conf"))
 
 
-def predicted_words(scores: DataFrame, spans: DataFrame, heads: list[int]) -> DataFrame:
-    """(text_id, word, start, len, confs, labels); texts without words give no rows."""
-    vectors = as_vectors(merged_over_windows(scores), ["text_id", "word"])
-    return spans.join(vectors, ["text_id", "word"]).select(
-        "text_id", "word", "start", (F.col("end") - F.col("start")).alias("len"), "confs", winning_labels(F.col("confs"), heads).alias("labels")
+def predicted(scores: DataFrame, units: DataFrame, heads: list[int], unit: str = "word") -> DataFrame:
+    """(text_id, unit, start, len, confs, labels) of words, or of tokens by ``pos``; texts without any give no rows."""
+    vectors = merged_over_windows(scores, sum(heads)).withColumnRenamed("word", unit)
+    return units.join(vectors, ["text_id", unit]).select(
+        "text_id", unit, "start", (F.col("end") - F.col("start")).alias("len"), "confs", winning_labels(F.col("confs"), heads).alias("labels")
     )
 
 
+def predicted_words(scores: DataFrame, spans: DataFrame, heads: list[int]) -> DataFrame:
+    return predicted(scores, spans, heads)
+
+
+def predicted_tokens(scores: DataFrame, tokens: DataFrame, heads: list[int]) -> DataFrame:
+    """As for words: ``start_word`` and ``place`` of the scores count tokens."""
+    return predicted(scores, tokens, heads, "pos")
+
+
 def words_from_tokens(tokens: DataFrame, heads: list[int]) -> DataFrame:
     """Word predictions from token confidences: ``tokens`` has text_id, pos, word, start, end and confs."""
-    means = tokens.select("text_id", "word", F.posexplode("confs").alias("label", "c")).groupBy("text_id", "word", "label").agg(F.avg("c").alias("conf"))
-    spans = tokens.groupBy("text_id", "word").agg(F.min_by("start", "pos").alias("start"), F.max_by("end", "pos").alias("end"))
-    vectors = as_vectors(means, ["text_id", "word"])
-    return spans.join(vectors, ["text_id", "word"]).select(
+    found = tokens.groupBy("text_id", "word").agg(
+        F.min_by("start", "pos").alias("start"), F.max_by("end", "pos").alias("end"), mean_vector("confs", sum(heads)).alias("confs")
+    )
+    return found.select(
         "text_id", "word", "start", (F.col("end") - F.col("start")).alias("len"), "confs", winning_labels(F.col("confs"), heads).alias("labels")
     )
 

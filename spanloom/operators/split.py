@@ -6,9 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spanloom.operators.ingest import with_row_index
+
 
 def checked_ratios(ratios: list[float], prefixes: int | None = None) -> np.ndarray:
     folds = np.asarray(ratios, dtype=np.float32)
@@ -76,27 +78,27 @@ def exact_folds(samples: DataFrame, ratios: list[float], seed: int = 0) -> DataF
             fold = stratified(np.array(rows["labels"].tolist()), ratios, seed)
             yield pd.DataFrame({"sample_idx": rows["sample_idx"].to_numpy(), "fold": fold})
 
-    return samples.select("sample_idx", "labels").coalesce(1).mapInPandas(deal, "sample_idx long, fold int")
+    return samples.select("sample_idx", "labels").repartition(1).mapInPandas(deal, "sample_idx long, fold int")
 
 
 def quota_folds(samples: DataFrame, ratios: list[float], key: str = "labels") -> DataFrame:
     """(sample_idx, fold) by quotas: each distinct label vector is dealt by the fold counts.
 
-    Vectors are numbered by md5 of the index, so a fold takes an even share of each; the quotas are
-    one row a distinct vector.
+    Vectors are numbered by md5 of the index, so a fold takes an even share of each. Rows are numbered through by ranges
+    and a vector's first number is taken off, so a vector that most samples share is no task of its own; the quotas, a row a
+    distinct vector, stay a table.
     """
-    spark = samples.sparkSession
-    hashed = F.md5(F.col("sample_idx").cast("string"))
-    sizes = samples.groupBy(key).count().collect()
-    rows = []
-    for r in sizes:
-        upper = np.cumsum(fold_counts(r["count"], ratios)).tolist()
-        rows.append((r[key], upper))
-    kind = samples.schema[key].dataType.simpleString()
-    quotas = spark.createDataFrame(rows, f"{key} {kind}, upper array<long>")
-    place = F.row_number().over(Window.partitionBy(key).orderBy(hashed, "sample_idx"))
-    fold = F.size(F.filter("upper", lambda u: u < F.col("place")))
-    return samples.select("sample_idx", key).withColumn("place", place).join(F.broadcast(quotas), key).select("sample_idx", fold.alias("fold"))
+    folds = [float(x) for x in checked_ratios(ratios)]
+
+    @F.pandas_udf("array<long>")
+    def upper(counts: pd.Series) -> pd.Series:
+        return counts.map(lambda n: np.cumsum(fold_counts(int(n), folds)).tolist())
+
+    hashed = samples.select("sample_idx", key, F.md5(F.col("sample_idx").cast("string")).alias("_h"))
+    numbered = with_row_index(hashed, [key, "_h", "sample_idx"], "_at")
+    quotas = numbered.groupBy(key).agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n")).withColumn("_upper", upper("_n"))
+    fold = F.size(F.filter("_upper", lambda u: u <= F.col("_at") - F.col("_first")))
+    return numbered.join(quotas, key).select("sample_idx", fold.alias("fold"))
 
 
 def text_folds(samples: DataFrame, ratios: list[float], seed: int = 0) -> DataFrame:
@@ -119,9 +121,10 @@ def two_level(samples: DataFrame, ratios: list[float] = (0.9, 0.1), seed: int =
 def materialised(samples: DataFrame, folds: DataFrame, order: str = "sample_idx") -> DataFrame:
     """Samples of each fold with windows renumbered by first appearance: (fold, sample_idx, enc_id, new_enc_id)."""
     rows = samples.select("sample_idx", "enc_id").join(folds, "sample_idx")
-    firsts = rows.groupBy("fold", "enc_id").agg(F.min(order).alias("first"))
-    number = F.row_number().over(Window.partitionBy("fold").orderBy("first")) - 1
-    return rows.join(firsts.select("fold", "enc_id", number.alias("new_enc_id")), ["fold", "enc_id"])
+    firsts = with_row_index(rows.groupBy("fold", "enc_id").agg(F.min(order).alias("first")), ["fold", "first", "enc_id"], "_at")
+    before = firsts.groupBy("fold").agg(F.min("_at").alias("_before"))
+    new = firsts.join(before, "fold").select("fold", "enc_id", (F.col("_at") - F.col("_before")).alias("new_enc_id"))
+    return rows.join(new, ["fold", "enc_id"])
 
 
 def fold_windows(windows: DataFrame, samples: DataFrame, folds: DataFrame, fold: int) -> DataFrame:

@@ -6,13 +6,16 @@ scores), it is derived from ids by arithmetic or md5, the same in both engines.
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.functions import metrics
 from spanloom.operators import corpus, encoder, explain, ingest, merge, permute, samples, scoring, split, tokens
-from spanloom.schema import label_defs, label_groups, label_space
+from spanloom.schema import LabelSpace, label_defs, label_groups, label_space
+from spanloom.session import shared_dir
 from spanloom.sources import catalog, corpus_json, render
 
 HEADS = ["mood", "topic"]
@@ -78,8 +81,7 @@ words AS (SELECT id, word, w, coalesce(sum(length(w) + 1) OVER (PARTITION BY id
 
 def talk_words(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     texts = talks(spark, sf_dir)
-    spans = tokens.word_spans(tokens.with_words(tokens.space_tokens(texts.select(F.col("id").alias("text_id"), "text"))))
-    return spans, samples.spans_of(texts)
+    return tokens.text_words(texts.select(F.col("id").alias("text_id"), "text")), samples.spans_of(texts)
 
 
 # --- ingest ---------------------------------------------------------------------------------------
@@ -135,6 +137,27 @@ def trimmed_text(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(ingest.trimmed(text)).alias("text_md5"))
 
 
+@query(r"""WITH t AS (SELECT doc_id, text, doc_id % 3 = 0 AS neutral, doc_id % 5 AS k, doc_id % 4 + 1 AS level FROM documents)
+SELECT row_number() OVER (ORDER BY neutral, doc_id) - 1 AS row_idx, md5(CASE WHEN neutral THEN text ELSE regexp_replace(text, '^\s+|\s+$', '', 'g') END) AS text_md5,
+  (CASE WHEN NOT neutral AND k = 0 THEN level ELSE 0 END)::INTEGER AS lvl_ethnicity_hate, (CASE WHEN NOT neutral AND k = 1 THEN level ELSE 0 END)::INTEGER AS lvl_gender_hate,
+  (CASE WHEN NOT neutral AND k = 2 THEN level ELSE 0 END)::INTEGER AS lvl_countries_hate, (CASE WHEN NOT neutral AND k = 3 THEN level ELSE 0 END)::INTEGER AS lvl_political_hate,
+  (CASE WHEN NOT neutral AND k = 4 THEN level ELSE 0 END)::INTEGER AS lvl_religion_hate FROM t""")
+def sheet_ingest(spark, sf_dir):
+    """Two exported sheets, one csv with levels and one Parquet without, written and read again into the tidy table."""
+    home = work_dir(spark, "sheets")
+    rows = table(spark, sf_dir, "documents").withColumn("neutral", F.col("doc_id") % 3 == 0).sortWithinPartitions("doc_id")
+    level = F.concat(F.lit(" Level "), (F.col("doc_id") % 4 + 1).cast("string"))
+    kind = F.element_at(F.array(*map(F.lit, ingest.TYPES)), (F.col("doc_id") % 5 + 1).cast("int"))
+    ranged = rows.repartitionByRange(4, "doc_id").sortWithinPartitions("doc_id")
+    sheet = ranged.where("NOT neutral").select(F.col("text").alias("Comment"), level.alias("HS Level"), kind.alias("kind"))
+    options = {"header": True, "quoteAll": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    sheet.write.csv(f"{home}/loaded.csv", **options)
+    ranged.where("neutral").select(F.col("text").alias("Comment")).write.parquet(f"{home}/neutral")
+    loaded = ingest.read_sheet(spark, f"{home}/loaded.csv", "", 0).withColumn("type", F.col("kind"))
+    found = ingest.annotated_corpus([loaded], [ingest.read_sheet(spark, f"{home}/neutral", "", 1)])
+    return found.select("row_idx", F.md5("text").alias("text_md5"), *[f"lvl_{t}_hate" for t in ingest.TYPES])
+
+
 # --- merge, labels, corpus ------------------------------------------------------------------------
 
 
@@ -258,7 +281,7 @@ words AS (SELECT doc_id, word, w, coalesce(sum(length(w) + 1) OVER (PARTITION BY
   greatest(1, ceil(length(w) / 4.0))::BIGINT AS n_tokens FROM words""")
 def word_offsets(spark, sf_dir):
     texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("text_id"), "text")
-    return tokens.word_spans(tokens.with_words(tokens.space_tokens(texts, width=4)))
+    return tokens.word_rows(texts, tokens.SpaceTokenizer(4)).drop("special")
 
 
 @query("""WITH n AS (SELECT doc_id, len(string_split(text, ' ')) AS n FROM documents)
@@ -286,6 +309,35 @@ def word_labels(spark, sf_dir):
     return samples.unit_labels(words, spans, ["text_id", "word"]).select("text_id", "word", "label")
 
 
+ROLES = LabelSpace(("role",), ((0, 1, 2),))
+MEETS = """((u.s BETWEEN t.start AND t.start + length(t.text) - 1) OR (u.e - 1 BETWEEN t.start AND t.start + length(t.text) - 1)
+    OR (t.start BETWEEN u.s AND u.e - 1) OR (t.start + length(t.text) - 1 BETWEEN u.s AND u.e - 1))"""
+
+
+def sample_sql(units: str, covering: bool) -> str:
+    """Samples of units (id, pos, s, e) in windows of 64 at a third."""
+    late = "WHERE f = 0 OR f + 21 < n" if covering else ""
+    return f"""n AS (SELECT id, count(*) AS n FROM {units} GROUP BY id),
+h AS (SELECT u.id, u.pos, any_value(n) AS n, CASE WHEN any_value(u.s) = any_value(u.e) THEN '1,0,0' ELSE
+  concat_ws(',', count(*) FILTER (t.label = 0 AND {MEETS}) > 0, count(*) FILTER (t.label = 1 AND {MEETS}) > 0, count(*) FILTER (t.label = 2 AND {MEETS}) > 0) END AS hot
+  FROM {units} u JOIN n USING (id) LEFT JOIN turns t ON t.conv_id = u.id GROUP BY u.id, u.pos),
+f AS (SELECT id, pos, n, hot, unnest(CASE WHEN n <= 64 THEN [0::BIGINT] ELSE range((greatest(ceil((pos - 63) / 43.0), 0) * 43)::BIGINT, pos::BIGINT + 1, 43) END) AS f FROM h)
+SELECT id AS text_id, f::INTEGER AS start_word, (pos - f)::INTEGER AS target, replace(replace(hot, 'true', '1'), 'false', '0') AS labels FROM f {late}"""
+
+
+@query(f"""WITH {TALKS}, u AS (SELECT id, word AS pos, s, s + length(w) AS e FROM words), {sample_sql("u", False)}""")
+def word_samples(spark, sf_dir):
+    found = samples.word_samples(talks(spark, sf_dir), ROLES, 64)
+    return found.withColumn("labels", F.array_join("labels", ","))
+
+
+@query(f"""WITH {TALKS}, x AS (SELECT id, word, s, w, unnest(CASE WHEN w = '' THEN [0] ELSE range(0, length(w), 4) END) AS k FROM words),
+u AS (SELECT id, row_number() OVER (PARTITION BY id ORDER BY word, k) - 1 AS pos, s + k AS s, s + least(length(w), k + 4) AS e FROM x), {sample_sql("u", True)}""")
+def token_samples(spark, sf_dir):
+    found = samples.token_samples(talks(spark, sf_dir), ROLES, 64, tokenizer=tokens.SpaceTokenizer(4))
+    return found.withColumn("labels", F.array_join("labels", ","))
+
+
 @query(f"""WITH {DOC_WORDS}, l AS (SELECT doc_id, dense_rank() OVER (ORDER BY doc_id * 7 % 5) - 1 AS a,
     (SELECT count(DISTINCT doc_id * 7 % 5) FROM documents) + dense_rank() OVER (ORDER BY CASE WHEN doc_id % 3 = 0 THEN 0 ELSE 3 END) - 1 AS b FROM documents),
 n AS (SELECT doc_id, max(word) + 1 AS n FROM words GROUP BY doc_id),
@@ -295,22 +347,28 @@ h AS (SELECT CASE WHEN w = '' THEN 0 ELSE a END AS label, k FROM x JOIN l USING
 SELECT label::INTEGER AS label, sum(k)::BIGINT AS n FROM h GROUP BY label""")
 def label_counts(spark, sf_dir):
     texts, space = chunked(spark, sf_dir)
-    words = tokens.word_spans(tokens.with_words(tokens.space_tokens(texts.select(F.col("id").alias("text_id"), "text"))))
-    found = samples.word_samples(words, samples.spans_of(texts), space, 256)
-    return samples.label_counts(found)
+    return samples.label_counts(samples.word_samples(texts, space, 256), space.size)
 
 
 @query(f"""WITH {TALKS}, x AS (SELECT id, word, unnest(CASE WHEN w = '' THEN [0] ELSE range(0, length(w), 4) END) AS k, w FROM words),
-t AS (SELECT id, word, {DRAW.format("(CASE WHEN k = 0 THEN '▁' ELSE '' END) || substr(w, (k + 1)::BIGINT, 4)")} % 500 AS token_id FROM x),
+t AS (SELECT id, word, {DRAW.format("(CASE WHEN k = 0 THEN '▁' ELSE '' END) || substr(w, (k + 1)::BIGINT, 4)")} % (SELECT max(vec_id) + 1 FROM embeddings) AS token_id FROM x),
 v AS (SELECT id, word, unnest(e.embedding) AS x, generate_subscripts(e.embedding, 1) AS d FROM t JOIN embeddings e ON e.vec_id = t.token_id),
 m AS (SELECT id, word, d, avg(x::DOUBLE) AS value FROM v GROUP BY ALL)
-SELECT id AS text_id, word::INTEGER AS word, round(sum(value), 5) AS total, round(max(value), 6) AS most FROM m GROUP BY ALL""")
+SELECT id AS text_id, word::INTEGER AS word, round(sum(value), 5) AS total, round(sum(value * d), 4) AS moment, round(max(value), 6) AS most FROM m GROUP BY ALL""")
 def word_embeddings(spark, sf_dir):
     texts = talks(spark, sf_dir).select(F.col("id").alias("text_id"), "text")
-    found = tokens.with_words(tokens.space_tokens(texts, width=4)).withColumn("token_id", draw(F.col("piece")) % 500)
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("token_id"), "embedding")
-    means = tokens.word_vectors(tokens.embedded(found, vectors))
-    return means.groupBy("text_id", "word").agg(F.round(F.sum("value"), 5).alias("total"), F.round(F.max("value"), 6).alias("most"))
+    size = vectors.agg(F.max("token_id") + 1).first()[0]
+    made = tokens.SpaceTokenizer(4).tokenised(texts)
+    numbers = tokens.word_numbers(F.col("tokens"))
+    zipped = F.arrays_zip(F.transform("tokens", lambda t: t.piece).alias("piece"), numbers.alias("word")).alias("zipped")
+    found = tokens.spread(made.select("text_id", zipped), ["text_id"], "zipped", "word")
+    found = found.withColumn("token_id", draw(F.col("piece")) % size)
+    means = tokens.word_vectors(tokens.embedded(found, vectors), 64)
+    total = lambda weigh: F.aggregate(F.transform("vector", weigh), F.lit(0.0), lambda a, x: a + x)
+    return means.select(
+        "text_id", "word", F.round(total(lambda x: x), 5).alias("total"), F.round(total(lambda x, i: x * (i + 1)), 4).alias("moment"), F.round(F.array_max("vector"), 6).alias("most")
+    )
 
 
 # --- scores ---------------------------------------------------------------------------------------
@@ -334,18 +392,47 @@ merged AS (SELECT id, word, label, avg(c::DOUBLE) AS conf FROM conf GROUP BY ALL
 
 @query(f"WITH {SCORES} SELECT id AS text_id, word::INTEGER AS word, label::INTEGER AS label, round(conf, 6) AS conf FROM merged")
 def overlap_merge(spark, sf_dir):
-    return scoring.merged_over_windows(hashed_scores(spark, sf_dir)).select("text_id", F.col("word").cast("int").alias("word"), "label", F.round("conf", 6).alias("conf"))
+    merged = scoring.in_long_form(scoring.merged_over_windows(hashed_scores(spark, sf_dir), 5), ["text_id", "word"])
+    return merged.select("text_id", F.col("word").cast("int").alias("word"), "label", F.round("conf", 6).alias("conf"))
 
 
 @query(f"""WITH {SCORES}, r AS (SELECT *, row_number() OVER (PARTITION BY id, word, label >= 2 ORDER BY round(conf, 9) DESC, label) AS rn FROM merged)
 SELECT id AS text_id, word::INTEGER AS word, min(label)::INTEGER AS first_head, max(label)::INTEGER AS second_head FROM r WHERE rn = 1 GROUP BY ALL""")
 def winning_labels(spark, sf_dir):
-    merged = scoring.merged_over_windows(hashed_scores(spark, sf_dir)).withColumn("conf", F.round("conf", 9))
-    vectors = scoring.as_vectors(merged, ["text_id", "word"])
-    won = scoring.winning_labels(F.col("confs"), [2, 3])
+    vectors = scoring.merged_over_windows(hashed_scores(spark, sf_dir), 5)
+    won = scoring.winning_labels(F.transform("confs", lambda c: F.round(c, 9)), [2, 3])
     return vectors.select("text_id", F.col("word").cast("int").alias("word"), won[0].alias("first_head"), won[1].alias("second_head"))
 
 
+@query(f"""WITH {SCORES}, r AS (SELECT *, row_number() OVER (PARTITION BY id, word, label >= 2 ORDER BY conf DESC, label) AS rn FROM merged),
+v AS (SELECT id, word, min(label) AS a, max(label) AS b FROM r WHERE rn = 1 GROUP BY ALL)
+SELECT id AS text_id, word::INTEGER AS word, s::INTEGER AS start, length(w)::INTEGER AS len, a || ',' || b AS labels FROM v JOIN words USING (id, word)""")
+def word_predictions(spark, sf_dir):
+    words, _ = talk_words(spark, sf_dir)
+    found = scoring.predicted_words(hashed_scores(spark, sf_dir), words, [2, 3])
+    return found.select("text_id", "word", "start", "len", F.array_join("labels", ",").alias("labels"))
+
+
+@query(f"""WITH {TALKS}, x AS (SELECT id, word, s, w, unnest(CASE WHEN w = '' THEN [0] ELSE range(0, length(w), 4) END) AS k FROM words),
+u AS (SELECT id, row_number() OVER (PARTITION BY id ORDER BY word, k) - 1 AS pos, s + k AS s, least(length(w) - k, 4) AS len FROM x),
+n AS (SELECT id, count(*) AS n FROM u GROUP BY id),
+f AS (SELECT id, pos, unnest(CASE WHEN n <= 32 THEN [0::BIGINT] ELSE range((greatest(ceil((pos - 31) / 22.0), 0) * 22)::BIGINT, pos::BIGINT + 1, 22) END) AS f FROM u JOIN n USING (id)),
+c AS (SELECT id, pos, f, unnest(range(0, 2)) AS label FROM f),
+m AS (SELECT id, pos, label, avg(({DRAW.format("id || '|' || f || '|' || (pos - f) || '|' || label")} % 1000)::DOUBLE) AS c FROM c GROUP BY ALL)
+SELECT id AS text_id, pos::INTEGER AS pos, any_value(s)::INTEGER AS start, any_value(len)::INTEGER AS len,
+  (CASE WHEN max(c) FILTER (label = 1) > max(c) FILTER (label = 0) THEN 1 ELSE 0 END)::INTEGER AS label FROM m JOIN u USING (id, pos) GROUP BY id, pos""")
+def token_predictions(spark, sf_dir):
+    """Windows of 32 tokens, each token with two confidences out of md5."""
+    made = tokens.SpaceTokenizer(4).tokenised(talks(spark, sf_dir).select(F.col("id").alias("text_id"), "text"))
+    sized = made.select("text_id", F.size("tokens").alias("n_words"), "tokens")
+    units = tokens.spread(sized, ["text_id", "n_words"], "tokens", "pos")
+    placed = tokens.window_words(units.withColumnRenamed("pos", "word"), 32)
+    conf = lambda i: (draw(F.col("text_id"), F.col("start_word"), F.col("place"), i) % 1000).cast("double")
+    scores = placed.select("text_id", "start_word", "place", F.transform(F.array(F.lit(0), F.lit(1)), conf).alias("confs"))
+    found = scoring.predicted_tokens(scores, units, [2])
+    return found.select("text_id", "pos", "start", "len", F.col("labels")[0].alias("label"))
+
+
 @query(f"""WITH {TALKS}, x AS (SELECT id, word, s, w, unnest(CASE WHEN w = '' THEN [0] ELSE range(0, length(w), 4) END) AS k FROM words),
 c AS (SELECT *, unnest(range(0, 2)) AS label FROM x),
 m AS (SELECT id, word, label, any_value(s) AS s, any_value(w) AS w, avg(({DRAW.format("id || '|' || (s + k) || '|' || label")} % 1000)::DOUBLE) AS c FROM c GROUP BY id, word, label)
@@ -353,7 +440,9 @@ SELECT id AS text_id, word::INTEGER AS word, any_value(s)::INTEGER AS start, any
   (CASE WHEN max(c) FILTER (label = 1) > max(c) FILTER (label = 0) THEN 1 ELSE 0 END)::INTEGER AS label FROM m GROUP BY id, word""")
 def token_to_word_labels(spark, sf_dir):
     texts = talks(spark, sf_dir).select(F.col("id").alias("text_id"), "text")
-    found = tokens.with_words(tokens.space_tokens(texts, width=4))
+    made = tokens.SpaceTokenizer(4).tokenised(texts)
+    zipped = F.arrays_zip(F.col("tokens"), tokens.word_numbers(F.col("tokens")).alias("word"))
+    found = tokens.spread(made.select("text_id", zipped.alias("zipped")), ["text_id"], "zipped", "word").select("text_id", "word", "tokens.*")
     conf = F.transform(F.array(F.lit(0), F.lit(1)), lambda i: (draw(F.col("text_id"), F.col("start"), i) % 1000).cast("double"))
     return scoring.words_from_tokens(found.withColumn("confs", conf), [2]).select("text_id", "word", "start", "len", F.col("labels")[0].alias("label"))
 
@@ -365,15 +454,36 @@ def embedding_windows(spark, sf_dir) -> DataFrame:
     return grouped.select("text_id", F.lit(0).alias("start_word"), F.transform("r", lambda x: x.embedding).alias("embeds"), "r")
 
 
-@query()
+LINEAR = """x AS (SELECT vec_id, vec_id // 10 AS id, label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS d FROM embeddings),
+a AS (SELECT id, vec_id, any_value(label) AS label, l, sum(x * sin({angle})) AS a FROM x, (SELECT unnest(range(0, 5)) AS l){more} GROUP BY ALL),
+g AS (SELECT *, a + avg(a) OVER (PARTITION BY id, l{part}) AS g, count(*) OVER (PARTITION BY id, l{part}) AS n FROM a)"""
+
+
+@query(f"""WITH {LINEAR.format(angle="v * (d * 5 + l)", more=", (SELECT unnest([1, 2]) AS v)", part=", v").replace("a AS (SELECT id,", "a AS (SELECT v, id,")},
+r AS (SELECT *, row_number() OVER (PARTITION BY v, vec_id, l >= 2 ORDER BY g DESC, l) AS rn FROM g)
+SELECT v::INTEGER AS model_version, vec_id AS sample_idx, string_agg(CASE WHEN l = label % 2 OR l = label % 3 + 2 THEN '1' ELSE '0' END, ',' ORDER BY l) AS expected,
+  string_agg(CASE WHEN rn = 1 THEN '1' ELSE '0' END, ',' ORDER BY l) AS found FROM r GROUP BY ALL""")
 def model_evaluation(spark, sf_dir):
-    """Every model over every window: two encoders of one and two layers."""
+    """Every model over every window: two linear scorers."""
+    weights = {v: np.sin(v * np.arange(64 * 5)).reshape(64, 5) for v in (1, 2)}
+    found = evaluations(spark, sf_dir, {v: explain.linear_softmax(w, [2, 3]) for v, w in weights.items()})
+    text = lambda c: F.array_join(F.transform(c, lambda x: x.cast("int")), ",")
+    return found.select("model_version", "sample_idx", text("expected_labels").alias("expected"), text("found_labels").alias("found"))
+
+
+@query()
+def encoder_evaluation(spark, sf_dir):
+    """As model_evaluation, with encoders of one and two layers."""
+    found = evaluations(spark, sf_dir, {v: encoder.Encoder(64, [2, 3], layers=v) for v in (1, 2)})
+    return found.select("model_version", "sample_idx", F.to_json("found_labels").alias("found_labels"))
+
+
+def evaluations(spark, sf_dir, forwards: dict) -> DataFrame:
     windows = embedding_windows(spark, sf_dir)
     hot = lambda x: F.transform(F.sequence(F.lit(0), F.lit(4)), lambda i: ((x.label % 2 == i) | (x.label % 3 + 2 == i)).cast("int"))
     found = windows.select("text_id", "start_word", F.posexplode("r").alias("target", "x"))
     found = found.select("text_id", "start_word", "target", F.col("x.vec_id").alias("sample_idx"), hot(F.col("x")).alias("labels"))
-    models = {v: scoring.ArrowScorer(encoder.Encoder(64, [2, 3], layers=v), [2, 3]) for v in (1, 2)}
-    return scoring.evaluated(models, windows, found).select("model_version", "sample_idx", F.to_json("found_labels").alias("found_labels"))
+    return scoring.evaluated({v: scoring.ArrowScorer(f, [2, 3]) for v, f in forwards.items()}, windows, found)
 
 
 def influences(spark, sf_dir, steps: int) -> DataFrame:
@@ -381,9 +491,18 @@ def influences(spark, sf_dir, steps: int) -> DataFrame:
     return explain.explained(embedding_windows(spark, sf_dir), weights, [2, 3], steps)
 
 
-@query()
+@query(f"""WITH {LINEAR.format(angle="d * 5 + l", more="", part="")}, ts AS (SELECT (k + 0.5) / 50 AS t FROM (SELECT unnest(range(0, 50)) AS k)),
+e AS (SELECT id, vec_id, l, (l >= 2)::INTEGER AS head, t, n, exp(t * (g - max(g) OVER (PARTITION BY vec_id, l >= 2, t))) AS e FROM g, ts),
+p AS (SELECT *, e / sum(e) OVER (PARTITION BY vec_id, head, t) AS p FROM e),
+w AS (SELECT vec_id, (l >= 2)::INTEGER AS head, arg_max(l, g) AS won FROM g GROUP BY ALL),
+s AS (SELECT p.id, p.vec_id, p.head, i.vec_id AS other, any_value(p.n) AS n, p.t, max(p.p) FILTER (p.l = w.won) AS chosen, max(i.a) FILTER (p.l = w.won) AS own, sum(p.p * i.a) AS mean
+  FROM p JOIN w USING (vec_id, head) JOIN a i ON i.id = p.id AND i.l = p.l GROUP BY p.id, p.vec_id, p.head, i.vec_id, p.t),
+f AS (SELECT id, vec_id, other, head, (1.0 / any_value(n) + (vec_id = other)::INTEGER) / 64 * avg(chosen * (own - mean)) AS f FROM s GROUP BY id, vec_id, other, head),
+m AS (SELECT *, max(abs(f)) OVER (PARTITION BY vec_id, head) AS most FROM f)
+SELECT id AS text_id, head, (vec_id % 10)::INTEGER AS out_pos, (other % 10)::INTEGER AS in_pos, round(f / CASE WHEN most < 1e-12 THEN 1 ELSE most END, 5) + 0.0 AS influence FROM m""")
 def integrated_gradients(spark, sf_dir):
-    return explain.merged_influence(influences(spark, sf_dir, 50), normalise=True)
+    found = explain.merged_influence(influences(spark, sf_dir, 50), normalise=True)
+    return found.withColumn("influence", F.round("influence", 5) + 0.0)
 
 
 @query()
@@ -401,8 +520,8 @@ m AS (SELECT id, o, i, avg(f::DOUBLE) AS f FROM p GROUP BY ALL), t AS (SELECT *,
 SELECT id AS text_id, o::INTEGER AS out_pos, i::INTEGER AS in_pos, round(f / CASE WHEN most < 1e-12 THEN 1 ELSE most END, 6) + 0.0 AS influence FROM t""")
 def influence_merge(spark, sf_dir):
     words, _ = talk_words(spark, sf_dir)
-    placed = tokens.window_words(words, 8).select("text_id", "start_word", "word")
-    pairs = placed.withColumnRenamed("word", "out_pos").join(placed.withColumnRenamed("word", "in_pos"), ["text_id", "start_word"])
+    held = tokens.window_words(words, 8).groupBy("text_id", "start_word").agg(F.collect_list("word").alias("held"))
+    pairs = held.select("text_id", "start_word", "held", F.explode("held").alias("out_pos")).select("text_id", "start_word", "out_pos", F.explode("held").alias("in_pos"))
     value = (draw(F.col("text_id"), F.col("start_word"), F.col("out_pos"), F.col("in_pos")) % 1000) / 1000.0 - 0.5
     merged = explain.merged_influence(pairs.withColumns({"head": F.lit(0), "influence": value}), normalise=True)
     return merged.select("text_id", "out_pos", "in_pos", (F.round("influence", 6) + 0.0).alias("influence"))
@@ -523,7 +642,10 @@ def stratified_split_exact(spark, sf_dir):
     return split.exact_folds(labelled_samples(spark, sf_dir), [0.9, 0.1])
 
 
-@query()
+@query(f"""WITH {QUOTA}, r AS (SELECT * FROM labels JOIN (SELECT doc_id FROM f WHERE fold = 0) USING (doc_id)),
+c2 AS (SELECT quality, toxic, count(*) AS n, ceil(0.9::FLOAT * count(*)::FLOAT)::BIGINT AS a, ceil(0.1::FLOAT * count(*)::FLOAT)::BIGINT AS b FROM r GROUP BY ALL)
+SELECT doc_id AS sample_idx, (row_number() OVER (PARTITION BY quality, toxic ORDER BY md5(doc_id::VARCHAR), doc_id) > {COUNTS})::INTEGER AS fold
+FROM r JOIN c2 USING (quality, toxic) UNION ALL SELECT doc_id, 2 FROM f WHERE fold = 1""")
 def two_level_split(spark, sf_dir):
     return split.two_level(labelled_samples(spark, sf_dir))
 
@@ -567,17 +689,27 @@ LINES = f"""{CHUNKS}, named AS (SELECT s.*, l.text, CASE WHEN label < (SELECT co
 html AS (SELECT id, string_agg({SPAN.format("name")}, '' ORDER BY label) AS html FROM named GROUP BY id)"""
 
 
-@query(f"WITH {LINES} SELECT a.id, md5(a.html) AS ref_md5, md5(coalesce(b.html, '')) AS res_md5 FROM html a LEFT JOIN (SELECT * FROM html WHERE id % 2 = 0) b USING (id)")
+@query(f"WITH {LINES} SELECT a.id, md5(a.html) AS ref_md5, md5(b.html) AS res_md5 FROM html a LEFT JOIN html b USING (id)")
 def side_by_side(spark, sf_dir):
     texts, space = chunked(spark, sf_dir)
-    found = render.side_by_side(texts, texts.where("id % 2 = 0"), space.names)
+    found = render.side_by_side(texts, texts, space.names)
     return found.select("id", F.md5("ref_html").alias("ref_md5"), F.md5("res_html").alias("res_md5"))
 
 
-@query()
+JSON_TEXT = r"""replace(replace(replace(replace(replace(text, '\', '\\'), '"', '\"'), chr(10), '\n'), chr(13), '\r'), chr(9), '\t')"""
+
+
+@query(rf"""WITH {CHUNKS}, sizes AS (SELECT (SELECT count(DISTINCT mood) FROM levels) AS m, (SELECT count(DISTINCT topic) FROM levels) AS t),
+defs AS (SELECT 'mood_' || mood AS name, 0 AS h, mood AS v FROM levels GROUP BY mood UNION ALL SELECT 'topic_' || topic, 1, topic FROM levels GROUP BY topic),
+numbered AS (SELECT name, row_number() OVER (ORDER BY h, v) - 1 AS label FROM defs),
+meta AS (SELECT string_agg('"' || label || '":"' || name || '"', ',' ORDER BY label) AS d FROM numbered),
+one AS (SELECT row_idx AS id, '{{"labelDefs":{{' || d || '}},"labelGrps":[' || m || ',' || t || '],"id":' || row_idx || ',"text":"' || {JSON_TEXT} || '","chunks":['
+  || (SELECT string_agg('{{"start":' || start || ',"len":' || len || ',"label":' || label || '}}', ',' ORDER BY label) FROM spans s WHERE s.id = row_idx) || ']}}' AS j
+  FROM levels, meta, sizes)
+SELECT id, md5('const pair = JSON.parse("' || replace(replace('{{"ref":' || j || ',"res":' || j || '}}', '\', '\\'), '"', '\"') || '")') AS js_md5 FROM one""")
 def script_side_by_side(spark, sf_dir):
     texts, space = chunked(spark, sf_dir)
-    return render.script_rows(texts, texts.where("id % 2 = 0"), space).select("id", F.md5("js").alias("js_md5"))
+    return render.script_rows(texts, texts, space).select("id", F.md5("js").alias("js_md5"))
 
 
 @query(f"WITH {CHUNKS} SELECT row_idx AS id, md5(text) AS text_md5, 2 AS n_chunks, (SELECT sum(label)::BIGINT FROM spans s WHERE s.id = row_idx) AS labels FROM levels")
@@ -586,3 +718,62 @@ def json_round_trip(spark, sf_dir):
     parsed = texts.select(F.from_json(corpus_json.text_json(), "id bigint, text string, chunks array<struct<start:int,len:int,label:int>>").alias("t")).select("t.*")
     labels = F.aggregate("chunks", F.lit(0).cast("long"), lambda a, c: a + c.label)
     return parsed.select("id", F.md5("text").alias("text_md5"), F.size("chunks").alias("n_chunks"), labels.alias("labels"))
+
+
+def work_dir(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+TEXT_FACTS = f"""WITH {CHUNKS} SELECT row_idx AS id, md5(text) AS text_md5, 2 AS n_chunks, (SELECT sum(label)::BIGINT FROM spans s WHERE s.id = row_idx) AS labels FROM levels"""
+
+
+def text_facts(texts: DataFrame) -> DataFrame:
+    labels = F.aggregate("chunks", F.lit(0).cast("long"), lambda a, c: a + c.label)
+    return texts.select("id", F.md5("text").alias("text_md5"), F.size("chunks").alias("n_chunks"), labels.alias("labels"))
+
+
+@query(TEXT_FACTS)
+def corpus_lines(spark, sf_dir):
+    """The corpus as JSON lines, written and read again."""
+    texts, space = chunked(spark, sf_dir)
+    home = work_dir(spark, "lines")
+    corpus_json.save_lines(texts, space, home)
+    return text_facts(corpus_json.load_lines(spark, home)[0])
+
+
+@query(TEXT_FACTS)
+def corpus_document(spark, sf_dir):
+    """The corpus as one JSON document, written and read again."""
+    texts, space = chunked(spark, sf_dir)
+    home = work_dir(spark, "document")
+    corpus_json.save_document(texts, space, home)
+    return text_facts(corpus_json.load_document(spark, home))
+
+
+@query(f"""WITH {SCORES.split("c AS (SELECT id, word, s, unnest")[0].rstrip().rstrip(",")}
+SELECT id AS text_id, s::INTEGER AS start_word, (word - s)::INTEGER AS target, least(32, n - s)::INTEGER AS n, false AS by_vectors FROM w JOIN n USING (id)""")
+def dataset_files(spark, sf_dir):
+    """A data set created, appended to, loaded, and its samples joined to their windows."""
+    words, _ = talk_words(spark, sf_dir)
+    home = work_dir(spark, "dataset")
+    corpus_json.create_dataset(spark, home)
+    enc_id = (F.col("text_id") * 1_000_000 + F.col("start_word")).alias("enc_id")
+    sizes = words.select("text_id", "n_words").distinct()
+    windows = tokens.windows(sizes, 32).select(enc_id, "text_id", "start_word", "n", F.array().cast("array<int>").alias("token_ids"))
+    placed = tokens.window_words(words, 32)
+    rows = placed.select(F.xxhash64("text_id", "word", "start_word").alias("sample_idx"), "text_id", enc_id, F.col("place").alias("target"), F.array(F.lit(1)).alias("labels"))
+    corpus_json.append_dataset(windows, rows, home)
+    stored, held = corpus_json.load_dataset(spark, home)
+    found = permute.loaded(held, stored).join(stored.select("enc_id", "start_word"), "enc_id")
+    return found.select("text_id", "start_word", F.col("target").cast("int").alias("target"), "n", "by_vectors")
+
+
+@query(f"""WITH {EVAL} SELECT model_version, doc_id AS sample_idx, concat_ws(',', 1 - q, q, 1 - t, t) AS expected, concat_ws(',', 1 - fq, fq, 1 - ft, ft) AS found
+FROM e WHERE model_version IN (1, 3)""")
+def evaluation_files(spark, sf_dir):
+    """The evaluation table written by version; two versions read again."""
+    home = work_dir(spark, "evaluation")
+    corpus_json.save_evaluation(evaluation(spark, sf_dir).withColumn("confidence", F.col("found_labels")), home)
+    text = lambda c: F.array_join(F.transform(c, lambda x: x.cast("int")), ",")
+    found = corpus_json.load_evaluation(spark, home, [1, 3])
+    return found.select("model_version", "sample_idx", text("expected_labels").alias("expected"), text("found_labels").alias("found"))

@@ -26,6 +26,21 @@ def versions(catalog: DataFrame) -> DataFrame:
     return catalog.groupBy("version").agg(newest.alias("c")).select("version", "c.epoch", "c.step", "c.path").orderBy("version")
 
 
+def with_checkpoints(catalog: DataFrame) -> DataFrame:
+    """The versions that have a checkpoint."""
+    return catalog.where("epoch IS NOT NULL").select("version").distinct().orderBy("version")
+
+
+def version_path(root: str, version: int) -> str:
+    return f"{root.rstrip('/')}/version_{version}"
+
+
+def checkpoint_path(catalog: DataFrame, version: int) -> str | None:
+    """The newest checkpoint of a version, none if it has none."""
+    found = versions(catalog.where((F.col("version") == version) & F.col("epoch").isNotNull())).first()
+    return found.path if found else None
+
+
 def last_version(catalog: DataFrame) -> DataFrame:
     return catalog.agg(F.max("version").alias("version"))
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spanloom.schema import CORPUS, LabelSpace
+from spanloom.schema import CHUNKED_TEXT, CORPUS, EVALUATION, SAMPLES, WINDOWS, LabelSpace
 
 
 def text_json(*columns: str) -> Column:
@@ -37,22 +37,53 @@ def parsed_document(json: Column) -> Column:
     return F.from_json(json, CORPUS)
 
 
+def save_document(texts: DataFrame, space: LabelSpace, path: str) -> None:
+    """The corpus as one document in a file of its own under ``path``."""
+    corpus_document(texts, space).select(F.col("json").alias("value")).coalesce(1).write.mode("overwrite").text(path)
+
+
+def load_lines(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(id, text, chunks) and (label, name) of a corpus saved as lines."""
+    texts = spark.read.schema(CHUNKED_TEXT).json(f"{path}/texts")
+    return texts, spark.read.schema("label int, name string").json(f"{path}/labels")
+
+
 def load_document(spark: SparkSession, path: str) -> DataFrame:
     """(id, text, chunks) of a corpus saved as one document."""
     return spark.read.option("multiLine", True).schema(T._parse_datatype_string(CORPUS)).json(path).select(F.inline("texts"))
 
 
-def save_dataset(windows: DataFrame, samples: DataFrame, path: str) -> None:
-    """Windows wide, samples narrow, each window stored once; optional columns must be given always or never."""
+def _checked(windows: DataFrame) -> None:
+    """Optional columns must be given for every window or for none."""
     for column in ("token_ids", "embeds"):
         if column in windows.columns:
             n, missing = windows.agg(F.count(F.lit(1)), F.count_if(F.col(column).isNull())).first()
             if missing not in (0, n):
                 raise ValueError(f"{column} must be given for every window or for none")
+
+
+def create_dataset(spark: SparkSession, path: str) -> None:
+    """An empty data set with the declared columns."""
+    save_dataset(spark.createDataFrame([], WINDOWS), spark.createDataFrame([], SAMPLES), path)
+
+
+def save_dataset(windows: DataFrame, samples: DataFrame, path: str) -> None:
+    """Windows wide, samples narrow, each window stored once; optional columns must be given always or never."""
+    _checked(windows)
     windows.write.mode("overwrite").parquet(f"{path}/windows")
     samples.write.mode("overwrite").parquet(f"{path}/samples")
 
 
+def append_dataset(windows: DataFrame, samples: DataFrame, path: str) -> None:
+    """Adds windows and samples to a stored data set; what is stored decides which optional columns are given."""
+    spark = windows.sparkSession
+    stored, held = load_dataset(spark, path)
+    both = stored.unionByName(windows, allowMissingColumns=True)
+    _checked(both)
+    windows.select(*[F.col(c).cast(stored.schema[c].dataType) if c in windows.columns else F.lit(None).cast(stored.schema[c].dataType).alias(c) for c in stored.columns]).write.mode("append").parquet(f"{path}/windows")
+    samples.select(*[F.col(c).cast(held.schema[c].dataType) for c in held.columns]).write.mode("append").parquet(f"{path}/samples")
+
+
 def load_dataset(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return spark.read.parquet(f"{path}/windows"), spark.read.parquet(f"{path}/samples")
 
@@ -70,3 +101,9 @@ def delete_dataset(spark: SparkSession, path: str) -> bool:
 def save_evaluation(evaluation: DataFrame, path: str) -> None:
     """Partitioned by version, so a version is read alone."""
     evaluation.write.mode("overwrite").partitionBy("model_version").parquet(path)
+
+
+def load_evaluation(spark: SparkSession, path: str, versions: list[int] | None = None) -> DataFrame:
+    """The evaluation table; with ``versions``, only their folders are read."""
+    found = spark.read.schema(EVALUATION).parquet(path)
+    return found if versions is None else found.where(F.col("model_version").isin(*versions))

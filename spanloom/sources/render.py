@@ -43,7 +43,7 @@ def page(rows: DataFrame, order: str = "id") -> str:
     """One HTML page of rendered rows; a page is for people, so its rows come to the driver."""
     cells = [c for c in rows.columns if c != order]
     body = "".join(
-        "<tr>" + "".join(f"<td>id = {r[order]}, line = {r[c]}</td>" for c in cells) + "</tr>" for r in rows.orderBy(order).toLocalIterator()
+        f"<tr><th>{r[order]}</th>" + "".join(f"<td>{r[c]}</td>" for c in cells) + "</tr>" for r in rows.orderBy(order).toLocalIterator()
     )
     return f"<!DOCTYPE html><html><head></head><body><table><tbody>{body}</tbody></table></body></html>"
 
@@ -54,4 +54,4 @@ def script_rows(ref: DataFrame, res: DataFrame, space: LabelSpace) -> DataFrame:
     both = pack(ref, "ref").join(pack(res, "res"), "id", "left")
     once = F.to_json(F.struct("ref", "res"))
     twice = F.concat(F.lit('"'), F.regexp_replace(F.regexp_replace(once, r"\\", r"\\\\"), '"', r'\\"'), F.lit('"'))
-    return both.select("id", F.concat(F.lit("var sideBySide = JSON.parse("), twice, F.lit(")")).alias("js"))
+    return both.select("id", F.concat(F.lit("const pair = JSON.parse("), twice, F.lit(")")).alias("js"))

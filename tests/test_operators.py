@@ -1,5 +1,7 @@
 """Hand-written cases and restatements of the sequential rules."""
 
+import os
+
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -173,7 +175,7 @@ def test_head_softmax(spark):
 
 def test_overlap_merge(spark):
     df = spark.createDataFrame([(1, 0, 3, [0.2]), (1, 2, 1, [0.6])], "text_id long, start_word int, place int, confs array<double>")
-    assert scoring.merged_over_windows(df).first().conf == pytest.approx(0.4)
+    assert scoring.merged_over_windows(df, 1).first().confs == [pytest.approx(0.4)]
 
 
 def test_f1_cases(spark):
@@ -254,5 +256,154 @@ def test_stream(spark, tmp_path):
     rows = spark.createDataFrame([(1, 0, 0, [0.2, 0.8]), (1, 0, 1, [0.6, 0.4])], "text_id long, start_word int, place int, confs array<double>")
     rows.write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
-    merge_stream(stream, str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
+    merge_stream(stream, 2, str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+
+
+@settings(max_examples=6, deadline=None)
+@given(st.lists(st.integers(0, 9), max_size=700))
+def test_running_sums(spark, values):
+    df = spark.createDataFrame([(values,)], "v array<bigint>")
+    assert df.select(tokens.running(F.col("v"))).first()[0] == [sum(values[:i]) for i in range(len(values))]
+
+
+@settings(max_examples=6, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from(["▁a", "b", "▁"]), st.booleans()), min_size=1, max_size=12))
+def test_words_in_the_row_are_those_of_rows(spark, pieces):
+    made = [(i, None, p, 2 * i, 2 * i + 1, s) for i, (p, s) in enumerate(pieces)]
+    df = spark.createDataFrame([(1, made)], f"text_id long, tokens array<{tokens.TOKEN}>")
+    numbers = df.select(tokens.word_numbers(F.col("tokens"))).first()[0]
+    rows = tokens.with_words(tokens.token_rows(df))
+    assert numbers == [r.word for r in rows.orderBy("pos").collect()]
+    want = sorted(tuple(r)[1:] for r in tokens.word_spans(rows).collect())
+    got = df.select(F.inline(tokens.words_of(F.col("tokens")))).collect()
+    assert [(r.word, r.start, r.end, r.n_tokens) for r in got] == want
+
+
+def test_empty_texts_give_no_samples(spark):
+    space = LabelSpace(("h",), ((0, 1),))
+    chunk = "array<struct<start:int,len:int,label:int>>"
+    texts = spark.createDataFrame([(1, "", [(0, 0, 1)]), (2, None, []), (3, "a  b", [(0, 1, 1)])], f"id long, text string, chunks {chunk}")
+    got = samples.word_samples(texts, space, 8).orderBy("target").collect()
+    assert [(r.text_id, r.target, r.labels) for r in got] == [(3, 0, [0, 1]), (3, 1, [1, 0]), (3, 2, [0, 0])]
+    assert tokens.word_rows(texts.select(F.col("id").alias("text_id"), "text")).where("text_id < 3").count() == 0
+
+
+def test_window_slices(spark):
+    df = spark.createDataFrame([(list(range(7)),), ([],)], "u array<int>")
+    got = [[tuple(w) for w in r[0]] for r in df.select(tokens.window_slices(F.col("u"), 4, 0.5)).collect()]
+    assert [(s, n, u) for s, n, u, _ in got[0]] == [(0, 4, [0, 1, 2, 3]), (2, 4, [2, 3, 4, 5]), (4, 3, [4, 5, 6]), (6, 1, [6])]
+    assert got[0][3][3] == [1] and got[1] == []
+    padded = spark.range(1).select(tokens.padded(F.array(F.lit(1), F.lit(2)), 4, F.lit(0))).first()[0]
+    assert padded == [1, 2, 0, 0]
+
+
+TOKENIZER_FILE = "/opt/tokenizers/word_bpe_49k.json"
+
+
+@pytest.mark.skipif(not os.path.exists(TOKENIZER_FILE), reason="no tokenizer file here")
+def test_file_tokenizer(spark):
+    texts = spark.createDataFrame([(1, "hello big world"), (2, ""), (3, "a<|endoftext|>b")], "text_id long, text string")
+    made = {r.text_id: r.tokens for r in tokens.FileTokenizer(TOKENIZER_FILE).tokenised(texts).collect()}
+    assert "".join("hello big world"[t.start : t.end] for t in made[1]) == "hellobigworld" and made[2] == []
+    assert [t.special for t in made[3]] == [False, True, False]
+    kept = {r.text_id: r.tokens for r in tokens.FileTokenizer(TOKENIZER_FILE, unk="<|endoftext|>").tokenised(texts).collect()}
+    assert [t.special for t in kept[3]] == [False, False, False]
+    rows = tokens.token_rows(tokens.FileTokenizer(TOKENIZER_FILE).tokenised(texts))
+    vectors = tokens.ContextEmbedder(lambda ids: np.stack([ids, np.full(len(ids), len(ids))], axis=1).astype(float)).embedded(rows)
+    assert sorted(r.embedding[1] for r in vectors.where("text_id = 1").collect()) == [3.0, 3.0, 3.0]
+    table = rows.select(F.col("id").alias("token_id"), F.array(F.col("id").cast("double")).alias("embedding")).distinct()
+    assert tokens.TableEmbedder(table).embedded(rows).where("embedding[0] = id").count() == rows.count()
+
+
+def test_special_predicate(spark):
+    df = spark.createDataFrame([(1, 7, 0, 2), (1, 1, 0, 2), (0, 5, 3, 3), (0, 5, 3, 4)], "m int, id int, s int, e int")
+    got = df.select(tokens.is_special(F.col("m"), F.col("id"), 1, F.col("s"), F.col("e"))).collect()
+    assert [r[0] for r in got] == [True, False, True, False]
+
+
+def test_any_scorer_is_explained(spark):
+    rng = np.random.default_rng(2)
+    x, w = rng.normal(size=(3, 4)), rng.normal(size=(4, 5))
+    for head in (0, 1):
+        known = explain.integrated_gradients(x, w, [2, 3], head, 20)
+        assert np.allclose(explain.gradients_by_difference(x, explain.linear_softmax(w, [2, 3]), [2, 3], head, 20), known, atol=1e-6)
+    model = encoder.Encoder(4, [2, 3], layers=1, heads=2)
+    windows = spark.createDataFrame([(1, 0, x.tolist())], "text_id long, start_word int, embeds array<array<double>>")
+    assert explain.explained(windows, model, [2, 3], 3).count() == 2 * 9
+
+
+def test_encoder_takes_token_ids():
+    table = np.random.default_rng(0).normal(size=(10, 8))
+    model = encoder.Encoder(8, [2], heads=2, table=table)
+    assert np.allclose(model(np.array([3, 1])), model(table[[3, 1]]))
+    with pytest.raises(ValueError):
+        encoder.Encoder(8, [2], heads=2)(np.array([1]))
+
+
+def test_too_long_windows_are_refused(spark):
+    scorer = scoring.ArrowScorer(lambda x: x, [1], max_len=1)
+    windows = spark.createDataFrame([(1, 0, [[1.0], [2.0]])], "text_id long, start_word int, embeds array<array<double>>")
+    with pytest.raises(Exception, match="longer than the model"):
+        scorer.score(windows).collect()
+
+
+def test_model_evaluation_is_the_forward_pass(spark):
+    x = np.random.default_rng(5).normal(size=(4, 8))
+    windows = spark.createDataFrame([(1, 0, x.tolist())], "text_id long, start_word int, embeds array<array<double>>")
+    wanted = spark.createDataFrame([(i, 1, 0, i, [1, 0, 0, 0, 1]) for i in range(4)], "sample_idx long, text_id long, start_word int, target int, labels array<int>")
+    models = {v: scoring.ArrowScorer(encoder.Encoder(8, [2, 3], layers=v, heads=2), [2, 3]) for v in (1, 2)}
+    for r in scoring.evaluated(models, windows, wanted).collect():
+        confs = encoder.Encoder(8, [2, 3], layers=r.model_version, heads=2)(x)[r.sample_idx]
+        assert np.allclose(r.confidence, confs, atol=1e-6)
+        assert [i for i, f in enumerate(r.found_labels) if f] == [int(confs[:2].argmax()), 2 + int(confs[2:].argmax())]
+
+
+def test_sheet_keeps_its_order(spark, tmp_path):
+    (tmp_path / "s.csv").write_text('Comment,HS Level\n" a ""q""\nb ",level 2\nc,LEVEL 4\n')
+    rows = ingest.loaded_rows(ingest.read_sheet(spark, str(tmp_path / "s.csv"), "gender")).orderBy("row_in_file").collect()
+    assert [(r.row_in_file, r.text, r.lvl_gender_hate, r.lvl_religion_hate) for r in rows] == [(0, 'a "q"\nb', 2, 0), (1, "c", 4, 0)]
+
+
+def test_checkpoint_folders(spark, tmp_path):
+    for v, e in ((0, 3), (0, 12), (2, 1)):
+        folder = tmp_path / f"lightning_logs/version_{v}/checkpoints"
+        folder.mkdir(parents=True, exist_ok=True)
+        (folder / f"epoch={e}-step=5.ckpt").write_text("x")
+    found = catalog.checkpoints(spark, str(tmp_path))
+    assert [(r.version, r.epoch) for r in catalog.versions(found).collect()] == [(0, 12), (2, 1)]
+    assert [r.version for r in catalog.with_checkpoints(found).collect()] == [0, 2]
+    assert catalog.checkpoint_path(found, 0).endswith("version_0/checkpoints/epoch=12-step=5.ckpt") and catalog.checkpoint_path(found, 1) is None
+    bare = spark.createDataFrame([("l/version_0/checkpoints/epoch=4-step=1.ckpt",), ("l/version_1/hparams.yaml",), ("l/version_2/checkpoints/epoch=0-step=1.ckpt",)], "path string")
+    assert [r.last_epoch for r in catalog.cumulative_epochs(catalog.parsed(bare), assumed=10).collect()] == [4, 5, 15]
+    with pytest.raises(Exception, match="no checkpoint"):
+        catalog.cumulative_epochs(catalog.parsed(bare)).collect()
+
+
+def test_dataset_is_appended_to(spark, tmp_path):
+    home = str(tmp_path / "d")
+    corpus_json.create_dataset(spark, home)
+    windows = spark.createDataFrame([(1, 5, 0, 2, [3, 4])], "enc_id long, text_id long, start_word int, n int, token_ids array<int>")
+    rows = spark.createDataFrame([(0, 5, 1, 0, [1]), (1, 5, 1, 1, [0])], "sample_idx long, text_id long, enc_id long, target int, labels array<int>")
+    corpus_json.append_dataset(windows, rows, home)
+    stored, held = corpus_json.load_dataset(spark, home)
+    assert stored.first().token_ids == [3, 4] and permute.loaded(held, stored).where("NOT by_vectors").count() == 2
+    with pytest.raises(ValueError):
+        corpus_json.append_dataset(windows.withColumn("token_ids", F.lit(None).cast("array<int>")), rows, home)
+    assert corpus_json.empty_like(stored).count() == 0 and corpus_json.delete_dataset(spark, home) and not (tmp_path / "d").exists()
+
+
+def test_quotas_with_one_common_vector(spark):
+    rows = spark.range(500).select(F.col("id").alias("sample_idx"), F.array(F.when(F.col("id") < 470, 1).otherwise(0)).alias("labels"))
+    got = split.quota_folds(rows, [0.9, 0.1]).join(rows, "sample_idx").groupBy("labels", "fold").count().collect()
+    assert {(r.labels[0], r.fold): r["count"] for r in got} == {(1, 0): 423, (1, 1): 47, (0, 0): 27, (0, 1): 3}
+
+
+@settings(max_examples=5, deadline=None)
+@given(st.lists(st.integers(0, 3), min_size=1, max_size=30))
+def test_exact_folds_are_the_sequential_rule(spark, marks):
+    hot = [[int(m == k) for k in range(4)] for m in marks]
+    df = spark.createDataFrame(list(enumerate(hot)), "sample_idx long, labels array<int>")
+    got = {r.sample_idx: r.fold for r in split.exact_folds(df, [0.75, 0.25], seed=3).collect()}
+    assert [got[i] for i in range(len(marks))] == split.stratified(np.array(hot), [0.75, 0.25], 3).tolist()
+    assert np.bincount(list(got.values()), minlength=2).tolist() == split.fold_counts(len(marks), [0.75, 0.25])

@@ -11,14 +11,21 @@ anchor by anchor and are compared in full there. Equal fingerprints are merged
 beforehand, so copies add no comparisons.
 
 ``near_copies`` decides by the measure itself: two texts are joined if their sets of
-five-word shingles have a Jaccard similarity of 0.8 or more. Candidates come from
-prefixes: with all shingles in one order, sets at 0.8 share one of their first
-n - ceil(0.8 n) + 1, so none is lost. The order takes shingles that a sample shows to be common
-last, which decides the cost alone: texts that share a passage do not meet in it. Every
-pair at a shingle is compared, but for pairs that verified links have joined already;
-rounds of a few comparisons a text join large groups before that. Lengths and a parity
-bitmap (its differing bits never outnumber the differing shingles) drop pairs
-that cannot reach 0.8; the rest are counted shingle by shingle.
+five-word shingles have a Jaccard similarity of 0.8 or more. Candidates come from two
+sides, and every one is counted shingle by shingle before it joins anything:
+
+* fingerprints of the five-word shingles, linked at the same anchors, join the closest copies;
+* a fingerprint can't promise a similarity of 0.8, so prefixes complete the links: with all
+  shingles in one order, sets x and y at 0.8 share ``a = ceil(4 (|x| + |y|) / 9)`` of them, hence
+  one among the first |x| - a + 1 of x and |y| - a + 1 of y. None is lost. The order
+  takes shingles that a sample shows to be common last, which decides the cost alone:
+  texts meet in what is rare about them, not in a passage that they share.
+
+Before all pairs of a shingle are compared, rounds compare each text with the most
+central text of its shingles, which joins a large group of copies in as many
+comparisons as it has texts; pairs that verified links have joined already are not compared again.
+A parity bitmap (its differing bits never outnumber the differing shingles) drops pairs
+that cannot reach 0.8 before their texts are read; it has as many bits as the set has shingles, or more.
 
 Defined results: null and empty texts have no shingles and fingerprint zero,
 which links like any other; a row without doc_id gets a fingerprint and no
@@ -37,15 +44,15 @@ from pyspark.sql import types as T
 
 from spanloom.llm.common import read, small_batches
 from spanloom.operators.components import connected_components
-from spanloom.session import shared_dir
+from spanloom.session import shared_dir, written
 
 SEED, SHINGLE, THRESHOLD, CODE_BITS = 42, 3, 3, 31
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _BLOCK = 1 << 16
 #: Similarity 4 / 5 of the sets of five-word shingles, in whole numbers; bits of the bitmap.
 COPY_SHINGLE, PARITY_BITS = 5, 1024
-#: For the cost alone: texts sampled for common shingles, shingles kept, pairs a posting that are compared without further rounds, rounds, comparisons a text in a round.
-SAMPLED, COMMON, LEAST, PAIRS, ROUNDS, TRIES = 8192, 65536, 3, 0.1, 6, 8
+#: For the cost alone: one text in so many is sampled for common shingles, shingles kept, pairs a posting that are compared without a further round, rounds, comparisons a text in a round.
+EVERY, COMMON, LEAST, PAIRS, ROUNDS, TRIES = 8, 1 << 18, 2, 0.1, 4, 2
 
 
 def shingle_hashes(text: str | None, size: int) -> np.ndarray:
@@ -65,9 +72,8 @@ def shingle_hashes(text: str | None, size: int) -> np.ndarray:
     return np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts, last)), dtype=np.uint64, count=n)
 
 
-def simhash(text: str | None) -> int:
-    """The 64-bit fingerprint of a whole text, as an unsigned integer."""
-    hashes = shingle_hashes(text, SHINGLE)
+def majority_bits(hashes: np.ndarray) -> int:
+    """The 64-bit fingerprint of shingle hashes, as an unsigned integer: a bit is 1 if set in over half of them."""
     n = len(hashes)
     if not n:
         return 0
@@ -78,6 +84,11 @@ def simhash(text: str | None) -> int:
     return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big")
 
 
+def simhash(text: str | None) -> int:
+    """The 64-bit fingerprint of a whole text, as an unsigned integer."""
+    return majority_bits(shingle_hashes(text, SHINGLE))
+
+
 @F.pandas_udf(T.LongType())
 def fingerprint(text: pd.Series) -> pd.Series:
     return pd.Series(np.array([simhash(t) for t in text], dtype=np.uint64).astype(np.int64))
@@ -94,11 +105,11 @@ def copy_shingle_set(text: pd.Series) -> pd.Series:
 
 
 def set_marks(common: dict[int, int]):
-    """UDF of a text's set: node (its digest), n, the prefix by (count among the common ones, hash) and the parity bitmap."""
+    """UDF of a text's set: node (its digest), n, fp, how central it is (the counts of its common shingles), the prefix by (count among the common ones, hash) and the parity bitmap."""
     known = np.array(sorted(common), dtype=np.int64)
     counts = np.array([common[k] for k in known.tolist()], dtype=np.int64)
 
-    @F.pandas_udf("node long, n int, prefix array<long>, bits array<long>")
+    @F.pandas_udf("node long, n int, fp long, central long, prefix array<long>, bits array<long>")
     def marks(text: pd.Series) -> pd.DataFrame:
         rows = []
         for t in text:
@@ -109,11 +120,13 @@ def set_marks(common: dict[int, int]):
                 at = np.minimum(np.searchsorted(known, signed), len(known) - 1)
                 weight = np.where(known[at] == signed, counts[at], 0)
             first = signed[np.lexsort((signed, weight))[: n - (4 * n + 4) // 5 + 1]]
-            odd = np.bincount((found % np.uint64(PARITY_BITS)).astype(np.int64), minlength=PARITY_BITS) & 1
+            width = max(PARITY_BITS, 1 << (n - 1).bit_length()) if n else PARITY_BITS
+            odd = np.bincount((found % np.uint64(width)).astype(np.int64), minlength=width) & 1
             bits = np.packbits(odd.astype(np.uint8)).view(np.int64)
             node = np.uint64(xxhash.xxh64_intdigest(found.tobytes(), SEED)).astype(np.int64)
-            rows.append((node, n, first, bits))
-        return pd.DataFrame(rows, columns=["node", "n", "prefix", "bits"])
+            fp = np.uint64(majority_bits(found)).astype(np.int64)
+            rows.append((node, n, fp, int(weight.sum()), first, bits))
+        return pd.DataFrame(rows, columns=["node", "n", "fp", "central", "prefix", "bits"])
 
     return marks
 
@@ -184,11 +197,11 @@ def links(fps: DataFrame) -> DataFrame:
 
 
 def common_shingles(texts: DataFrame) -> dict[int, int]:
-    """Counts of the shingles most frequent in a sample of the distinct texts, ``COMMON`` at most; ``texts``: text, h."""
-    every = max(1, texts.count() // SAMPLED)
-    sample = texts.where(F.pmod("h", F.lit(every)) == 0).dropDuplicates(["h"])
+    """Counts of the shingles most frequent in a share of the distinct texts, ``COMMON`` at most; ``texts``: text, h."""
+    sample = texts.where(F.pmod("h", F.lit(EVERY)) == 0).dropDuplicates(["h"])
     found = sample.select(F.explode(copy_shingle_set("text")).alias("key")).groupBy("key").count().where(F.col("count") >= LEAST)
-    return {r["key"]: r["count"] for r in found.orderBy(F.desc("count"), "key").limit(COMMON).collect()}
+    most = found.orderBy(F.desc("count"), "key").limit(COMMON).toArrow()
+    return dict(zip(most["key"].to_pylist(), most["count"].to_pylist()))
 
 
 def _fits(a: Column, b: Column) -> Column:
@@ -196,51 +209,86 @@ def _fits(a: Column, b: Column) -> Column:
     return 5 * F.least(a, b) >= 4 * F.greatest(a, b)
 
 
+def _meet(x: Column, y: Column) -> Column:
+    """Whether a shingle at places ``pos`` of two sets of ``n`` is in the prefixes that a pair of these sizes needs."""
+    shared = F.ceil((x.n + y.n) * 4 / 9)
+    return _fits(x.n, y.n) & (x.pos + shared <= x.n) & (y.pos + shared <= y.n)
+
+
+def _halved(bits: Column) -> Column:
+    """The bitmap of half the size: a place's bit is that of its number modulo the size."""
+    half = (F.size(bits) / 2).cast("int")
+    return F.zip_with(F.slice(bits, F.lit(1), half), F.slice(bits, half + 1, half), lambda x, y: x.bitwiseXOR(y))
+
+
+def _apart(a: Column, b: Column) -> Column:
+    """Differing bits of two bitmaps; sizes that fit differ by one doubling at most."""
+    a, b = F.when(F.size(a) > F.size(b), _halved(a)).otherwise(a), F.when(F.size(b) > F.size(a), _halved(b)).otherwise(b)
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, n: t + n)
+
+
 def verified(pairs: DataFrame, sets: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (u, v) of nodes whose similarity is 4 / 5 or more; ``sets``: node, n, bits, h; ``texts``: text, h."""
     left, right = (sets.select(*[F.col(c).alias(c + side) for c in ("node", "n", "bits", "h")]) for side in "12")
-    apart = F.aggregate(F.zip_with("bits1", "bits2", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, n: t + n)
-    both = pairs.join(left, F.col("u") == F.col("node1")).join(right, F.col("v") == F.col("node2"))
-    near = both.where(_fits(F.col("n1"), F.col("n2")) & (9 * apart <= F.col("n1") + F.col("n2"))).select("u", "v", "h1", "h2").checkpoint()
+    both = pairs.join(left, F.col("u") == F.col("node1")).join(right, F.col("v") == F.col("node2")).where(_fits(F.col("n1"), F.col("n2")))
+    near = both.where(9 * _apart(F.col("bits1"), F.col("bits2")) <= F.col("n1") + F.col("n2"))
+    near = written(near.select("u", "v", "h1", "h2"), "near")
     needed = near.select(F.col("h1").alias("h")).union(near.select("h2")).distinct()
-    held = texts.groupBy("h").agg(F.first("text").alias("text")).join(needed, "h", "left_semi")
+    held = texts.join(needed, "h", "left_semi").groupBy("h").agg(F.first("text").alias("text"))
     first, second = held.select(F.col("h").alias("h1"), F.col("text").alias("a")), held.select(F.col("h").alias("h2"), F.col("text").alias("b"))
     found = near.join(first, "h1").join(second, "h2")
-    return found.where(are_copies("a", "b")).select("u", "v").checkpoint()
+    return written(found.where(are_copies("a", "b")).select("u", "v"), "links")
+
+
+def anchor_pairs(sets: DataFrame) -> DataFrame:
+    """(u, v): nodes of equal fingerprints, each with the least, and the least nodes of fingerprints at 3 or fewer bits; ``sets``: node, fp."""
+    fps = sets.groupBy("fp").agg(F.min("node").alias("node"))
+    equal = sets.join(fps.withColumnRenamed("node", "least"), "fp").where("node > least").select(F.col("least").alias("u"), F.col("node").alias("v"))
+    return equal.unionByName(links(fps))
+
+
+def _every_pair(now: DataFrame, at: DataFrame) -> DataFrame:
+    """(u, v) of different components at each shingle, both within the prefixes that the pair needs."""
+    units = now.join(at.select("key"), "key", "left_semi").select("key", F.struct("node", "n", "pos", "component").alias("x"))
+    both = units.join(units.withColumnRenamed("x", "y"), "key")
+    pairs = both.where((F.col("x.node") < F.col("y.node")) & (F.col("x.component") != F.col("y.component")) & _meet(F.col("x"), F.col("y")))
+    return pairs.select(F.col("x.node").alias("u"), F.col("y.node").alias("v"))
+
+
+def _central_pairs(now: DataFrame, at: DataFrame) -> DataFrame:
+    """(u, v): each text with the few most central texts of other components that it meets most often."""
+    seen = now.select("key", "component", F.struct("node", "n", "pos").alias("x")).join(at.select("key", "one", "two"), "key")
+    seen = seen.withColumn("y", F.when(F.col("one.component") != F.col("component"), F.col("one")).otherwise(F.col("two")))
+    seen = seen.where((F.col("y.component") != F.col("component")) & _meet(F.col("x"), F.col("y")))
+    most = seen.groupBy(F.col("x.node").alias("node"), F.col("y.node").alias("v")).count()
+    most = most.withColumn("place", F.row_number().over(Window.partitionBy("node").orderBy(F.desc("count"), "v")))
+    return most.where(F.col("place") <= TRIES).select(F.least("node", "v").alias("u"), F.greatest("node", "v").alias("v"))
 
 
 def copy_links(postings: DataFrame, sets: DataFrame, texts: DataFrame) -> DataFrame:
-    """(node, component): components of all links at 4 / 5 or more; ``postings``: key, node, n."""
-    at = Window.partitionBy("key")
-    shared = postings.withColumn("many", F.count(F.lit(1)).over(at)).where("many > 1").drop("many").checkpoint()
-    size, edges, before = shared.count(), None, None
-    joined = shared.sparkSession.createDataFrame([], "node long, component long")
+    """(node, component): components of all links at 4 / 5 or more; ``postings``: key, node, n, pos, central."""
+    repeated = postings.groupBy("key").count().where("count > 1").select("key")
+    shared = written(postings.join(repeated, "key"), "postings")
+    size, before, edges, candidates = shared.count(), None, None, anchor_pairs(sets)
+    now = shared.withColumn("component", F.col("node"))
     for turn in range(ROUNDS + 1):
-        now = shared.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node")).checkpoint()
-        per = now.groupBy("key", "component").count().groupBy("key")
-        rows, squares = F.sum("count").cast("double"), F.sum(F.col("count") * F.col("count")).cast("double")
-        left = per.agg(((rows * rows - squares) / 2).alias("p")).agg(F.sum("p")).first()[0] or 0.0
-        last = left <= PAIRS * size or turn == ROUNDS or (before is not None and left > 0.9 * before)
+        best = F.struct("central", F.xxhash64("node", F.lit(turn)).alias("o"), "node", "n", "pos", "component")
+        met = now.groupBy("key", "component").agg(F.count(F.lit(1)).cast("double").alias("rows"), F.max(best).alias("best"))
+        other = F.max(F.struct(F.xxhash64("component", F.lit(turn)), "best"))["best"]
+        sums = F.sum("rows").alias("all"), F.sum(F.col("rows") * F.col("rows")).alias("own")
+        at = met.groupBy("key").agg(*sums, F.max("best").alias("one"), other.alias("two"), F.count(F.lit(1)).alias("components"))
+        at = written(at.where("components > 1"), "meetings")
+        left = at.agg(F.sum((F.col("all") * F.col("all") - F.col("own")) / 2)).first()[0] or 0.0
+        last = left <= PAIRS * size or turn == ROUNDS or (before is not None and left > 0.5 * before)
         before = left
-        if last:
-            a, b = (now.select("key", *[F.col(c).alias(c + side) for c in ("node", "n", "component")]) for side in "12")
-            met = a.join(b, "key").where((F.col("node1") < F.col("node2")) & (F.col("component1") != F.col("component2")) & _fits(F.col("n1"), F.col("n2")))
-            pairs = met.select(F.col("node1").alias("u"), F.col("node2").alias("v")).distinct()
-        else:
-            # A few comparisons a text: with the texts of other components met most often among two drawn at each shingle.
-            drawn = now.withColumn("drawn", F.struct(F.xxhash64("node", "key", F.lit(turn)).alias("o"), "node", "n", "component"))
-            drawn = drawn.withColumn("one", F.min("drawn").over(at))
-            drawn = drawn.withColumn("two", F.min(F.when(F.col("component") != F.col("one.component"), F.col("drawn"))).over(at))
-            other = F.when(F.col("component") != F.col("one.component"), F.col("one")).otherwise(F.col("two"))
-            met = drawn.select("node", "n", other.alias("other")).where(F.col("other").isNotNull() & _fits(F.col("n"), F.col("other.n")))
-            most = met.groupBy("node", F.col("other.node").alias("v")).count()
-            most = most.withColumn("place", F.row_number().over(Window.partitionBy("node").orderBy(F.desc("count"), "v")))
-            pairs = most.where(F.col("place") <= TRIES).select(F.least("node", "v").alias("u"), F.greatest("node", "v").alias("v")).distinct()
-        found = verified(pairs, sets, texts)
+        candidates = candidates.unionByName((_every_pair if last else _central_pairs)(now, at))
+        found = verified(candidates.distinct(), sets, texts)
         edges = found if edges is None else edges.unionByName(found)
         joined = connected_components(edges)
         if last:
             return joined
+        now = shared.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        candidates = joined.select(F.col("node").alias("u"), F.col("component").alias("v")).where("false")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -264,9 +312,10 @@ def _copies(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     texts = docs.select(F.col(text_col).alias("text"), _digest(text_col).alias("h"))
     marks = set_marks(common_shingles(texts))
     rows = docs.select(F.col(id_col).alias("id"), _digest(text_col).alias("h"), marks(F.col(text_col)).alias("m"))
-    marked = rows.select("id", "h", "m.*").checkpoint()
-    sets = marked.groupBy("node").agg(F.first("n").alias("n"), F.first("bits").alias("bits"), F.min("h").alias("h")).checkpoint()
-    postings = marked.select("node", "n", "prefix").dropDuplicates(["node"]).select(F.explode("prefix").alias("key"), "node", "n")
+    marked = written(rows.select("id", "h", "m.*"), "marks")
+    one = [F.first(c).alias(c) for c in ("n", "fp", "bits")]
+    sets = written(marked.groupBy("node").agg(*one, F.min("h").alias("h")), "sets")
+    postings = marked.select("node", "n", "central", "prefix").dropDuplicates(["node"]).select("node", "n", "central", F.posexplode("prefix").alias("pos", "key"))
     joined = copy_links(postings, sets, texts)
     return marked.select("id", "h", "node").join(joined, "node", "left").select("id", "h", F.coalesce("component", "node").alias("component"))
 
@@ -287,15 +336,14 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Rows are told apart by id and text digest, so different texts under one id are judged each for itself.
     """
-    rows = _copies(docs, id_col, text_col).checkpoint()
-    best = rows.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "h")).alias("best"))
-    stays = F.col("id").eqNullSafe(F.col("best.id")) & (F.col("h") == F.col("best.h"))
-    judged = rows.join(best, "component").select("component", "id", "h", stays.alias("stays"))
-    gone = judged.where(~F.col("stays")).select(F.col("id").alias("id2"), F.col("h").alias("h2")).distinct()
+    rows = _copies(docs, id_col, text_col)
+    counted = rows.groupBy("component", "id", "h").count()
+    first = counted.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "h", "count")).alias("best"))
+    best = written(first.select(F.col("best.id").alias("id2"), F.col("best.h").alias("h2"), F.col("best.count").alias("rows")), "kept")
     keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("id"), _digest(text_col).alias("h"))
-    kept = keyed.join(gone, F.col("id").eqNullSafe(F.col("id2")) & (F.col("h") == F.col("h2")), "left_anti")
-    again = judged.where("stays").groupBy("component").count().where("count > 1").limit(1)
-    return (kept if again.isEmpty() else kept.dropDuplicates(["id", "h"])).select("row.*")
+    kept = keyed.join(best, F.col("id").eqNullSafe(F.col("id2")) & (F.col("h") == F.col("h2")), "left_semi")
+    again = not best.where("rows > 1").isEmpty()
+    return (kept.dropDuplicates(["id", "h"]) if again else kept).select("row.*")
 
 
 def op2_simhash_dedup(spark, sf_dir: str) -> DataFrame:

@@ -26,8 +26,8 @@ def fold_of(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % 4
 
 
-def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Bound Arrow batches, as one text can be very long."""
+def small_batches(spark: SparkSession, rows: int = 128) -> None:
+    """Bound Arrow batches, as one text can be very long; the session keeps the setting, as results are evaluated later."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > rows:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 

@@ -1,15 +1,17 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
 A text is a sequence of tokens, each of a class: insult, threat, target,
-negation, report, clause break or other. Three small transducers read classes: one
+negation, report, clause break or other. Two weighted transducers write an insult or a threat
+with its weight; three more read classes: one
 opens a scope of negation for a few tokens, one marks reported speech up to the
 end of the clause, one marks a clause that has named a target. Their product is
-one transducer whose arcs write each insult or threat into a slot (kind, negated,
-reported, targeted). A clause is thus scored as a whole: the same word weighs
+one transducer whose arcs put each insult or threat into a slot (kind, negated,
+reported, targeted); the last of the three reads a clause from both ends, so a target
+counts on either side of the word. A clause is thus scored as a whole: the same word weighs
 differently under negation, in reported speech, or aimed at somebody. Slots sum
 the lexicon's weights, and a logistic layer turns slots into a score.
 
-The insult lexicon is learned from labelled rows: words and word beginnings whose
+The insult lexicon is learned from labelled rows, cut into the same tokens: words and word beginnings whose
 occurrences are nearly all in toxic texts; a beginning needs several such words.
 Occurrences are counted by distinct neighbours, so copies of a text count once. At most ``SAMPLE`` labelled rows a class
 (smallest hash of the id first) are used to fit, and the lexicon has at most
@@ -44,7 +46,7 @@ PREFIXES = range(3, 8)
 
 #: Words of the closed classes, in English, German, French and Spanish.
 TARGETS = "you your yours yourself u ur he she they them du dich dir dein deine ihr euch tu toi te ton ta vous votre tú ti usted vosotros".split()
-NEGATIONS = "not no never n't isn't aren't don't nicht kein keine nie pas jamais aucun nunca jamás ni".split()
+NEGATIONS = "not no never cannot nicht kein keine nie pas jamais aucun nunca jamás ni".split()
 REPORTS = "said says told wrote called quoted reported according sagte sagt schrieb dit disait écrit dijo dice escribió".split()
 THREATS = "kill murder hurt destroy beat stab shoot burn töten umbringen tuer frapper matar golpear".split()
 #: Insults to start from where no labelled row says otherwise.
@@ -54,6 +56,10 @@ OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, BREAK = range(7)
 TOKEN = re.compile(r"\w+(?:'\w+)?|[.!?;\n]")
 
 
+def tokens_of(text: str | None) -> list[str]:
+    return TOKEN.findall((text or "").lower().replace("\u2019", "'"))
+
+
 @dataclass(frozen=True)
 class Transducer:
     """``arcs[state][class]`` is the next state; ``marks[state]`` is what holds for a match read there."""
@@ -102,7 +108,7 @@ def composed(parts: list[Transducer]) -> tuple[list[list[int]], list[int]]:
 
 ARCS, MARKS = composed([_scope(), _until_break(REPORT), _until_break(TARGET)])
 #: Two kinds (insult, threat) by eight combinations of negated, reported and targeted.
-SLOTS = 16
+SLOTS, TARGETED = 16, 4
 _CLOSED = {w: c for c, ws in ((THREAT, THREATS), (TARGET, TARGETS), (NEGATION, NEGATIONS), (REPORT, REPORTS)) for w in ws}
 
 
@@ -122,22 +128,36 @@ class Reader:
             return INSULT, weight
         if len(word) == 1 and not word.isalnum():
             return BREAK, 0.0
-        kind = _CLOSED.get(word, OTHER)
+        kind = NEGATION if word.endswith("n't") else _CLOSED.get(word, OTHER)
         return kind, 1.0 if kind == THREAT else 0.0
 
     def slots(self, text: str | None) -> list[float]:
         out = [0.0] * SLOTS
         known, state = self.known, 0
+        waiting: list[tuple[int, float]] = []  # of this clause, no target named so far
         if len(known) > 400_000:
             known.clear()
-        for word in TOKEN.findall((text or "").lower()):
+        for word in tokens_of(text):
             found = known.get(word)
             if found is None:
                 found = known[word] = self._look(word)
             kind = found[0]
+            if kind == OTHER:
+                state = ARCS[state][kind]
+                continue
             if kind == INSULT or kind == THREAT:
-                out[8 * (kind - INSULT) + MARKS[state]] += found[1]
+                slot = 8 * (kind - INSULT) + MARKS[state]
+                if MARKS[state] & TARGETED:
+                    out[slot] += found[1]
+                else:
+                    waiting.append((slot, found[1]))
+            elif waiting and (kind == TARGET or kind == BREAK):
+                for slot, weight in waiting:
+                    out[slot + TARGETED if kind == TARGET else slot] += weight
+                waiting.clear()
             state = ARCS[state][kind]
+        for slot, weight in waiting:
+            out[slot] += weight
         return out
 
 
@@ -157,13 +177,17 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
 
 def learned_lexicon(sample: DataFrame) -> dict[str, float]:
     """Words, and beginnings as ``abc*``, with their weights."""
-    lowered = F.split(F.lower("text"), r"[^\p{L}\p{N}_]+")
+
+    @F.pandas_udf("array<string>")
+    def lowered(text: pd.Series) -> pd.Series:
+        return text.map(lambda t: [w for w in tokens_of(t) if w[0].isalnum() or w[0] == "_"])
+
     zipped = F.arrays_zip(
         F.col("ws"),
         F.concat(F.array(F.lit("")), F.col("ws")).alias("before"),
         F.expr("slice(ws, 2, size(ws))").alias("after"),
     )
-    words = sample.select("toxic", lowered.alias("ws")).select("toxic", F.inline(zipped)).where(F.length("ws") >= 3)
+    words = sample.select("toxic", lowered("text").alias("ws")).select("toxic", F.inline(zipped)).where(F.length("ws") >= 3)
     contexts = words.select("toxic", F.col("ws").alias("word"), F.xxhash64("before", "after").alias("c")).distinct()
     by_word = contexts.groupBy("word").agg(
         F.count_if(F.col("toxic") == 1).alias("pos"), F.count_if(F.col("toxic") != 1).alias("neg")

@@ -357,7 +357,10 @@ def test_grammar():
     assert slot("he is not an idiot") == {1 + 4: 4.0}
     assert slot("They said: vequa!") == {2 + 4: 3.0}
     assert slot("you. idiot") == {0: 4.0}
-    assert slot("i will kill you") == {8: 1.0}
+    assert slot("i will kill you") == {8 + 4: 1.0} and slot("i will kill time") == {8: 1.0}
+    assert slot("idiot like you") == slot("you idiot") == {4: 4.0}
+    assert slot("an idiot! you there") == {0: 4.0}
+    assert slot("she isn't an idiot") == slot("she isn’t an idiot") == {1 + 4: 4.0}
     assert slot(None) == slot("") == slot("fine") == {}
 
 

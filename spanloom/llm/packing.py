@@ -27,19 +27,20 @@ import heapq
 import json
 import os
 import zlib
+from array import array
 from bisect import bisect_right, insort
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from spanloom.llm.common import read, small_batches
 
 TIERS, CLOSING_ID, CHUNK_TOKENS, STEP_TOKENS = (256, 512, 1024, 2048), 1, 1 << 21, 1 << 17
-WORDS, LATIN_END = 300_000, "\u0250"
+WORDS, CHUNK_WORDS = 100_000, 1 << 19
 SCHEMA = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, "
     "tier int, step_group long, ids binary"
@@ -50,44 +51,65 @@ _encoders: dict = {}
 class Encoder:
     """The ids of a tokenizer file, without added special tokens.
 
-    Where the file is a plain byte-level BPE, words are split here by its pattern, and the library's
-    model is asked once for each word that the last ``WORDS`` to twice ``WORDS`` distinct ones lack. Texts that
+    Where the file is a plain byte-level BPE, words are split beforehand (``split``), each distinct word of many texts is looked up
+    once, and the library's model is asked for those that the last ``WORDS`` to twice ``WORDS`` distinct ones lack. Texts that
     hold a special token's string, or letters beyond Latin, go to the library whole.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        import public_tokenizers
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        with open(path, encoding="utf-8") as file:
-            made = json.load(file)
-        self.special = [token["content"] for token in made["added_tokens"]]
-        split = made["pre_tokenizer"] or {}
-        self.plain = not made["normalizer"] and not made["post_processor"] and made["model"]["type"] == "BPE"
-        self.plain &= split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space", True)
-        self.find = regex.compile(public_tokenizers.PATTERN).findall
+        self.model = self.tokenizer.model
         printed = [*range(33, 127), *range(161, 173), *range(174, 256)]
         self.letters = {b: chr(b) for b in printed} | {b: chr(256 + i) for i, b in enumerate(sorted({*range(256)} - {*printed}))}
-        self.words, self.older, self.model = {}, {}, self.tokenizer.model
+        self.words, self.older = {}, {}
 
-    def _ids(self, word: str) -> list[int]:
+    def _packed(self, word: str) -> bytes:
         found = self.older.get(word)
         if found is None:
-            found = [token.id for token in self.model.tokenize(word.encode().decode("latin-1").translate(self.letters))]
+            letters = word.encode().decode("latin-1").translate(self.letters)
+            found = array("I", [token.id for token in self.model.tokenize(letters)]).tobytes()
         if len(self.words) >= WORDS:
             self.words, self.older = {}, self.words
         self.words[word] = found
         return found
 
-    def __call__(self, text: str) -> list[int]:
-        if not self.plain or any(s in text for s in self.special) or not (text.isascii() or max(text) < LATIN_END):
-            return self.tokenizer.encode(text, add_special_tokens=False).ids
-        ids: list[int] = []
-        for word in self.find(text):
-            ids += self.words.get(word) or self._ids(word)
-        return ids
+    def whole(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
+
+    def of_words(self, words: pa.ListArray) -> list[np.ndarray]:
+        """The ids of each text, of its words."""
+        coded = words.flatten().dictionary_encode()
+        known, packed = self.words.get, self._packed
+        values = [known(w) or packed(w) for w in coded.dictionary.to_pylist()]
+        table = np.frombuffer(b"".join(values), dtype=np.uint32)
+        sizes = np.fromiter(map(len, values), dtype=np.int64, count=len(values)) // 4
+        place = coded.indices.to_numpy()
+        size = sizes[place]
+        ends = np.concatenate([[0], np.cumsum(size)])
+        first = (np.cumsum(sizes) - sizes)[place]
+        ids = table[np.repeat(first - ends[:-1], size) + np.arange(ends[-1])]
+        bounds = ends[np.concatenate([[0], np.cumsum(words.value_lengths().fill_null(0).to_numpy())])].tolist()
+        return [ids[i:j] for i, j in zip(bounds, bounds[1:])]
+
+
+def split(text: Column, tokenizer_path: str) -> tuple[Column, Column]:
+    """(whole, words): the text where it must go to the library whole, else its words; ``PATTERN`` is the byte-level pre-tokenizer's."""
+    import public_tokenizers
+
+    with open(tokenizer_path, encoding="utf-8") as file:
+        made = json.load(file)
+    cut = made["pre_tokenizer"] or {}
+    plain = not made["normalizer"] and not made["post_processor"] and made["model"]["type"] == "BPE"
+    plain &= cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space", True)
+    text = F.coalesce(text, F.lit(""))
+    odd = text.rlike(r"[^\x{0}-\x{24F}]") if plain else F.lit(True)
+    for token in made["added_tokens"]:
+        odd = odd | F.contains(text, F.lit(token["content"]))
+    words = F.regexp_extract_all(text, F.lit("(?U)" + public_tokenizers.PATTERN), F.lit(0))
+    return F.when(odd, text), F.when(~odd, words)
 
 
 def encoder(tokenizer_path: str) -> Encoder:
@@ -182,6 +204,25 @@ def packed(
             + [("tier", pa.int32()), ("step_group", pa.int64()), ("ids", pa.binary())]
         )
         encode = encoder(tokenizer_path)
+
+        def encoded(held: list[pa.RecordBatch]) -> Iterator[tuple[int | None, np.ndarray]]:
+            rows = pa.Table.from_batches(held).combine_chunks()
+            words = rows.column("words").combine_chunks()
+            parts = encode.of_words(words.chunk(0) if isinstance(words, pa.ChunkedArray) else words)
+            for doc_id, text, ids in zip(rows.column("doc_id").to_pylist(), rows.column("whole").to_pylist(), parts):
+                yield doc_id, np.append(ids if text is None else encode.whole(text), np.uint32(closing_id))
+
+        def chunks() -> Iterator[tuple[int | None, np.ndarray]]:
+            held, n = [], 0
+            for batch in batches:
+                held.append(batch)
+                n += len(batch.column(2).flatten())
+                if n >= CHUNK_WORDS:
+                    yield from encoded(held)
+                    held, n = [], 0
+            if held:
+                yield from encoded(held)
+
         packer, held = Packer(tiers), {}
         base = TaskContext.get().partitionId() << 40
         sequences = steps = keys = tokens = 0
@@ -206,24 +247,23 @@ def packed(
                 yield pa.RecordBatch.from_arrays([pa.array(c[at : at + 4096], f.type) for c, f in zip(columns, schema)], schema=schema)
 
         windows: list = []
-        for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = [*encode(text or ""), closing_id]
-                held[keys] = (doc_id, np.array(ids, dtype="<u4"))
-                windows += packer.add(keys, len(ids))
-                keys += 1
-                tokens += len(ids)
-                if tokens >= CHUNK_TOKENS:
-                    windows += packer.windows()
-                    yield from rows(windows)
-                    open_keys = {key for _, key, _ in packer.pool}
-                    held = {key: held[key] for key in open_keys}
-                    windows, tokens = [], 0
+        for doc_id, ids in chunks():
+            held[keys] = (doc_id, ids.astype("<u4", copy=False))
+            windows += packer.add(keys, len(ids))
+            keys += 1
+            tokens += len(ids)
+            if tokens >= CHUNK_TOKENS:
+                windows += packer.windows()
+                yield from rows(windows)
+                open_keys = {key for _, key, _ in packer.pool}
+                held = {key: held[key] for key in open_keys}
+                windows, tokens = [], 0
         windows += packer.windows()
         windows += packer.tail()
         yield from rows(windows)
 
-    return docs.select(id_col, text_col).mapInArrow(pack, SCHEMA)
+    whole, words = split(F.col(text_col), tokenizer_path)
+    return docs.select(F.col(id_col).alias("doc_id"), whole.alias("whole"), words.alias("words")).mapInArrow(pack, SCHEMA)
 
 
 def op4_packing(spark, sf_dir: str) -> DataFrame:

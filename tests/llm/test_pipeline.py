@@ -36,7 +36,7 @@ def test_stages(spark, tmp_path):
     assert 300 not in kept[2] and 3 in kept[2]
     assert key not in kept[3][301] and "[SECRET]" in kept[3][301]
     pieces = corpus_pipeline.STAGES[-1][1](spark, now, str(tmp_path)).collect()
-    encode = packing.encoder(P.path("byte_bpe_50k.json"))
+    encode = packing.encoder(P.path("byte_bpe_50k.json")).whole
     assert {r.doc_id: r.doc_tokens for r in pieces} == {k: len(encode(t)) + 1 for k, t in kept[3].items()}
     assert sum(r.length for r in pieces) == sum(len(encode(t)) + 1 for t in kept[3].values())
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from spanloom.schema import CHUNKED_TEXT, CORPUS, EVALUATION, SAMPLES, WINDOWS, LabelSpace
+from spanloom.session import removed
 
 
 def text_json(*columns: str) -> Column:
@@ -94,8 +95,7 @@ def empty_like(df: DataFrame) -> DataFrame:
 
 def delete_dataset(spark: SparkSession, path: str) -> bool:
     """Removes the stored tables, wherever Spark keeps them."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+    return removed(spark, path)
 
 
 def save_evaluation(evaluation: DataFrame, path: str) -> None:

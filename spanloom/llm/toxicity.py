@@ -1,8 +1,7 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
 A text is a sequence of tokens, each of a class: insult, threat, target,
-negation, report, clause break or other. Two weighted transducers write an insult or a threat
-with its weight; three more read classes: one
+negation, report, clause break or other; insults and threats carry a weight. Three small transducers read classes: one
 opens a scope of negation for a few tokens, one marks reported speech up to the
 end of the clause, one marks a clause that has named a target. Their product is
 one transducer whose arcs put each insult or threat into a slot (kind, negated,

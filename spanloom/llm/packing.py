@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from spanloom.llm.common import read, small_batches
 
 TIERS, CLOSING_ID, CHUNK_TOKENS, STEP_TOKENS = (256, 512, 1024, 2048), 1, 1 << 21, 1 << 17
-WORDS, CHUNK_WORDS = 100_000, 1 << 19
+WORDS, CHUNK_WORDS = 250_000, 1 << 19
 SCHEMA = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, "
     "tier int, step_group long, ids binary"
@@ -261,6 +261,7 @@ def packed(
         windows += packer.windows()
         windows += packer.tail()
         yield from rows(windows)
+        encode.older = {}  # a worker that waits for its next task keeps less
 
     whole, words = split(F.col(text_col), tokenizer_path)
     return docs.select(F.col(id_col).alias("doc_id"), whole.alias("whole"), words.alias("words")).mapInArrow(pack, SCHEMA)

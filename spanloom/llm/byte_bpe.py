@@ -1,37 +1,38 @@
 """Byte-level BPE by Spark higher-order functions.
 
-A word is the array of its bytes; a fold over it merges, one step at a time, the
-adjacent pair of lowest rank (the leftmost of equals) until no pair has a rank.
-Ranks come from a literal map, kept as an array of small maps by checksum, so that
-a look-up is one array access. Bytes are written as hex digits, two a byte.
+A word is the array of its bytes' ids; a fold over it merges, one step at a time, the
+adjacent pair of lowest rank (the leftmost of equals) until no pair has a rank. As a token's
+rank is its id, a pair of ids leads to the rank of their merge: a literal array of buckets
+holds these, so that a look-up is one array access and a short fold.
 
-The distinct words of a bounded sample of texts are folded once and the most
-frequent ``KNOWN`` of them become a second literal; a word it lacks is folded where
-it stands. Which words are known changes the cost, never the ids, and no word is
-shuffled after that. Pieces over ``LONG`` bytes, where a fold would take quadratic
-time, are merged by the library's heap in an Arrow UDF.
+Only distinct words are folded. Texts come in blocks of ``BLOCK`` bytes or more of the partition at hand; a
+block is one row with its distinct words and, for each text, the places of its words among them. The words of a block are folded once, and
+texts pick their ids by place. Nothing is shuffled, sampled or kept between blocks. Pieces over ``LONG`` bytes, where a fold would take quadratic
+time, get the library's ids.
 
 Decoding looks each id's bytes up in a literal array and concatenates the pieces.
 
-Defined results: null and empty texts have no ids; special tokens' strings are
-ordinary text; repeated rows are encoded alike; an empty table gives no rows;
-other columns pass through.
+Defined results: null and empty texts have no ids; very long texts are encoded whole, in a block of their own;
+special tokens' strings are ordinary text; repeated rows are encoded alike; an empty table gives no rows;
+other columns pass through, but for one named as the result.
 """
 
 from __future__ import annotations
 
 import base64
 import json
-import zlib
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from spanloom.llm.common import let, read, small_batches
+from spanloom.llm.common import let, read, small_batches, without
 
-BUCKETS, WORD_BUCKETS, SAMPLE, KNOWN, LONG = 1 << 14, 1 << 15, 4096, 1 << 16, 512
+BUCKETS, LONG, BLOCK = 1 << 17, 512, 1 << 25
+#: No rank: above any rank packed with a place.
+_NONE, _PLACE = 1 << 50, 1 << 24
 _libraries: dict = {}
 
 
@@ -49,20 +50,20 @@ def library(ranks_path: str, pattern: str):
     return _libraries[ranks_path]
 
 
-def _bucketed(entries: dict[str, object], buckets: int, kind: str) -> Column:
-    """A literal array of maps: an entry is in the map at its key's crc32 modulo ``buckets``."""
-    table: list[dict] = [{} for _ in range(buckets)]
-    for key, value in entries.items():
-        table[zlib.crc32(key.encode()) % buckets][key] = value
-    return F.from_json(F.lit(json.dumps(table, ensure_ascii=False)), f"array<map<string,{kind}>>")
+def _bucket(left, right):
+    return (left * 40503 + right) % BUCKETS
 
 
-def _look(table: Column, key: Column, buckets: int) -> Column:
-    return F.try_element_at(F.element_at(table, (F.crc32(key) % buckets + 1).cast("int")), key)
-
-
-def rank_map(ranks: dict[bytes, int]) -> Column:
-    return _bucketed({token.hex().upper(): rank for token, rank in ranks.items()}, BUCKETS, "int")
+def merge_table(ranks: dict[bytes, int]) -> Column:
+    """merges: buckets of (left id, right id, rank) packed in one number; first: the id of each byte."""
+    table: list[list[int]] = [[] for _ in range(BUCKETS)]
+    for token, rank in ranks.items():
+        for i in range(1, len(token)):
+            left, right = ranks.get(token[:i]), ranks.get(token[i:])
+            if left is not None and right is not None:
+                table[_bucket(left, right)].append(left << 40 | right << 20 | rank)
+    text = json.dumps({"merges": table, "first": [ranks[bytes([b])] for b in range(256)]}, separators=(",", ":"))
+    return F.from_json(F.lit(text), "struct<merges:array<array<bigint>>,first:array<int>>")
 
 
 def pieces(text: Column, pattern: str) -> Column:
@@ -70,74 +71,80 @@ def pieces(text: Column, pattern: str) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit("(?U)" + pattern), F.lit(0))
 
 
-def folded(word: Column, ranks: Column) -> Column:
+def folded(word: Column, table: Column) -> Column:
     """The ids of one word."""
-    rank = lambda s: _look(ranks, s, BUCKETS)
-    none_s, none_i = F.array().cast("array<string>"), F.array().cast("array<int>")
-
-    def step(acc: Column, _: Column) -> Column:
-        def merged(p: Column) -> Column:
-            parts, n = acc.parts, F.size(acc.parts)
 
-            def placed(new: Column) -> Column:
-                before = F.when(p > 1, F.array(rank(F.concat(F.get(parts, p - 2), new)))).otherwise(none_i)
-                after = F.when(p + 1 < n, F.array(rank(F.concat(new, F.get(parts, p + 1))))).otherwise(none_i)
-                return F.struct(
-                    F.concat(F.slice(parts, 1, p - 1), F.array(new), F.slice(parts, p + 2, n)).alias("parts"),
-                    F.concat(F.slice(acc.ranks, 1, F.greatest(p - 2, F.lit(0))), before, after, F.slice(acc.ranks, p + 2, n)).alias("ranks"),
-                )
+    def lowest(ids: Column) -> Column:
+        """The lowest rank of an adjacent pair and its place, packed in one number."""
 
-            return let(F.concat(F.get(parts, p - 1), F.get(parts, p)), placed)
+        def ranked(left: Column, i: Column) -> Column:
+            right = F.get(ids, i + 1)
+            pair = F.shiftleft(left.cast("long"), 20).bitwiseOR(right.cast("long"))
+            found = lambda best, e: F.when(F.shiftright(e, 20) == pair, F.shiftleft(e.bitwiseAND(F.lit((1 << 20) - 1)), 24) + i).otherwise(best)
+            return F.aggregate(F.get(table.merges, _bucket(left, right)), F.lit(_NONE), found)
 
-        place = F.array_position(acc.ranks, F.array_min(acc.ranks)).cast("int")
-        return let(place, lambda p: F.when(p > 0, merged(p)).otherwise(acc))
+        return F.array_min(F.transform(ids, ranked))
 
-    def merges(parts: Column) -> Column:
-        steps = F.slice(parts, 2, F.size(parts))
-        pairs = F.transform(steps, lambda x, i: rank(F.concat(F.get(parts, i), x)))
-        start = F.struct(F.concat(none_s, parts).alias("parts"), F.concat(none_i, pairs).alias("ranks"))
-        return F.transform(F.aggregate(steps, start, step, lambda acc: acc.parts), rank)
+    def merged(ids: Column, low: Column) -> Column:
+        place = (low % _PLACE).cast("int")
+        return let(place, lambda p: F.concat(F.slice(ids, F.lit(1), p), F.array(F.shiftright(low, 24).cast("int")), F.slice(ids, p + 3, F.size(ids))))
 
-    def split(h: Column) -> Column:
-        return F.coalesce(
-            F.when(rank(h).isNotNull(), F.array(rank(h))), let(F.regexp_extract_all(h, F.lit(".."), F.lit(0)), merges)
-        )
+    def step(acc: Column, _: Column) -> Column:
+        def taken(low: Column) -> Column:
+            return F.when(low < _NONE, F.struct(merged(acc.ids, low).alias("ids"), F.lit(False).alias("done"))).otherwise(F.struct(acc.ids.alias("ids"), F.lit(True).alias("done")))
 
-    return let(F.hex(F.encode(word, "utf-8")), split)
+        return F.when(acc.done, acc).otherwise(let(lowest(acc.ids), taken))
 
+    def fold(ids: Column) -> Column:
+        start = F.struct(ids.alias("ids"), F.lit(False).alias("done"))
+        return F.aggregate(F.slice(ids, 2, F.size(ids)), start, step, lambda acc: acc.ids)
 
-def known_words(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: str = "text") -> dict[str, list[int]]:
-    """Ids of the most frequent distinct words of a bounded sample."""
-    sample = docs.select(F.col(text_col).alias("t")).where("t IS NOT NULL").limit(SAMPLE)
-    words = sample.repartition("t").select(F.explode(pieces(F.col("t"), pattern)).alias("w"))
-    counted = words.where(F.octet_length("w") <= 64).groupBy("w").count().orderBy(F.desc("count"), "w").limit(KNOWN)
-    encoded = let(rank_map(ranks), lambda r: folded(F.col("w"), r))
-    return {r.w: r.ids for r in counted.repartition(24, "w").select("w", encoded.alias("ids")).collect()}
+    letters = F.split(F.decode(F.encode(word, "utf-8"), "ISO-8859-1"), "")
+    return let(F.transform(letters, lambda x: F.get(table.first, F.ascii(x))), fold)
 
 
-def encoded(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", out: str = "ids") -> DataFrame:
-    """Adds the ids of the whole text."""
+def encoded(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", out: str = "ids", keep: list[str] | None = None) -> DataFrame:
+    """The columns ``keep`` (all, if not given) and the ids of the whole text."""
     small_batches(docs.sparkSession)
     ranks = load_ranks(ranks_path)
-    known = known_words(docs, ranks, pattern, text_col)
-
-    @F.pandas_udf(T.ArrayType(T.ArrayType(T.IntegerType())))
-    def by_heap(rows: pd.Series) -> pd.Series:
-        one = library(ranks_path, pattern)
-        return pd.Series([[one.encode_ordinary(w) for w in words] for words in rows])
-
-    def ids(r: Column) -> Column:
-        def word(k: Column) -> Column:
-            long = lambda w: F.get(F.col("_heap"), F.array_position("_long", w).cast("int") - 1)
-            one = lambda w: F.coalesce(_look(k, w, WORD_BUCKETS), F.when(F.octet_length(w) > LONG, long(w)).otherwise(folded(w, r)))
-            return F.flatten(F.transform("_pieces", one))
-
-        return let(_bucketed(known, WORD_BUCKETS, "array<int>"), word)
-
-    rows = docs.withColumn("_pieces", pieces(F.col(text_col), pattern))
-    rows = rows.withColumn("_long", F.array_distinct(F.filter("_pieces", lambda w: F.octet_length(w) > LONG)))
-    rows = rows.withColumn("_heap", by_heap("_long"))
-    return rows.withColumn(out, let(rank_map(ranks), ids)).drop("_pieces", "_long", "_heap")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in without(docs.select(*(keep or docs.columns)), out).columns]).alias("row"), pieces(F.col(text_col), pattern).alias("words"))
+    kind = rows.schema["row"].dataType.simpleString()
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def block() -> pa.RecordBatch:
+            table = pa.Table.from_batches(held).combine_chunks()
+            row, words = (pa.concat_arrays(table.column(i).chunks) for i in (0, 1))
+            coded = words.flatten().dictionary_encode()
+            places = pa.ListArray.from_arrays(pa.concat_arrays([pa.array([0], pa.int32()), pc.cumulative_sum(words.value_lengths()).cast(pa.int32())]), coded.indices)
+            texts = pa.StructArray.from_arrays([row, places], ["row", "places"])
+            one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+            long = pc.greater(pc.binary_length(coded.dictionary), LONG)
+            encode = library(ranks_path, pattern).encode_ordinary if pc.any(long).as_py() else None
+            given = [encode(w.as_py()) if x else None for w, x in zip(coded.dictionary, long.to_pylist())] if encode else [None] * len(coded.dictionary)
+            return pa.RecordBatch.from_arrays([one(texts), one(coded.dictionary), one(pa.array(given, pa.list_(pa.int32())))], ["texts", "words", "given"])
+
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+                size += batch.column(1).flatten().nbytes
+            if size >= BLOCK:
+                yield block()
+                held, size = [], 0
+        if held:
+            yield block()
+
+    made = rows.mapInArrow(blocks, f"texts array<struct<row:{kind},places:array<int>>>, words array<string>, given array<array<int>>")
+
+    def ids(table: Column) -> Column:
+        return F.zip_with("words", "given", lambda w, g: F.coalesce(g, folded(w, table)))
+
+    def texts(found: Column) -> Column:
+        return F.transform("texts", lambda t: F.struct(t.row.alias("row"), F.flatten(F.transform(t.places, lambda i: F.get(found, i))).alias(out)))
+
+    spread = made.select(F.inline_outer(let(let(merge_table(ranks), ids), texts))).where("row IS NOT NULL")
+    return spread.select("row.*", out)
 
 
 def decoded(ids: Column, ranks: dict[bytes, int]) -> Column:
@@ -154,7 +161,7 @@ def op5_byte_bpe(spark, sf_dir: str) -> DataFrame:
 
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    rows = encoded(docs, path, public_tokenizers.PATTERN)
+    rows = encoded(docs, path, public_tokenizers.PATTERN, keep=["doc_id"])
     return rows.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

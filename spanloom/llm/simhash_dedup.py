@@ -44,7 +44,7 @@ from pyspark.sql import types as T
 
 from spanloom.llm.common import read, small_batches
 from spanloom.operators.components import connected_components
-from spanloom.session import shared_dir, written
+from spanloom.session import Scratch, shared_dir, written
 
 SEED, SHINGLE, THRESHOLD, CODE_BITS = 42, 3, 3, 31
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -227,17 +227,17 @@ def _apart(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, n: t + n)
 
 
-def verified(pairs: DataFrame, sets: DataFrame, texts: DataFrame) -> DataFrame:
+def verified(pairs: DataFrame, sets: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
     """The pairs (u, v) of nodes whose similarity is 4 / 5 or more; ``sets``: node, n, bits, h; ``texts``: text, h."""
     left, right = (sets.select(*[F.col(c).alias(c + side) for c in ("node", "n", "bits", "h")]) for side in "12")
     both = pairs.join(left, F.col("u") == F.col("node1")).join(right, F.col("v") == F.col("node2")).where(_fits(F.col("n1"), F.col("n2")))
     near = both.where(9 * _apart(F.col("bits1"), F.col("bits2")) <= F.col("n1") + F.col("n2"))
-    near = written(near.select("u", "v", "h1", "h2"), "near")
+    near = scratch.written(near.select("u", "v", "h1", "h2"), "near")
     needed = near.select(F.col("h1").alias("h")).union(near.select("h2")).distinct()
     held = texts.join(needed, "h", "left_semi").groupBy("h").agg(F.first("text").alias("text"))
     first, second = held.select(F.col("h").alias("h1"), F.col("text").alias("a")), held.select(F.col("h").alias("h2"), F.col("text").alias("b"))
     found = near.join(first, "h1").join(second, "h2")
-    return written(found.where(are_copies("a", "b")).select("u", "v"), "links")
+    return scratch.written(found.where(are_copies("a", "b")).select("u", "v"), "links")
 
 
 def anchor_pairs(sets: DataFrame) -> DataFrame:
@@ -268,7 +268,8 @@ def _central_pairs(now: DataFrame, at: DataFrame) -> DataFrame:
 def copy_links(postings: DataFrame, sets: DataFrame, texts: DataFrame) -> DataFrame:
     """(node, component): components of all links at 4 / 5 or more; ``postings``: key, node, n, pos, central."""
     repeated = postings.groupBy("key").count().where("count > 1").select("key")
-    shared = written(postings.join(repeated, "key"), "postings")
+    scratch = Scratch(postings.sparkSession)
+    shared = scratch.written(postings.join(repeated, "key"), "postings")
     size, before, edges, candidates = shared.count(), None, None, anchor_pairs(sets)
     now = shared.withColumn("component", F.col("node"))
     for turn in range(ROUNDS + 1):
@@ -277,15 +278,16 @@ def copy_links(postings: DataFrame, sets: DataFrame, texts: DataFrame) -> DataFr
         other = F.max(F.struct(F.xxhash64("component", F.lit(turn)), "best"))["best"]
         sums = F.sum("rows").alias("all"), F.sum(F.col("rows") * F.col("rows")).alias("own")
         at = met.groupBy("key").agg(*sums, F.max("best").alias("one"), other.alias("two"), F.count(F.lit(1)).alias("components"))
-        at = written(at.where("components > 1"), "meetings")
+        at = scratch.written(at.where("components > 1"), "meetings")
         left = at.agg(F.sum((F.col("all") * F.col("all") - F.col("own")) / 2)).first()[0] or 0.0
         last = left <= PAIRS * size or turn == ROUNDS or (before is not None and left > 0.5 * before)
         before = left
         candidates = candidates.unionByName((_every_pair if last else _central_pairs)(now, at))
-        found = verified(candidates.distinct(), sets, texts)
+        found = verified(candidates.distinct(), sets, texts, scratch)
         edges = found if edges is None else edges.unionByName(found)
         joined = connected_components(edges)
         if last:
+            scratch.clear()  # components are checkpointed
             return joined
         now = shared.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
         candidates = joined.select(F.col("node").alias("u"), F.col("component").alias("v")).where("false")

@@ -37,7 +37,7 @@ _NAMES = r"secret|passw(?:or)?d|passwd|pwd|token|api[_-]?key|access[_-]?key|auth
 KEY_WORDS = rf"(?i)({_NAMES})\W{{0,4}}$"
 ASSIGNED = rf"(?i:{_NAMES})[\"']?\s{{0,2}}[=:]\s{{0,2}}[\"']?"
 DOTTED = r"(?:SG|eyJ[A-Za-z0-9_\-]{8,})(?:\.[A-Za-z0-9_\-]{12,}){1,2}"
-CANDIDATE = rf"{DOTTED}|(?<=[=:\"'\s])(?<={ASSIGNED})[^\s\"',;<>()]{{6,}}|[A-Za-z0-9+/_\-]{{12,}}"
+CANDIDATE = rf"{DOTTED}|(?<=[=:\"'\s])(?<=[=:]\s{{0,2}}[\"']?)(?<={ASSIGNED})[^\s\"',;<>()]{{6,}}|[A-Za-z0-9+/_\-]{{12,}}"
 #: Fixed pattern: runs that may be keys by themselves.
 KEY_LIKE = r"[0-9]|([a-z][A-Z].*){3}"
 PLAIN_WORDS = r"(?i)(commit|sha\d*|md5|digest|checksum|uuid|guid|version|build|revision|hash|etag|isbn|card|order|phone|id|ref)\W{0,4}$"

@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from spanloom.llm.common import read, small_batches
-from spanloom.operators.components import connected_components
+from spanloom.operators.components import connected_components, merging
 from spanloom.session import Scratch, shared_dir, written
 
 SEED, SHINGLE, THRESHOLD, CODE_BITS = 42, 3, 3, 31
@@ -193,7 +193,7 @@ def links(fps: DataFrame) -> DataFrame:
     replicas = halves.select("side", "half", F.col("node").alias("node2"), F.col("fp").alias("fp2"), F.explode(_replicas()).alias("e"))
     replicas = replicas.select(_key(F.col("half").bitwiseXOR(F.col("e"))), "node2", "fp2")
     near = F.bit_count(F.col("fp").bitwiseXOR(F.col("fp2"))) <= THRESHOLD
-    return homes.join(replicas, "anchor").where((F.col("fp") < F.col("fp2")) & near).select(F.col("node").alias("u"), F.col("node2").alias("v"))
+    return homes.join(merging(replicas), "anchor").where((F.col("fp") < F.col("fp2")) & near).select(F.col("node").alias("u"), F.col("node2").alias("v"))
 
 
 def common_shingles(texts: DataFrame) -> dict[int, int]:
@@ -230,34 +230,34 @@ def _apart(a: Column, b: Column) -> Column:
 def verified(pairs: DataFrame, sets: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
     """The pairs (u, v) of nodes whose similarity is 4 / 5 or more; ``sets``: node, n, bits, h; ``texts``: text, h."""
     left, right = (sets.select(*[F.col(c).alias(c + side) for c in ("node", "n", "bits", "h")]) for side in "12")
-    both = pairs.join(left, F.col("u") == F.col("node1")).join(right, F.col("v") == F.col("node2")).where(_fits(F.col("n1"), F.col("n2")))
+    both = pairs.join(merging(left), F.col("u") == F.col("node1")).join(merging(right), F.col("v") == F.col("node2")).where(_fits(F.col("n1"), F.col("n2")))
     near = both.where(9 * _apart(F.col("bits1"), F.col("bits2")) <= F.col("n1") + F.col("n2"))
     near = scratch.written(near.select("u", "v", "h1", "h2"), "near")
     needed = near.select(F.col("h1").alias("h")).union(near.select("h2")).distinct()
-    held = texts.join(needed, "h", "left_semi").groupBy("h").agg(F.first("text").alias("text"))
+    held = texts.join(merging(needed), "h", "left_semi").groupBy("h").agg(F.first("text").alias("text"))
     first, second = held.select(F.col("h").alias("h1"), F.col("text").alias("a")), held.select(F.col("h").alias("h2"), F.col("text").alias("b"))
-    found = near.join(first, "h1").join(second, "h2")
+    found = near.join(merging(first), "h1").join(merging(second), "h2")
     return scratch.written(found.where(are_copies("a", "b")).select("u", "v"), "links")
 
 
 def anchor_pairs(sets: DataFrame) -> DataFrame:
     """(u, v): nodes of equal fingerprints, each with the least, and the least nodes of fingerprints at 3 or fewer bits; ``sets``: node, fp."""
     fps = sets.groupBy("fp").agg(F.min("node").alias("node"))
-    equal = sets.join(fps.withColumnRenamed("node", "least"), "fp").where("node > least").select(F.col("least").alias("u"), F.col("node").alias("v"))
+    equal = sets.join(merging(fps.withColumnRenamed("node", "least")), "fp").where("node > least").select(F.col("least").alias("u"), F.col("node").alias("v"))
     return equal.unionByName(links(fps))
 
 
 def _every_pair(now: DataFrame, at: DataFrame) -> DataFrame:
     """(u, v) of different components at each shingle, both within the prefixes that the pair needs."""
-    units = now.join(at.select("key"), "key", "left_semi").select("key", F.struct("node", "n", "pos", "component").alias("x"))
-    both = units.join(units.withColumnRenamed("x", "y"), "key")
+    units = now.join(merging(at.select("key")), "key", "left_semi").select("key", F.struct("node", "n", "pos", "component").alias("x"))
+    both = units.join(merging(units.withColumnRenamed("x", "y")), "key")
     pairs = both.where((F.col("x.node") < F.col("y.node")) & (F.col("x.component") != F.col("y.component")) & _meet(F.col("x"), F.col("y")))
     return pairs.select(F.col("x.node").alias("u"), F.col("y.node").alias("v"))
 
 
 def _central_pairs(now: DataFrame, at: DataFrame) -> DataFrame:
     """(u, v): each text with the few most central texts of other components that it meets most often."""
-    seen = now.select("key", "component", F.struct("node", "n", "pos").alias("x")).join(at.select("key", "one", "two"), "key")
+    seen = now.select("key", "component", F.struct("node", "n", "pos").alias("x")).join(merging(at.select("key", "one", "two")), "key")
     seen = seen.withColumn("y", F.when(F.col("one.component") != F.col("component"), F.col("one")).otherwise(F.col("two")))
     seen = seen.where((F.col("y.component") != F.col("component")) & _meet(F.col("x"), F.col("y")))
     most = seen.groupBy(F.col("x.node").alias("node"), F.col("y.node").alias("v")).count()
@@ -269,7 +269,7 @@ def copy_links(postings: DataFrame, sets: DataFrame, texts: DataFrame) -> DataFr
     """(node, component): components of all links at 4 / 5 or more; ``postings``: key, node, n, pos, central."""
     repeated = postings.groupBy("key").count().where("count > 1").select("key")
     scratch = Scratch(postings.sparkSession)
-    shared = scratch.written(postings.join(repeated, "key"), "postings")
+    shared = scratch.written(postings.join(merging(repeated), "key"), "postings")
     size, before, edges, candidates = shared.count(), None, None, anchor_pairs(sets)
     now = shared.withColumn("component", F.col("node"))
     for turn in range(ROUNDS + 1):
@@ -289,7 +289,7 @@ def copy_links(postings: DataFrame, sets: DataFrame, texts: DataFrame) -> DataFr
         if last:
             scratch.clear()  # components are checkpointed
             return joined
-        now = shared.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        now = shared.join(merging(joined), "node", "left").withColumn("component", F.coalesce("component", "node"))
         candidates = joined.select(F.col("node").alias("u"), F.col("component").alias("v")).where("false")
 
 
@@ -319,7 +319,7 @@ def _copies(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     sets = written(marked.groupBy("node").agg(*one, F.min("h").alias("h")), "sets")
     postings = marked.select("node", "n", "central", "prefix").dropDuplicates(["node"]).select("node", "n", "central", F.posexplode("prefix").alias("pos", "key"))
     joined = copy_links(postings, sets, texts)
-    return marked.select("id", "h", "node").join(joined, "node", "left").select("id", "h", F.coalesce("component", "node").alias("component"))
+    return marked.select("id", "h", "node").join(merging(joined), "node", "left").select("id", "h", F.coalesce("component", "node").alias("component"))
 
 
 def _digest(text_col: str) -> Column:
@@ -330,7 +330,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """(id, component_id), the smallest id of the texts joined at 0.8 or more; a row without id has no component."""
     rows = _copies(docs, id_col, text_col).checkpoint()
     least = rows.groupBy("component").agg(F.min("id").alias("component_id"))
-    return rows.join(least, "component").select(F.col("id").alias(id_col), F.when(F.col("id").isNotNull(), F.col("component_id")).alias("component_id"))
+    return rows.join(merging(least), "component").select(F.col("id").alias(id_col), F.when(F.col("id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -343,7 +343,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     first = counted.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "h", "count")).alias("best"))
     best = written(first.select(F.col("best.id").alias("id2"), F.col("best.h").alias("h2"), F.col("best.count").alias("rows")), "kept")
     keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("id"), _digest(text_col).alias("h"))
-    kept = keyed.join(best, F.col("id").eqNullSafe(F.col("id2")) & (F.col("h") == F.col("h2")), "left_semi")
+    kept = keyed.join(merging(best), F.col("id").eqNullSafe(F.col("id2")) & (F.col("h") == F.col("h2")), "left_semi")
     again = not best.where("rows > 1").isEmpty()
     return (kept.dropDuplicates(["id", "h"]) if again else kept).select("row.*")
 

@@ -17,6 +17,11 @@ def _mark(edges: DataFrame) -> tuple:
     return row.n, row.h
 
 
+def merging(side: DataFrame) -> DataFrame:
+    """A side of a join that grows with the input: both are sorted and merged, and neither is gathered in the driver to be broadcast, however small Spark takes it for."""
+    return side.hint("merge")
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, component) for every node with an edge; the component is the smallest node id reachable.
 
@@ -40,9 +45,9 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     for _ in range(max_rounds):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = packed(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
-        large = packed(both.where(F.col("v") > F.col("u")).join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        large = packed(both.where(F.col("v") > F.col("u")).join(merging(least), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
         root = packed(large.groupBy("u").agg(F.min("v").alias("m")))
-        small = large.join(root, "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = large.join(merging(root), "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = packed(packed(small.unionByName(root.select("u", F.col("m").alias("v")))).distinct()).checkpoint()
         now = _mark(edges)
         if now == mark:

@@ -614,3 +614,26 @@ def test_bpe_query_is_the_library(spark):
         ids = library.encode_ordinary(docs[r.doc_id])
         assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())
         assert r.decoded_sha256 == hashlib.sha256(docs[r.doc_id].encode()).hexdigest()
+
+
+def broadcasts(spark, run):
+    """How many of the SQL executions that ``run`` starts, and of all, hold a broadcast in their last plan."""
+    bus, store = spark.sparkContext._jsc.sc().listenerBus(), spark._jsparkSession.sharedState().statusStore()
+
+    def executions():
+        bus.waitUntilEmpty(60_000)
+        found = store.executionsList()
+        return {found.apply(i).executionId(): found.apply(i) for i in range(found.size())}
+
+    before = executions()
+    run()
+    plans = [x.physicalPlanDescription() for i, x in executions().items() if i not in before]
+    return sum("BroadcastExchange" in x for x in plans), len(plans)
+
+
+@pytest.mark.parametrize("form", [simhash_dedup.near_copies, simhash_dedup.deduplicated])
+def test_near_duplicates_gather_no_table_in_the_driver(spark, form):
+    """Spark would broadcast these small sides; at 0.6 GB it takes sides for small that a driver's heap can't hold."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    found, n = broadcasts(spark, lambda: form(docs).collect())
+    assert n > 2 and found == 0

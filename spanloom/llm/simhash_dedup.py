@@ -301,8 +301,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     marked = docs.select(F.col(id_col), fingerprint(F.col(text_col)).alias("fp")).checkpoint()
     fps = marked.where(F.col(id_col).isNotNull()).groupBy("fp").agg(F.min(id_col).alias("node"))
     joined = connected_components(links(fps))
-    component = fps.join(joined, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    found = marked.join(component, "fp", "left")
+    component = fps.join(merging(joined), "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
+    found = marked.join(merging(component), "fp", "left")
     return found.select(id_col, "fp", F.when(F.col(id_col).isNotNull(), F.col("component_id")).alias("component_id"))
 
 

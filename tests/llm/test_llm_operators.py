@@ -631,7 +631,7 @@ def broadcasts(spark, run):
     return sum("BroadcastExchange" in x for x in plans), len(plans)
 
 
-@pytest.mark.parametrize("form", [simhash_dedup.near_copies, simhash_dedup.deduplicated])
+@pytest.mark.parametrize("form", [simhash_dedup.near_duplicates, simhash_dedup.near_copies, simhash_dedup.deduplicated])
 def test_near_duplicates_gather_no_table_in_the_driver(spark, form):
     """Spark would broadcast these small sides; at 0.6 GB it takes sides for small that a driver's heap can't hold."""
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")

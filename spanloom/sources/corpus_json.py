@@ -38,9 +38,23 @@ def parsed_document(json: Column) -> Column:
     return F.from_json(json, CORPUS)
 
 
+def document_lines(texts: DataFrame, space: LabelSpace) -> DataFrame:
+    """The corpus as the lines of one JSON document, in order in one partition: a text is a line of its own, so texts meet in a file but never in a row."""
+    kind = texts.schema
+    edges = metadata(texts.sparkSession.range(1), space).select(F.regexp_replace(F.to_json(F.struct("labelDefs", "labelGrps")), r"\}$", ',"texts":[').alias("head"))
+    edge = lambda part, text: F.struct(F.lit(part).alias("part"), text.alias("edge"))
+    edges = edges.select(F.inline(F.array(edge(0, F.col("head")), edge(2, F.lit("]}")))))
+    none = [F.lit(None).cast(kind[c].dataType).alias(c) for c in ("id", "text", "chunks")]
+    rows = texts.select(F.lit(1).alias("part"), F.lit(None).cast("string").alias("edge"), "id", "text", "chunks").unionByName(edges.select("part", "edge", *none))
+    place = F.monotonically_increasing_id()  # from 0 in the only partition; the head is 0
+    ordered = rows.repartition(1).sortWithinPartitions("part", "id", "text", "chunks").withColumn("place", place)
+    line = F.concat(F.when(F.col("place") > 1, ",").otherwise(""), text_json())
+    return ordered.select(F.coalesce("edge", line).alias("value"))
+
+
 def save_document(texts: DataFrame, space: LabelSpace, path: str) -> None:
-    """The corpus as one document in a file of its own under ``path``."""
-    corpus_document(texts, space).select(F.col("json").alias("value")).coalesce(1).write.mode("overwrite").text(path)
+    """The corpus as one document in a file of its own under ``path``, a line a text."""
+    document_lines(texts, space).write.mode("overwrite").text(path)
 
 
 def load_lines(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -50,7 +64,18 @@ def load_lines(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 
 def load_document(spark: SparkSession, path: str) -> DataFrame:
-    """(id, text, chunks) of a corpus saved as one document."""
+    """(id, text, chunks) of a corpus saved as one document.
+
+    Documents with a line a text are read line by line, in many tasks; those laid out otherwise as a whole, each in one row.
+    """
+    value = F.col("value")
+    head, foot = value.startswith('{"labelDefs":') & value.endswith(',"texts":['), value == "]}"
+    parsed = F.from_json(F.regexp_replace(value, "^,", ""), f"{CHUNKED_TEXT}, _corrupt_record string", {"mode": "PERMISSIVE"})
+    lines = spark.read.text(path).select(head.alias("head"), foot.alias("foot"), parsed.alias("t"))
+    other = ~F.col("head") & ~F.col("foot") & (F.col("t").isNull() | F.col("t._corrupt_record").isNotNull())
+    heads, feet, others = lines.agg(F.count_if("head"), F.count_if("foot"), F.count_if(other)).first()
+    if heads and heads == feet and not others:
+        return lines.where(~F.col("head") & ~F.col("foot")).select("t.id", "t.text", "t.chunks")
     return spark.read.option("multiLine", True).schema(T._parse_datatype_string(CORPUS)).json(path).select(F.inline("texts"))
 
 

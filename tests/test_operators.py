@@ -1,5 +1,7 @@
 """Hand-written cases and restatements of the sequential rules."""
 
+import collections
+import json
 import os
 
 import numpy as np
@@ -229,6 +231,25 @@ def test_json_and_html(spark, tmp_path):
     assert "lbl=h_1" in html.ref_html and ">Š <" in html.ref_html and html.res_html == ""
 
 
+def test_a_document_is_never_one_row(spark, tmp_path):
+    space = LabelSpace(("h",), ((0, 1),))
+    odd = ['"]}', "]}", ',{"id":1}', "a\n]}\r\n\u2028\\n", "", None, "Š ą😀", '{"labelDefs":{},"texts":[']
+    rows = [(i, t, [(0, 2, i % 2)]) for i, t in enumerate(odd * 20)] + [(3, "again", []), (3, "again", None), (None, "no id", [])]
+    for number, some in enumerate((rows, rows[:1], [])):
+        texts = spark.createDataFrame(some, "id long, text string, chunks array<struct<start:int,len:int,label:int>>").repartition(5)
+        home = tmp_path / str(number)
+        corpus_json.save_document(texts, space, str(home))
+        (part,) = home.glob("part-*")
+        lines = part.read_text(encoding="utf-8").split("\n")[:-1]
+        assert len(lines) == len(some) + 2
+        assert json.loads("".join(lines)) == json.loads(corpus_json.corpus_document(texts, space).first().json)
+        count = lambda df: collections.Counter(map(repr, df.collect()))
+        assert count(corpus_json.load_document(spark, str(home))) == count(texts)
+        laid = tmp_path / f"{number}.json"
+        laid.write_text(json.dumps(json.loads("".join(lines)), indent=1), encoding="utf-8")
+        assert count(corpus_json.load_document(spark, str(laid))) == count(texts)
+
+
 def test_optional_columns_are_all_or_none(spark, tmp_path):
     windows = spark.createDataFrame([(1, [1]), (2, None)], "enc_id long, token_ids array<int>")
     with pytest.raises(ValueError):

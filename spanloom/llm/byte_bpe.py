@@ -1,9 +1,9 @@
 """Byte-level BPE by Spark higher-order functions.
 
-A word is the array of its bytes' ids; a fold over it merges, one step at a time, the
-adjacent pair of lowest rank (the leftmost of equals) until no pair has a rank. As a token's
-rank is its id, a pair of ids leads to the rank of their merge: a literal array of buckets
-holds these, so that a look-up is one array access and a short fold.
+A word is the array of its bytes' ids, each packed below its place and the rank of the pair it begins; a fold over it
+merges, one step at a time, the adjacent pair of lowest rank (the leftmost of equals) until no pair has a rank, and looks
+up the two pairs that a merge makes. As a token's rank is its id, a pair of ids leads to the rank of their merge: two
+literal arrays hold these, a slot a pair, so that a look-up is two array accesses.
 
 Only distinct words are folded. Texts come in blocks of ``BLOCK`` bytes or more of the partition at hand; a
 block is one row with its distinct words and, for each text, the places of its words among them. The words of a block are folded once, and
@@ -21,8 +21,9 @@ from __future__ import annotations
 
 import base64
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
@@ -30,9 +31,9 @@ from pyspark.sql import functions as F
 
 from spanloom.llm.common import let, read, small_batches, without
 
-BUCKETS, LONG, BLOCK = 1 << 17, 512, 1 << 25
-#: No rank: above any rank packed with a place.
-_NONE, _PLACE = 1 << 50, 1 << 24
+LONG, BLOCK = 512, 1 << 25
+#: No rank, above any; the bits of an id, and the id at either end of a word.
+_NONE = _ID = (1 << 20) - 1
 _libraries: dict = {}
 
 
@@ -50,20 +51,62 @@ def library(ranks_path: str, pattern: str):
     return _libraries[ranks_path]
 
 
-def _bucket(left, right):
-    return (left * 40503 + right) % BUCKETS
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``let`` without an array: the fold of no elements evaluates ``value`` once and hands it on."""
+    return F.aggregate(F.array().cast("array<int>"), value, lambda v, _: v, body)
 
 
-def merge_table(ranks: dict[bytes, int]) -> Column:
-    """merges: buckets of (left id, right id, rank) packed in one number; first: the id of each byte."""
-    table: list[list[int]] = [[] for _ in range(BUCKETS)]
+def merge_table(ranks: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
+    """(base, slots): the pair of ``left`` and ``right`` has its slot at base[left] + right, which holds left and rank.
+
+    Rows of pairs with one left id are laid over each other, the largest first, each at a drawn shift that hits no taken slot.
+    """
+    rows: dict[int, list[tuple[int, int]]] = {}
     for token, rank in ranks.items():
         for i in range(1, len(token)):
             left, right = ranks.get(token[:i]), ranks.get(token[i:])
             if left is not None and right is not None:
-                table[_bucket(left, right)].append(left << 40 | right << 20 | rank)
-    text = json.dumps({"merges": table, "first": [ranks[bytes([b])] for b in range(256)]}, separators=(",", ":"))
-    return F.from_json(F.lit(text), "struct<merges:array<array<bigint>>,first:array<int>>")
+                rows.setdefault(left, []).append((right, rank))
+    top = max(ranks.values()) + 1
+    base, slots = np.full(top, -top, np.int32), np.full(1 << (4 * (top + sum(map(len, rows.values())))).bit_length() - 1, -1, np.int64)
+    draw = np.random.default_rng(0)
+    for left, row in sorted(rows.items(), key=lambda x: -len(x[1])):
+        rights, tries = np.array([r for r, _ in row]), 8
+        while not (fits := (slots[(at := draw.integers(0, len(slots) - top, tries))[:, None] + rights] < 0).all(1)).any():
+            tries = min(2 * tries, 256)
+        base[left] = at[fits.argmax()]
+        slots[base[left] + rights] = [left << 20 | rank for _, rank in row]
+    return base, slots
+
+
+def merge_literals(ranks: dict[bytes, int]) -> tuple[Column, Column]:
+    """The same as literals; an empty slot is null."""
+    base, slots = merge_table(ranks)
+    return tuple(F.from_json(F.lit(json.dumps(t, separators=(",", ":"))), kind) for t, kind in ((base.tolist(), "array<int>"), ([None if s < 0 else s for s in slots.tolist()], "array<bigint>")))
+
+
+def first_ranks(ranks: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
+    """The id of each byte and the rank of each pair of bytes."""
+    pair = np.array([ranks.get(bytes([a, b]), _NONE) for a in range(256) for b in range(256)], np.int64)
+    return np.array([ranks[bytes([b])] for b in range(256)], np.int64), pair
+
+
+def starts(words: pa.StringArray, folds: np.ndarray, first: np.ndarray, pair: np.ndarray) -> pa.ListArray:
+    """The elements of each word before the fold, between two elements without a rank; none but these where ``folds`` is false."""
+    ends = np.frombuffer(words.buffers()[1], np.int32, len(words) + 1, words.offset * 4).astype(np.int64)
+    data = np.frombuffer(words.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
+    size = np.diff(ends)
+    data, size = data[np.repeat(folds, size)], np.where(folds, size, 0)
+    begin = np.cumsum(size) - size
+    place = np.arange(len(data)) - np.repeat(begin, size) + 1
+    rank = np.full(len(data), _NONE, np.int64)
+    rank[:-1] = pair[data[:-1].astype(np.int64) << 8 | data[1:]]
+    rank[(begin + size - 1)[size > 0]] = _NONE
+    offsets = np.concatenate([[0], np.cumsum(size + 2)])
+    found = np.full(offsets[-1], _NONE << 40 | _ID, np.int64)
+    found[offsets[1:] - 1] |= size + 1 << 20
+    found[np.repeat(offsets[:-1], size) + place] = rank << 40 | place << 20 | first[data]
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(found))
 
 
 def pieces(text: Column, pattern: str) -> Column:
@@ -71,36 +114,31 @@ def pieces(text: Column, pattern: str) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit("(?U)" + pattern), F.lit(0))
 
 
-def folded(word: Column, table: Column) -> Column:
-    """The ids of one word."""
-
-    def lowest(ids: Column) -> Column:
-        """The lowest rank of an adjacent pair and its place, packed in one number."""
+def folded(start: Column, base: Column, slots: Column) -> Column:
+    """The ids of one word, from its elements: the rank of the pair that begins here, the place, the id."""
 
-        def ranked(left: Column, i: Column) -> Column:
-            right = F.get(ids, i + 1)
-            pair = F.shiftleft(left.cast("long"), 20).bitwiseOR(right.cast("long"))
-            found = lambda best, e: F.when(F.shiftright(e, 20) == pair, F.shiftleft(e.bitwiseAND(F.lit((1 << 20) - 1)), 24) + i).otherwise(best)
-            return F.aggregate(F.get(table.merges, _bucket(left, right)), F.lit(_NONE), found)
+    def rank(left: Column, right: Column) -> Column:
+        """At bit 40. A slot of another left id, or none, is no rank."""
+        return F.shiftleft(F.least(F.get(slots, F.get(base, left.cast("int")) + right.cast("int")).bitwiseXOR(F.shiftleft(left, 20)), F.lit(_NONE)), 40)
 
-        return F.array_min(F.transform(ids, ranked))
+    def merged(elements: Column, low: Column, place: Column) -> Column:
+        token = F.shiftright(low, 40)
+        taken, after = F.get(elements, place + 1), F.get(elements, place + 2)
 
-    def merged(ids: Column, low: Column) -> Column:
-        place = (low % _PLACE).cast("int")
-        return let(place, lambda p: F.concat(F.slice(ids, F.lit(1), p), F.array(F.shiftright(low, 24).cast("int")), F.slice(ids, p + 3, F.size(ids))))
+        def changed(before: Column) -> Column:
+            whole = rank(token, after.bitwiseAND(_ID)).bitwiseOR(low.bitwiseAND(_ID << 20)).bitwiseOR(token)
+            ahead = rank(before.bitwiseAND(_ID), token).bitwiseOR(before.bitwiseAND((1 << 40) - 1))
+            return F.transform(elements, lambda e: F.when(e == low, whole).when(e == before, ahead).otherwise(e))
 
-    def step(acc: Column, _: Column) -> Column:
-        def taken(low: Column) -> Column:
-            return F.when(low < _NONE, F.struct(merged(acc.ids, low).alias("ids"), F.lit(False).alias("done"))).otherwise(F.struct(acc.ids.alias("ids"), F.lit(True).alias("done")))
+        return F.array_remove(bound(F.get(elements, place - 1), changed), taken)
 
-        return F.when(acc.done, acc).otherwise(let(lowest(acc.ids), taken))
+    def step(elements: Column, _: Column) -> Column:
+        # array_position leaves its loop by an exception, which costs more than the rest of a step.
+        place = lambda low: F.array_min(F.transform(elements, lambda e, i: F.when(e == low, i)))
+        return bound(F.array_min(elements), lambda low: F.when(low < _NONE << 40, bound(place(low), lambda p: merged(elements, low, p))).otherwise(elements))
 
-    def fold(ids: Column) -> Column:
-        start = F.struct(ids.alias("ids"), F.lit(False).alias("done"))
-        return F.aggregate(F.slice(ids, 2, F.size(ids)), start, step, lambda acc: acc.ids)
-
-    letters = F.split(F.decode(F.encode(word, "utf-8"), "ISO-8859-1"), "")
-    return let(F.transform(letters, lambda x: F.get(table.first, F.ascii(x))), fold)
+    ids = lambda elements: F.array_remove(F.transform(elements, lambda e: e.bitwiseAND(_ID).cast("int")), _ID)
+    return F.aggregate(F.slice(start, 4, LONG), start, step, ids)
 
 
 def encoded(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", out: str = "ids", keep: list[str] | None = None) -> DataFrame:
@@ -109,6 +147,7 @@ def encoded(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "tex
     ranks = load_ranks(ranks_path)
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in without(docs.select(*(keep or docs.columns)), out).columns]).alias("row"), pieces(F.col(text_col), pattern).alias("words"))
     kind = rows.schema["row"].dataType.simpleString()
+    bytes_ids, bytes_ranks = first_ranks(ranks)
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -123,7 +162,7 @@ def encoded(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "tex
             long = pc.greater(pc.binary_length(coded.dictionary), LONG)
             encode = library(ranks_path, pattern).encode_ordinary if pc.any(long).as_py() else None
             given = [encode(w.as_py()) if x else None for w, x in zip(coded.dictionary, long.to_pylist())] if encode else [None] * len(coded.dictionary)
-            return pa.RecordBatch.from_arrays([one(texts), one(coded.dictionary), one(pa.array(given, pa.list_(pa.int32())))], ["texts", "words", "given"])
+            return pa.RecordBatch.from_arrays([one(texts), one(starts(coded.dictionary, ~long.to_numpy(zero_copy_only=False), bytes_ids, bytes_ranks)), one(pa.array(given, pa.list_(pa.int32())))], ["texts", "starts", "given"])
 
         for batch in batches:
             if batch.num_rows:
@@ -135,15 +174,17 @@ def encoded(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "tex
         if held:
             yield block()
 
-    made = rows.mapInArrow(blocks, f"texts array<struct<row:{kind},places:array<int>>>, words array<string>, given array<array<int>>")
+    made = rows.mapInArrow(blocks, f"texts array<struct<row:{kind},places:array<int>>>, starts array<array<bigint>>, given array<array<int>>")
+
+    base, slots = merge_literals(ranks)
 
-    def ids(table: Column) -> Column:
-        return F.zip_with("words", "given", lambda w, g: F.coalesce(g, folded(w, table)))
+    def ids(base: Column, slots: Column) -> Column:
+        return F.zip_with("starts", "given", lambda s, g: F.coalesce(g, folded(s, base, slots)))
 
     def texts(found: Column) -> Column:
         return F.transform("texts", lambda t: F.struct(t.row.alias("row"), F.flatten(F.transform(t.places, lambda i: F.get(found, i))).alias(out)))
 
-    spread = made.select(F.inline_outer(let(let(merge_table(ranks), ids), texts))).where("row IS NOT NULL")
+    spread = made.select(F.inline_outer(let(let(base, lambda b: let(slots, lambda s: ids(b, s))), texts))).where("row IS NOT NULL")
     return spread.select("row.*", out)
 
 

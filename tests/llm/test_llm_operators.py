@@ -240,6 +240,30 @@ def test_byte_bpe(spark, edge, none):
     assert byte_bpe.encoded(none, RANKS, P.PATTERN).count() == 0
 
 
+def test_byte_bpe_pairs_have_one_slot():
+    """A pair's rank is one access, not a search of a bucket; no other pair finds a rank."""
+    ranks = byte_bpe.load_ranks(RANKS)
+    base, slots = byte_bpe.merge_table(ranks)
+    pairs = {(ranks[t[:i]], ranks[t[i:]]): r for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks}
+    assert all(slots[base[a] + b] == a << 20 | r for (a, b), r in pairs.items())
+    assert (slots >= 0).sum() == len(pairs)
+
+
+def test_byte_bpe_folds_random_words(spark):
+    """Ties, pairs without a rank and bytes that are no letter, against the library; the fold has no function that ends in an exception."""
+    import random
+
+    draw = random.Random(5)
+    texts = ["".join(draw.choice("aaabcdeéßñü ’'09.-  \n\tThEing中文😀") for _ in range(draw.randrange(120))) for _ in range(300)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, "b" * 512, "é" * 256 + " " + "b" * 513])], "doc_id long, text string")
+    found = byte_bpe.encoded(df, RANKS, P.PATTERN)
+    plan = found._jdf.queryExecution().analyzed().toString()
+    assert "array_remove" in plan and "array_position" not in plan
+    encode = byte_bpe.library(RANKS, P.PATTERN).encode_ordinary
+    for r in found.collect():
+        assert r.ids == encode(r.text), r.text
+
+
 # 6 ------------------------------------------------------------------------------------------------
 
 

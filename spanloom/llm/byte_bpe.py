@@ -87,25 +87,32 @@ def merge_literals(ranks: dict[bytes, int]) -> tuple[Column, Column]:
 
 def first_ranks(ranks: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
     """The id of each byte and the rank of each pair of bytes."""
-    pair = np.array([ranks.get(bytes([a, b]), _NONE) for a in range(256) for b in range(256)], np.int64)
-    return np.array([ranks[bytes([b])] for b in range(256)], np.int64), pair
+    pair = np.array([ranks.get(bytes([a, b]), _NONE) for a in range(256) for b in range(256)], np.int32)
+    return np.array([ranks[bytes([b])] for b in range(256)], np.int32), pair
 
 
 def starts(words: pa.StringArray, folds: np.ndarray, first: np.ndarray, pair: np.ndarray) -> pa.ListArray:
     """The elements of each word before the fold, between two elements without a rank; none but these where ``folds`` is false."""
-    ends = np.frombuffer(words.buffers()[1], np.int32, len(words) + 1, words.offset * 4).astype(np.int64)
+    ends = np.frombuffer(words.buffers()[1], np.int32, len(words) + 1, words.offset * 4)
     data = np.frombuffer(words.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
     size = np.diff(ends)
     data, size = data[np.repeat(folds, size)], np.where(folds, size, 0)
-    begin = np.cumsum(size) - size
-    place = np.arange(len(data)) - np.repeat(begin, size) + 1
-    rank = np.full(len(data), _NONE, np.int64)
-    rank[:-1] = pair[data[:-1].astype(np.int64) << 8 | data[1:]]
-    rank[(begin + size - 1)[size > 0]] = _NONE
+    begin = (np.cumsum(size) - size).astype(np.int32)
     offsets = np.concatenate([[0], np.cumsum(size + 2)])
+    # Added in place, as these arrays are the worker's largest.
+    inner = np.full(len(data), _NONE, np.int64)
+    inner[:-1] = pair[data[:-1].astype(np.int32) << 8 | data[1:]]
+    inner[(begin + size - 1)[size > 0]] = _NONE
+    inner <<= 20
+    inner += np.arange(1, len(data) + 1, dtype=np.int32)
+    inner -= np.repeat(begin, size)
+    inner <<= 20
+    inner |= first[data]
     found = np.full(offsets[-1], _NONE << 40 | _ID, np.int64)
-    found[offsets[1:] - 1] |= size + 1 << 20
-    found[np.repeat(offsets[:-1], size) + place] = rank << 40 | place << 20 | first[data]
+    found[offsets[1:] - 1] |= size.astype(np.int64) + 1 << 20
+    within = np.ones(len(found), bool)
+    within[offsets[:-1]] = within[offsets[1:] - 1] = False
+    found[within] = inner
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(found))
 
 
